@@ -1 +1,229 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: exploratory aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slotwise.functions.calendar import day_of_week, hour_of_day, is_rush_hour, is_weekend, month_of
+from slotwise.operators import explore as X
+from slotwise.plans import common as C
+from slotwise.plans.registry import register
+from slotwise.schemas import EDA_RUSH_HOURS, HOUR, PICKUP, ZONE
+from slotwise.sources import testdata
+
+TRIPS = C.with_ctes(C.CTE_TRIPS)
+CELLS = C.with_ctes(C.CTE_TRIPS, C.CTE_CLEAN, C.CTE_CELLS)
+DOW = "CAST(isodow({}) - 1 AS INTEGER)"
+
+
+@register("trips_by_hour", TRIPS + f"SELECT CAST(hour({PICKUP}) AS INTEGER) AS hour_of_day, count(*) AS trips FROM trips GROUP BY 1")
+def q_trips_by_hour(spark, sf_dir):
+    """Trips per hour of day."""
+    return X.trips_by_hour(C.trips(spark, sf_dir))
+
+
+@register(
+    "trips_by_day_name",
+    TRIPS
+    + f"SELECT {DOW.format(PICKUP)} AS day_of_week, dayname({PICKUP}) AS day_name, count(*) AS trips FROM trips GROUP BY 1, 2",
+)
+def q_trips_by_day_name(spark, sf_dir):
+    """Trips per weekday name (Monday=0 order key)."""
+    return X.trips_by_day_name(C.trips(spark, sf_dir))
+
+
+@register("trips_by_date", TRIPS + f"SELECT CAST({PICKUP} AS DATE) AS date, count(*) AS trips FROM trips GROUP BY 1")
+def q_trips_by_date(spark, sf_dir):
+    """Trips per calendar date."""
+    return X.trips_by_date(C.trips(spark, sf_dir))
+
+
+@register(
+    "top_pickup_zones",
+    C.with_ctes(C.CTE_TRIPS, testdata.ZONES_SQL)
+    + f"""SELECT t.{ZONE}, t.trips, coalesce(z.Zone, 'Zone ' || CAST(t.{ZONE} AS VARCHAR)) AS zone_name,
+  coalesce(z.Borough, 'Unknown') AS borough
+FROM (SELECT {ZONE}, count(*) AS trips FROM trips GROUP BY 1 ORDER BY trips DESC, {ZONE} LIMIT 10) t
+LEFT JOIN zones z ON t.{ZONE} = z.LocationID""",
+)
+def q_top_pickup_zones(spark, sf_dir):
+    """E11 + D1: ten busiest pickup zones with names (fallback ``Zone n``)."""
+    return X.top_pickup_zones(C.trips(spark, sf_dir), C.zones(spark, sf_dir))
+
+
+@register(
+    "peak_hour_zone",
+    TRIPS
+    + f"""SELECT h.peak_hour, h.peak_hour_trips, round(h.peak_hour_trips * 100.0 / h.total, 2) AS peak_hour_pct,
+  z.top_zone, z.top_zone_trips, round(z.top_zone_trips * 100.0 / h.total, 2) AS top_zone_pct
+FROM (SELECT arg_max(hour_of_day, (trips, -hour_of_day)) AS peak_hour, max(trips) AS peak_hour_trips, sum(trips) AS total
+      FROM (SELECT CAST(hour({PICKUP}) AS INTEGER) AS hour_of_day, count(*) AS trips FROM trips GROUP BY 1)) h,
+     (SELECT arg_max({ZONE}, (c, -{ZONE})) AS top_zone, max(c) AS top_zone_trips
+      FROM (SELECT {ZONE}, count(*) AS c FROM trips GROUP BY 1)) z""",
+)
+def q_peak_hour_zone(spark, sf_dir):
+    """Busiest hour and zone with their share of trips."""
+    return X.peak_hour_and_zone(C.trips(spark, sf_dir))
+
+
+_hcols = ", ".join(f"count(*) FILTER (WHERE h = {h}) AS h{h:02d}" for h in range(24))
+
+
+@register(
+    "weekday_hour_matrix",
+    TRIPS
+    + f"""SELECT d.day_of_week, {', '.join(f'coalesce(m.h{h:02d}, 0) AS h{h:02d}' for h in range(24))}
+FROM (SELECT CAST(range AS INTEGER) AS day_of_week FROM range(7)) d
+LEFT JOIN (SELECT {DOW.format(PICKUP)} AS day_of_week, {_hcols}
+           FROM (SELECT *, hour({PICKUP}) AS h FROM trips) GROUP BY 1) m ON d.day_of_week = m.day_of_week""",
+)
+def q_weekday_hour_matrix(spark, sf_dir):
+    """7 x 24 pickup counts, zero-filled, fixed axes."""
+    return X.weekday_hour_matrix(spark, C.trips(spark, sf_dir))
+
+
+@register(
+    "top_zone_totals",
+    CELLS + f"SELECT {ZONE}, sum(demand) AS total_demand FROM cells GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+)
+def q_top_zone_totals(spark, sf_dir):
+    """Ten zones with the most demand, re-aggregated from hourly cells."""
+    return X.top_totals(C.cells(spark, sf_dir), ZONE)
+
+
+@register(
+    "top_hour_totals",
+    CELLS + "SELECT hour, sum(demand) AS total_demand FROM cells GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+)
+def q_top_hour_totals(spark, sf_dir):
+    """Ten busiest clock hours, re-aggregated from hourly cells."""
+    return X.top_totals(C.cells(spark, sf_dir), HOUR)
+
+
+@register(
+    "demand_summary",
+    CELLS
+    + """SELECT min(demand) AS min, quantile_cont(demand, 0.5) AS median, round(avg(demand), 6) AS mean,
+  quantile_cont(demand, 0.95) AS p95, max(demand) AS max, round(skewness(demand), 6) AS skew FROM cells""",
+)
+def q_demand_summary(spark, sf_dir):
+    """E15 + E16: distribution of hourly demand with bias-corrected skew."""
+    return X.demand_summary(C.cells(spark, sf_dir))
+
+
+@register(
+    "grid_coverage",
+    CELLS
+    + f"""SELECT unique_hours, unique_zones, unique_hours * unique_zones AS full_grid, observed_cells,
+  unique_hours * unique_zones - observed_cells AS missing_cells,
+  round(observed_cells * 100.0 / (unique_hours * unique_zones), 6) AS coverage_pct,
+  round((unique_hours * unique_zones - observed_cells) * 100.0 / (unique_hours * unique_zones), 6) AS implied_zero_pct
+FROM (SELECT count(DISTINCT date_trunc('hour', {PICKUP})) AS unique_hours, count(DISTINCT {ZONE}) AS unique_zones FROM clean),
+     (SELECT count(*) AS observed_cells FROM cells)""",
+)
+def q_grid_coverage(spark, sf_dir):
+    """How much of the zone x hour grid has any pickup."""
+    return X.grid_coverage(C.clean(spark, sf_dir), C.cells(spark, sf_dir))
+
+
+@register(
+    "mean_demand_by_hour",
+    CELLS + "SELECT CAST(hour(hour) AS INTEGER) AS hour_of_day, round(avg(demand), 6) AS mean_demand FROM cells GROUP BY 1",
+)
+def q_mean_demand_by_hour(spark, sf_dir):
+    """Mean demand per hour of day over observed cells."""
+    return X.mean_demand_by(C.cells(spark, sf_dir), hour_of_day(HOUR), "hour_of_day")
+
+
+@register(
+    "mean_demand_by_weekday",
+    CELLS + f"SELECT {DOW.format('hour')} AS day_of_week, round(avg(demand), 6) AS mean_demand FROM cells GROUP BY 1",
+)
+def q_mean_demand_by_weekday(spark, sf_dir):
+    """Mean demand per weekday over observed cells."""
+    return X.mean_demand_by(C.cells(spark, sf_dir), day_of_week(HOUR), "day_of_week")
+
+
+@register("daily_demand", CELLS + "SELECT CAST(hour AS DATE) AS date, sum(demand) AS demand FROM cells GROUP BY 1")
+def q_daily_demand(spark, sf_dir):
+    """Total demand per date."""
+    return X.daily_demand(C.cells(spark, sf_dir))
+
+
+@register(
+    "demand_histogram",
+    CELLS
+    + """, b AS (SELECT CAST(min(demand) AS DOUBLE) AS lo, CAST(max(demand) AS DOUBLE) AS hi FROM cells),
+h AS (SELECT CAST(least(floor(coalesce((demand - lo) / nullif(hi - lo, 0), 0.0) * 100) + 1, 100) AS INTEGER) AS bin,
+             count(*) AS count FROM cells, b GROUP BY 1)
+SELECT CAST(e.range AS INTEGER) AS bin, round(lo + (e.range - 1) * ((hi - lo) / 100), 6) AS lower,
+       round(lo + e.range * ((hi - lo) / 100), 6) AS upper, coalesce(h.count, 0) AS count
+FROM range(1, 101) e CROSS JOIN b LEFT JOIN h ON h.bin = e.range""",
+)
+def q_demand_histogram(spark, sf_dir):
+    """100 equal-width bins of hourly demand."""
+    return X.histogram(spark, C.cells(spark, sf_dir), "demand", 100)
+
+
+@register(
+    "passenger_histogram",
+    TRIPS
+    + """SELECT CAST(e.range AS INTEGER) AS bin, coalesce(h.count, 0) AS count FROM range(0, 11) e LEFT JOIN (
+  SELECT CAST(least(floor(passenger_count), 10) AS INTEGER) AS bin, count(*) AS count FROM trips
+  WHERE passenger_count >= 0 AND passenger_count <= 11 GROUP BY 1) h ON h.bin = e.range""",
+)
+def q_passenger_histogram(spark, sf_dir):
+    """E20 (unit-bin variant): passenger counts 0..11 in unit bins."""
+    return X.unit_histogram(spark, C.trips(spark, sf_dir), "passenger_count", 0, 11)
+
+
+CANDIDATES = ["hour", "day_of_week", "month", "is_weekend", "is_rush_hour", ZONE]
+
+
+def _eda_frame(spark, sf_dir):
+    cells = C.cells(spark, sf_dir)
+    hod, dow = hour_of_day(HOUR), day_of_week(HOUR)
+    return cells.select(
+        ZONE,
+        "demand",
+        hod.alias("hour"),
+        dow.alias("day_of_week"),
+        month_of(HOUR).alias("month"),
+        is_weekend(dow).alias("is_weekend"),
+        is_rush_hour(hod, dow, EDA_RUSH_HOURS).alias("is_rush_hour"),
+    )
+
+
+_EDA_SQL = CELLS + f""", eda AS (SELECT {ZONE}, demand, CAST(hour(hour) AS INTEGER) AS hour_x,
+  {DOW.format('hour')} AS day_of_week, CAST(month(hour) AS INTEGER) AS month,
+  CAST(isodow(hour) - 1 >= 5 AS INTEGER) AS is_weekend,
+  CAST(hour(hour) IN ({', '.join(map(str, EDA_RUSH_HOURS))}) AND isodow(hour) - 1 < 5 AS INTEGER) AS is_rush_hour FROM cells)
+"""
+
+
+def _corr_sql(c: str) -> str:
+    x = "hour_x" if c == "hour" else c
+    return (
+        f"SELECT '{c}' AS feature, round(abs(covar_pop({x}, demand) / nullif(stddev_pop({x}) * stddev_pop(demand), 0)), 6)"
+        f" AS abs_corr FROM eda"
+    )
+
+
+@register("correlation_ranking", _EDA_SQL + "\n UNION ALL ".join(_corr_sql(c) for c in CANDIDATES))
+def q_correlation_ranking(spark, sf_dir):
+    """|Pearson r| of calendar candidates with hourly demand (month is
+    constant over one month, so its correlation is null)."""
+    return X.abs_correlation_ranking(_eda_frame(spark, sf_dir), CANDIDATES)
+
+
+def _mi_sql(c: str) -> str:
+    x = "hour_x" if c == "hour" else c
+    return f"""SELECT '{c}' AS feature, round(sum(nxy / n * ln(nxy * n / (nx * ny))), 6) AS mutual_info FROM (
+  SELECT nxy, sum(nxy) OVER (PARTITION BY x) AS nx, sum(nxy) OVER (PARTITION BY y) AS ny, sum(nxy) OVER () AS n
+  FROM (SELECT CAST({x} AS VARCHAR) AS x, CAST(demand AS VARCHAR) AS y, CAST(count(*) AS DOUBLE) AS nxy FROM eda GROUP BY 1, 2))"""
+
+
+@register("mutual_info_ranking", _EDA_SQL + "\n UNION ALL ".join(_mi_sql(c) for c in CANDIDATES))
+def q_mutual_info_ranking(spark, sf_dir):
+    """E22 (re-aimed): plug-in mutual information of discrete candidates."""
+    return X.mutual_information_ranking(_eda_frame(spark, sf_dir), CANDIDATES)
