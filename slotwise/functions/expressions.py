@@ -42,9 +42,11 @@ def hour_label(hour: str | Column) -> Column:
 
 
 def signed_pct_label(value: str | Column) -> Column:
-    """``+12.3%`` / ``-4.0%``; zero is printed without a sign."""
-    v = F.round(_c(value), 1)
-    return F.when(v == 0, F.lit("0.0%")).otherwise(F.format_string("%+.1f%%", v))
+    """``+12.3%`` / ``-4.0%``: a plus sign only for positive values, one
+    decimal rounded half away from zero."""
+    v = _c(value)
+    sign = F.when(v > 0, F.lit("+")).otherwise(F.lit(""))
+    return F.concat(sign, F.format_string("%.1f", F.round(v, 1)), F.lit("%"))
 
 
 def round6(col: str | Column) -> Column:

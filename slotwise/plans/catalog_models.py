@@ -1 +1,193 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: metric suites and model jobs.
+
+Seasonal-naive forecasts (J16) are plain columns, so their metric suites are
+checked against DuckDB.  Fitted models (OLS, ridge, forest) have no SQL
+equivalent; those queries get the driver's rows-only check and are covered by
+closed-form tests in ``tests/``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slotwise.operators import models as M
+from slotwise.operators import splits as SP
+from slotwise.operators.metrics import (
+    FIVE,
+    bias_direction,
+    fold_summary,
+    metric_delta,
+    naive_predictions,
+    regression_metrics,
+    three_metrics,
+    to_long,
+)
+from slotwise.plans import common as C
+from slotwise.plans.registry import register
+from slotwise.schemas import TARGET
+
+P = C.PROFILE
+FEAT = C.PIPELINE_CTES
+TEMPORAL = (
+    f"CASE WHEN hour < TIMESTAMP '{P.val_start}' THEN 'train' "
+    f"WHEN hour < TIMESTAMP '{P.test_start}' THEN 'val' ELSE 'test' END"
+)
+NAIVE = {
+    "lag_1h": "demand_lag_1h",
+    "lag_24h": "demand_lag_24h",
+    "lag_168h": "demand_lag_168h",
+    "rolling_3h": "demand_rolling_3h",
+    "rolling_168h": "demand_rolling_168h",
+}
+
+
+def _metric_sql(pred: str, y: str = "demand", rnd: str = "round({}, 6)") -> str:
+    e = f"({pred} - {y})"
+    parts = {
+        "mae": f"avg(abs({e}))",
+        "rmse": f"sqrt(avg({e} * {e}))",
+        "r2": f"1.0 - sum({e} * {e}) / nullif(var_pop({y}) * count({y}), 0)",
+        "mape": f"avg(CASE WHEN {y} > 0 THEN abs(({y} - {pred}) / {y}) END) * 100.0",
+        "mbe": f"avg({e})",
+    }
+    return ", ".join(f"{rnd.format(v)} AS {k}" for k, v in parts.items())
+
+
+def _labelled(spark, sf_dir):
+    return SP.temporal_split(C.features(spark, sf_dir), P.val_start, P.test_start)
+
+
+_naive_union = "\n  UNION ALL ".join(
+    f"SELECT '{m}' AS model, split, demand, CAST({c} AS DOUBLE) AS prediction FROM labelled" for m, c in NAIVE.items()
+)
+
+
+@register(
+    "naive_forecast_metrics",
+    FEAT
+    + f""", labelled AS (SELECT *, {TEMPORAL} AS split FROM features),
+preds AS ({_naive_union})
+SELECT model, split, {_metric_sql('prediction')}, count(*) AS n FROM preds GROUP BY 1, 2""",
+)
+def q_naive_forecast_metrics(spark, sf_dir):
+    """J16 + J4: five-metric suite of seasonal-naive forecasts per split."""
+    preds = naive_predictions(_labelled(spark, sf_dir), NAIVE, keep=["split"])
+    return regression_metrics(preds, ["model", "split"])
+
+
+@register(
+    "naive_forecast_metrics_long",
+    FEAT
+    + f""", labelled AS (SELECT *, {TEMPORAL} AS split FROM features),
+preds AS ({_naive_union}),
+wide AS (SELECT model, split, {_metric_sql('prediction')} FROM preds GROUP BY 1, 2)
+UNPIVOT wide ON mae, rmse, r2, mape, mbe INTO NAME metric VALUE value""",
+)
+def q_naive_forecast_metrics_long(spark, sf_dir):
+    """J4 long form ``(model, split, metric, value)``."""
+    preds = naive_predictions(_labelled(spark, sf_dir), NAIVE, keep=["split"])
+    return to_long(regression_metrics(preds, ["model", "split"]), ["model", "split"], FIVE)
+
+
+_CV_NAIVE = {"lag_168h": "demand_lag_168h", "rolling_168h": "demand_rolling_168h"}
+_cv_union = "\n  UNION ALL ".join(
+    f"SELECT '{m}' AS model, test_fold AS fold, demand, CAST({c} AS DOUBLE) AS prediction FROM folded WHERE test_fold IS NOT NULL"
+    for m, c in _CV_NAIVE.items()
+)
+
+
+@register(
+    "naive_cv_summary",
+    FEAT
+    + f""", trainval AS (SELECT * FROM features WHERE hour < TIMESTAMP '{P.test_start}'),
+folded AS (SELECT *, CASE WHEN pos >= first THEN CAST(floor((pos - first) / size) + 1 AS INTEGER) END AS test_fold FROM (
+  SELECT *, row_number() OVER (ORDER BY hour, PULocationID) - 1 AS pos,
+    count(*) OVER () - {P.folds} * (count(*) OVER () // {P.folds + 1}) AS first,
+    count(*) OVER () // {P.folds + 1} AS size FROM trainval)),
+preds AS ({_cv_union}),
+per_fold AS (SELECT model, fold, {_metric_sql('prediction', rnd='round_even({}, 4)')} FROM preds GROUP BY 1, 2)
+SELECT model, round(avg(mae), 4) AS mean_mae, round(stddev_samp(mae), 4) AS std_mae,
+  round(avg(rmse), 4) AS mean_rmse, round(avg(r2), 4) AS mean_r2, count(*) AS folds FROM per_fold GROUP BY 1""",
+)
+def q_naive_cv_summary(spark, sf_dir):
+    """J5 + J6 over I4: seasonal-naive forecasts scored on 5 expanding time
+    folds of the train+val rows (fold metrics rounded half-even to 4)."""
+    trainval = C.features(spark, sf_dir).filter(F.col("hour") < F.lit(P.test_start).cast("timestamp_ntz"))
+    folded = SP.time_series_folds(trainval, P.folds).filter(F.col("test_fold").isNotNull())
+    preds = naive_predictions(folded.withColumnRenamed("test_fold", "fold"), _CV_NAIVE, keep=["fold"])
+    per_fold = three_metrics(preds, ["model", "fold"])
+    return fold_summary(per_fold)
+
+
+@register(
+    "bias_direction",
+    FEAT
+    + f""", labelled AS (SELECT *, {TEMPORAL} AS split FROM features),
+preds AS ({_naive_union})
+SELECT model, round(avg(prediction - demand), 6) AS mbe,
+  CASE WHEN round(avg(prediction - demand), 6) > 0 THEN 'over-predicts: risk of overstaffing'
+       ELSE 'under-predicts: risk of understaffing' END AS direction
+FROM preds WHERE split = 'val' GROUP BY 1""",
+)
+def q_bias_direction(spark, sf_dir):
+    """over/under-prediction of each naive forecast on validation."""
+    preds = naive_predictions(_labelled(spark, sf_dir), NAIVE, keep=["split"]).filter(F.col("split") == "val")
+    m = regression_metrics(preds, ["model"], metrics=["mbe"]).select("model", "mbe")
+    return m.select("model", "mbe", bias_direction("mbe").alias("direction"))
+
+
+def _linear_models():
+    return {"linear_regression": M.linear_regression(), "ridge": M.ridge(1.0)}
+
+
+@register("linear_model_metrics")
+def q_linear_model_metrics(spark, sf_dir):
+    """J1 + J2 + J12: OLS and ridge fitted on train, scored on validation."""
+    return M.compare_models(_labelled(spark, sf_dir), _linear_models())
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    """OLS, baseline forest (100 trees, seed 42) and ridge on the
+    temporal split, same metric names."""
+    models = {
+        "linear_regression": M.linear_regression(),
+        "random_forest": M.random_forest(),
+        "ridge": M.ridge(1.0),
+    }
+    return M.compare_models(_labelled(spark, sf_dir), models)
+
+
+@register("ridge_vs_ols_delta")
+def q_ridge_vs_ols_delta(spark, sf_dir):
+    """Change of every validation metric from OLS to ridge."""
+    wide = M.compare_models(_labelled(spark, sf_dir), _linear_models())
+    return metric_delta(to_long(wide, ["model"]), "linear_regression", "ridge")
+
+
+def _trainval_folds(spark, sf_dir):
+    trainval = C.features(spark, sf_dir).filter(F.col("hour") < F.lit(P.test_start).cast("timestamp_ntz"))
+    return trainval
+
+
+@register("linear_time_series_cv")
+def q_linear_time_series_cv(spark, sf_dir):
+    """OLS on 5 expanding time folds of train+val; per-fold MAE/RMSE/R^2."""
+    folds = SP.time_series_folds(_trainval_folds(spark, sf_dir), P.folds)
+    return M.time_series_cv(folds, M.linear_regression(), P.folds, "linear_regression")
+
+
+@register("linear_shuffled_cv")
+def q_linear_shuffled_cv(spark, sf_dir):
+    """OLS on 5 shuffled folds of train+val; per-fold MAE."""
+    folds = SP.shuffled_folds(_trainval_folds(spark, sf_dir), P.folds, P.seed)
+    return M.shuffled_cv(folds, M.linear_regression(), P.folds, "linear_regression")
+
+
+@register("split_method_comparison")
+def q_split_method_comparison(spark, sf_dir):
+    """One table comparing temporal CV, the two temporal hold-outs and
+    shuffled CV for the same estimator (OLS here; any factory works)."""
+    from slotwise.plans.evaluation import split_method_comparison
+
+    return split_method_comparison(C.features(spark, sf_dir), M.linear_regression(), P)

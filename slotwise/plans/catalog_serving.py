@@ -1 +1,307 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: lookup table and forecast serving.
+
+The forecast table is scored with the seasonal-naive predictor ``mean of the
+demand one week earlier`` (a lookup column), so every serving query has a
+DuckDB oracle; ``forecast_table_model`` scores the same slots with a fitted
+OLS model (rows-only check).  The error band is the validation MAE of that
+naive forecast, computed from the data rather than hard-coded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slotwise.functions.calendar import weekday_to_date
+from slotwise.operators import models as M
+from slotwise.operators import serve as S
+from slotwise.operators import splits as SP
+from slotwise.operators.lookup import build_lookup, missing_keys
+from slotwise.operators.metrics import regression_metrics
+from slotwise.plans import common as C
+from slotwise.plans.registry import register, round_doubles
+from slotwise.schemas import HOUR, TARGET, ZONE
+from slotwise.sources import testdata
+
+P = C.PROFILE
+PREDICTOR = "mean_demand_lag_168h"
+SLOT_HOUR, SLOT_DOW = 8, 0  # Monday 8 AM: the example slot of the slot queries
+
+LOOKUP_SQL = f"""lookup AS (SELECT {ZONE}, hour_of_day, day_of_week, avg(demand) AS mean_demand,
+  avg(demand_lag_1h) AS mean_demand_lag_1h, avg(demand_lag_24h) AS mean_demand_lag_24h,
+  avg(demand_lag_168h) AS mean_demand_lag_168h, avg(demand_rolling_3h) AS mean_demand_rolling_3h,
+  avg(demand_rolling_168h) AS mean_demand_rolling_168h FROM features GROUP BY 1, 2, 3)"""
+BAND_SQL = f"""band AS (SELECT avg(abs(demand_lag_168h - demand)) AS error_band FROM features
+  WHERE hour >= TIMESTAMP '{P.val_start}' AND hour < TIMESTAMP '{P.test_start}')"""
+FORECAST_SQL = f"""forecast AS (
+  SELECT l.{ZONE} AS zone_id, coalesce(z.Zone, 'Zone ' || CAST(l.{ZONE} AS VARCHAR)) AS zone_name,
+    l.hour_of_day, l.day_of_week, CAST(l.day_of_week >= 5 AS INTEGER) AS is_weekend,
+    l.{PREDICTOR} AS prediction, b.error_band, l.mean_demand AS historical_mean,
+    CASE WHEN l.mean_demand > 0 THEN (l.{PREDICTOR} - l.mean_demand) / l.mean_demand * 100.0 ELSE 0.0 END AS vs_avg_pct
+  FROM lookup l CROSS JOIN band b LEFT JOIN zones z ON l.{ZONE} = z.LocationID)"""
+BUSIEST_SQL = f"""busiest AS (SELECT arg_max({ZONE}, (s, -{ZONE})) AS zone FROM (
+  SELECT {ZONE}, sum(demand) AS s FROM features GROUP BY 1))"""
+BASE = C.PIPELINE_CTES.rstrip() + ",\n" + ",\n".join([testdata.ZONES_SQL, LOOKUP_SQL, BAND_SQL, FORECAST_SQL, BUSIEST_SQL]) + "\n"
+
+
+def _lookup(spark, sf_dir, as_of=None):
+    return build_lookup(C.features(spark, sf_dir), as_of=as_of)
+
+
+def _band(features):
+    val = features.filter(
+        (F.col(HOUR) >= F.lit(P.val_start).cast("timestamp_ntz")) & (F.col(HOUR) < F.lit(P.test_start).cast("timestamp_ntz"))
+    )
+    return val.select(F.avg(F.abs(F.col("demand_lag_168h") - F.col(TARGET)))).scalar()
+
+
+def _forecast(spark, sf_dir):
+    feats = C.features(spark, sf_dir)
+    return S.forecast_table(build_lookup(feats), PREDICTOR, C.zones(spark, sf_dir), _band(feats))
+
+
+def _busiest(spark, sf_dir, rank: int = 1):
+    """Data-derived selection: the zone with the largest (rank-th largest) total demand."""
+    totals = C.features(spark, sf_dir).groupBy(ZONE).agg(F.sum(TARGET).alias("s"))
+    if rank == 1:
+        return totals.select(F.max_by(ZONE, F.struct("s", -F.col(ZONE)))).scalar()
+    # rank-th zone = the last row of a top-k (k = rank), taken as a scalar
+    top = totals.orderBy(F.desc("s"), F.asc(ZONE)).limit(rank)
+    return top.select(F.min_by(ZONE, F.struct("s", -F.col(ZONE)))).scalar()
+
+
+_lookup_cols = "PULocationID, hour_of_day, day_of_week, " + ", ".join(
+    f"round({c}, 6) AS {c}"
+    for c in ["mean_demand", "mean_demand_lag_1h", "mean_demand_lag_24h", "mean_demand_lag_168h",
+              "mean_demand_rolling_3h", "mean_demand_rolling_168h"]
+)
+
+
+@register("lookup_table", BASE + f"SELECT {_lookup_cols} FROM lookup")
+def q_lookup_table(spark, sf_dir):
+    """Mean demand and lag/rolling inputs per (zone, hour, weekday)."""
+    return round_doubles(_lookup(spark, sf_dir))
+
+
+@register(
+    "zone_listing",
+    BASE
+    + f"""SELECT l.{ZONE} AS id, coalesce(z.Zone, 'Zone ' || CAST(l.{ZONE} AS VARCHAR)) AS name,
+  coalesce(z.Borough, 'Unknown') AS borough FROM (SELECT DISTINCT {ZONE} FROM lookup) l
+LEFT JOIN zones z ON l.{ZONE} = z.LocationID""",
+)
+def q_zone_listing(spark, sf_dir):
+    """K1 + G5 + D7: zones with history and their names."""
+    return S.zone_listing(_lookup(spark, sf_dir), C.zones(spark, sf_dir))
+
+
+_FC_COLS = (
+    "zone_id, zone_name, hour_of_day, day_of_week, is_weekend, round(prediction, 6) AS prediction, "
+    "round(error_band, 6) AS error_band, round(historical_mean, 6) AS historical_mean, round(vs_avg_pct, 6) AS vs_avg_pct"
+)
+_LABELS = (
+    "CASE WHEN hour_of_day % 12 = 0 THEN 12 ELSE hour_of_day % 12 END || CASE WHEN hour_of_day < 12 THEN ' AM' ELSE ' PM' END AS hour_label, "
+    "CASE WHEN vs_avg_pct > 0 THEN '+' ELSE '' END || printf('%.1f', round(vs_avg_pct, 1)) || '%' AS vs_avg_label"
+)
+
+
+@register("forecast_table", BASE + f"SELECT {_FC_COLS}, {_LABELS} FROM forecast")
+def q_forecast_table(spark, sf_dir):
+    """K10 (+ K2 fields, B15, B17, B18): every zone x 168 slots."""
+    return round_doubles(_forecast(spark, sf_dir))
+
+
+@register("forecast_table_model")
+def q_forecast_table_model(spark, sf_dir):
+    """K10 with a fitted model: OLS trained on the temporal train split
+    scores every zone x 168 slot from the lookup."""
+    feats = C.features(spark, sf_dir)
+    train = SP.temporal_split(feats, P.val_start, P.test_start).filter(F.col("split") == "train")
+    model = M.fit(M.linear_regression(), train)
+    return round_doubles(S.forecast_table(build_lookup(feats), model, C.zones(spark, sf_dir), _band(feats)))
+
+
+@register(
+    "slot_forecast",
+    BASE + f"SELECT zone_id, round(prediction, 6) AS prediction, round(historical_mean, 6) AS historical_mean "
+    f"FROM forecast WHERE hour_of_day = {SLOT_HOUR} AND day_of_week = {SLOT_DOW}",
+)
+def q_slot_forecast(spark, sf_dir):
+    """K3: all zones at one slot (Monday 8 AM)."""
+    return round_doubles(S.predict_all(_forecast(spark, sf_dir), SLOT_HOUR, SLOT_DOW))
+
+
+@register(
+    "zone_timeline",
+    BASE + "SELECT hour_of_day AS hour, round(prediction, 6) AS prediction FROM forecast "
+    "WHERE zone_id = (SELECT zone FROM busiest) AND day_of_week = 0",
+)
+def q_zone_timeline(spark, sf_dir):
+    """K4: 24-hour Monday forecast of the busiest zone."""
+    return round_doubles(S.timeline(_forecast(spark, sf_dir), _busiest(spark, sf_dir), 0))
+
+
+_heat_cols = ", ".join(f"round(max(prediction) FILTER (WHERE day_of_week = {d}), 6) AS d{d}" for d in range(7))
+
+
+@register(
+    "zone_heatmap",
+    BASE + f"SELECT hour_of_day AS hour, {_heat_cols} FROM forecast WHERE zone_id = (SELECT zone FROM busiest) GROUP BY 1",
+)
+def q_zone_heatmap(spark, sf_dir):
+    """K5: 24 x 7 heatmap (rows hours, columns weekdays) of the busiest zone."""
+    return round_doubles(S.heatmap_wide(S.heatmap(_forecast(spark, sf_dir), _busiest(spark, sf_dir))))
+
+
+RANK_SQL = """ranked AS (SELECT zone_id, zone_name, hour_of_day, day_of_week, is_weekend, prediction,
+  row_number() OVER (PARTITION BY hour_of_day, day_of_week, is_weekend ORDER BY round(prediction, 9) DESC, zone_id) AS rank,
+  count(*) OVER (PARTITION BY hour_of_day, day_of_week, is_weekend) AS of_zones FROM forecast)"""
+
+
+@register(
+    "zone_ranks",
+    BASE + ", " + RANK_SQL + " SELECT zone_id, hour_of_day, day_of_week, is_weekend, round(prediction, 6) AS prediction, "
+    "rank, of_zones FROM ranked",
+)
+def q_zone_ranks(spark, sf_dir):
+    """rank of each zone at each slot, of N zones."""
+    return round_doubles(S.zone_ranks(_forecast(spark, sf_dir)))
+
+
+@register(
+    "top_zones",
+    BASE + ", " + RANK_SQL + " SELECT zone_id, zone_name, hour_of_day, day_of_week, is_weekend, "
+    "round(prediction, 6) AS prediction, rank FROM ranked WHERE rank <= 5",
+)
+def q_top_zones(spark, sf_dir):
+    """G3 + K6: the five highest forecasts of every slot, with names."""
+    return round_doubles(S.top_zones(_forecast(spark, sf_dir), 5))
+
+
+@register(
+    "zone_intensity",
+    BASE
+    + """SELECT zone_id, hour_of_day, day_of_week, is_weekend, round(prediction, 6) AS prediction,
+  round(CASE WHEN max(prediction) OVER (PARTITION BY hour_of_day, day_of_week, is_weekend) > 0
+    THEN least(1.0, sqrt(greatest(prediction, 0.0) / max(prediction) OVER (PARTITION BY hour_of_day, day_of_week, is_weekend)))
+    ELSE 0.0 END, 6) AS map_intensity,
+  round(CASE WHEN max(prediction) OVER (PARTITION BY zone_id) > 0
+    THEN least(1.0, greatest(prediction, 0.0) / max(prediction) OVER (PARTITION BY zone_id)) ELSE 0.0 END, 6) AS heat_intensity
+FROM forecast""",
+)
+def q_zone_intensity(spark, sf_dir):
+    """Map and heatmap shading intensities."""
+    return round_doubles(S.zone_intensity(_forecast(spark, sf_dir)))
+
+
+@register(
+    "compare_zones",
+    BASE
+    + f""", second AS (SELECT {ZONE} AS zone FROM (SELECT {ZONE}, row_number() OVER (ORDER BY sum(demand) DESC, {ZONE}) AS r
+  FROM features GROUP BY 1) WHERE r = 2),
+a AS (SELECT hour_of_day AS hour, zone_id AS zone_a, prediction AS prediction_a FROM forecast
+      WHERE zone_id = (SELECT zone FROM busiest) AND day_of_week = 0),
+b AS (SELECT hour_of_day AS hour, zone_id AS zone_b, prediction AS prediction_b FROM forecast
+      WHERE zone_id = (SELECT zone FROM second) AND day_of_week = 0)
+SELECT coalesce(a.hour, b.hour) AS hour, zone_a, round(prediction_a, 6) AS prediction_a, zone_b,
+  round(prediction_b, 6) AS prediction_b, round(prediction_a - prediction_b, 6) AS difference
+FROM a FULL JOIN b ON a.hour = b.hour""",
+)
+def q_compare_zones(spark, sf_dir):
+    """The two busiest zones' Monday timelines side by side."""
+    fc = _forecast(spark, sf_dir)
+    out = S.compare(fc, {"zone": _busiest(spark, sf_dir), "dow": 0, "weekend": 0}, {"zone": _busiest(spark, sf_dir, 2), "dow": 0, "weekend": 0})
+    return round_doubles(out)
+
+
+VAL_LOOKUP_SQL = LOOKUP_SQL.replace("lookup AS", "val_lookup AS").replace(
+    "FROM features GROUP BY", f"FROM features WHERE hour < TIMESTAMP '{P.val_start}' GROUP BY"
+)
+
+
+@register(
+    "predict_validation",
+    BASE
+    + ", "
+    + VAL_LOOKUP_SQL
+    + f"""
+SELECT r.{ZONE} AS zone_id, coalesce(z.Zone, 'Zone ' || CAST(r.{ZONE} AS VARCHAR)) AS zone_name, r.hour_of_day,
+  r.day_of_week, r.is_weekend, round(l.{PREDICTOR}, 6) AS prediction, round(b.error_band, 6) AS error_band,
+  round(l.mean_demand, 6) AS historical_mean,
+  round(CASE WHEN l.mean_demand > 0 THEN (l.{PREDICTOR} - l.mean_demand) / l.mean_demand * 100.0 ELSE 0.0 END, 6) AS vs_avg_pct
+FROM (SELECT {ZONE}, hour_of_day, day_of_week, is_weekend FROM features
+      WHERE hour >= TIMESTAMP '{P.val_start}' AND hour < TIMESTAMP '{P.test_start}') r
+JOIN val_lookup l ON r.{ZONE} = l.{ZONE} AND r.hour_of_day = l.hour_of_day AND r.day_of_week = l.day_of_week
+CROSS JOIN band b LEFT JOIN zones z ON r.{ZONE} = z.LocationID""",
+)
+def q_predict_validation(spark, sf_dir):
+    """K2 (batch) + D4: serve every validation slot from a lookup built on
+    training hours only (a backtest of the serving path)."""
+    feats = C.features(spark, sf_dir)
+    requests = feats.filter(
+        (F.col(HOUR) >= F.lit(P.val_start).cast("timestamp_ntz")) & (F.col(HOUR) < F.lit(P.test_start).cast("timestamp_ntz"))
+    ).select(ZONE, "hour_of_day", "day_of_week", "is_weekend")
+    out = S.predict(requests, build_lookup(feats, as_of=P.val_start), PREDICTOR, C.zones(spark, sf_dir), _band(feats))
+    return round_doubles(out)
+
+
+@register(
+    "missing_history",
+    BASE
+    + f"""
+SELECT DISTINCT c.{ZONE}, CAST(hour(c.hour) AS INTEGER) AS hour_of_day, CAST(isodow(c.hour) - 1 AS INTEGER) AS day_of_week
+FROM cells c WHERE NOT EXISTS (SELECT 1 FROM lookup l WHERE l.{ZONE} = c.{ZONE}
+  AND l.hour_of_day = hour(c.hour) AND l.day_of_week = isodow(c.hour) - 1)""",
+)
+def q_missing_history(spark, sf_dir):
+    """Observed (zone, hour, weekday) keys without lookup history (the
+    zones dropped as inactive); the strict API rejects these requests."""
+    cells = C.cells(spark, sf_dir)
+    req = cells.select(
+        ZONE, F.hour(HOUR).alias("hour_of_day"), F.weekday(HOUR).alias("day_of_week")
+    ).distinct()
+    return missing_keys(req, _lookup(spark, sf_dir))
+
+
+_CARD_SQL = f""", m AS (SELECT avg(abs(demand_lag_168h - demand)) AS mae, sqrt(avg((demand_lag_168h - demand) ^ 2)) AS rmse,
+  1.0 - sum((demand_lag_168h - demand) ^ 2) / nullif(var_pop(demand) * count(demand), 0) AS r2,
+  avg(CASE WHEN demand > 0 THEN abs((demand - demand_lag_168h) / demand) END) * 100.0 AS mape,
+  avg(demand_lag_168h - demand) AS mbe FROM features
+  WHERE hour >= TIMESTAMP '{P.val_start}' AND hour < TIMESTAMP '{P.test_start}'),
+l AS (SELECT * FROM (SELECT round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2, round(mape, 6) AS mape,
+  round(mbe, 6) AS mbe FROM m) UNPIVOT (v FOR metric IN (mae, rmse, r2, mape, mbe)))
+SELECT 'naive-lag-168h' AS version, 'Validation' AS stage,
+  CASE WHEN metric = 'r2' THEN 'R²' ELSE upper(metric) END AS name,
+  CASE WHEN metric = 'r2' THEN printf('%.4f', round(v, 4)) WHEN metric = 'mape' THEN printf('%.1f%%', round(v, 1))
+       ELSE printf('%.2f', round(v, 2)) END AS value,
+  CASE WHEN metric = 'r2' THEN printf('The model explains %.1f%% of the variation in demand.', round(v * 100.0, 1))
+       WHEN metric = 'mae' THEN printf('Predictions miss by %.2f trips per zone-hour on average.', round(v, 2))
+       WHEN metric = 'rmse' THEN printf('Large misses weigh more: the root mean squared error is %.2f trips.', round(v, 2))
+       WHEN metric = 'mape' THEN printf('On zone-hours with demand, the average relative miss is %.1f%%.', round(v, 1))
+       ELSE printf('Mean bias is %.2f trips per zone-hour.', round(v, 2)) || ' The model ' ||
+            CASE WHEN v > 0 THEN 'over-predicts (overstaffing risk).' ELSE 'under-predicts (understaffing risk).' END
+  END AS interpretation FROM l"""
+
+
+@register("model_card", BASE + _CARD_SQL)
+def q_model_card(spark, sf_dir):
+    """K9 + J15: model card rows (name, value, sentence) from validation
+    metrics of the seasonal-naive forecast."""
+    feats = C.features(spark, sf_dir)
+    val = feats.filter(
+        (F.col(HOUR) >= F.lit(P.val_start).cast("timestamp_ntz")) & (F.col(HOUR) < F.lit(P.test_start).cast("timestamp_ntz"))
+    ).select(TARGET, F.col("demand_lag_168h").alias("prediction"))
+    metrics = regression_metrics(val)
+    return S.model_card(metrics, "naive-lag-168h", "Validation")
+
+
+@register(
+    "forecast_dates",
+    BASE
+    + """SELECT CAST(d.range AS INTEGER) AS day_of_week,
+  CAST(CAST(max_hour AS DATE) + CAST(((d.range - (isodow(max_hour) - 1) - 1) % 7 + 7) % 7 + 1 AS INTEGER) AS DATE) AS forecast_date
+FROM range(7) d, (SELECT max(hour) AS max_hour FROM features)""",
+)
+def q_forecast_dates(spark, sf_dir):
+    """Calendar date of each weekday in the week after the data ends."""
+    end = C.features(spark, sf_dir).select(F.max(HOUR)).scalar()
+    return S.weekday_dates(spark, end)
