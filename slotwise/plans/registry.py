@@ -63,4 +63,5 @@ def load_all() -> None:
         catalog_quality,
         catalog_serving,
         catalog_splits,
+        catalog_streaming,
     )

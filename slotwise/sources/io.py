@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from slotwise.schemas import HOUR, TRIP_SCHEMA, ZONE_CSV_SCHEMA
@@ -64,23 +65,24 @@ def read_zone_geojson(spark: SparkSession, path: str) -> DataFrame:
     The id is the first present spelling of ``location_id``, ``LocationID``,
     ``locationid``; absent names default to ``Zone <id>`` / ``Unknown``.
     """
-    raw = spark.read.option("multiLine", True).json(path)
-    feats = raw.select(F.explode("features").alias("f")).select("f.properties.*")
-    cols = set(feats.columns)
+    # properties are kept as raw JSON text: the id spellings differ only in
+    # case, which schema inference (case-insensitive) would merge.
+    schema = T.StructType(
+        [T.StructField("features", T.ArrayType(T.StructType([T.StructField("properties", T.StringType())])))]
+    )
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    props = raw.select(F.explode("features").alias("f")).select(F.col("f.properties").alias("p"))
 
     def prop(name):
-        return F.col(f"`{name}`") if name in cols else F.lit(None)
+        return F.get_json_object("p", f"$.{name}")
 
     loc = F.coalesce(*[_nonblank(prop(n)) for n in ("location_id", "LocationID", "locationid")])
     loc_id = F.floor(loc.cast("double")).cast("int")
-    zone = prop("zone").cast("string") if "zone" in cols else F.lit(None).cast("string")
-    borough = prop("borough").cast("string") if "borough" in cols else F.lit(None).cast("string")
-    out = feats.select(
+    return props.select(
         loc_id.alias("LocationID"),
-        F.coalesce(zone, F.concat(F.lit("Zone "), loc_id.cast("string"))).alias("Zone"),
-        F.coalesce(borough, F.lit("Unknown")).alias("Borough"),
+        F.coalesce(prop("zone"), F.concat(F.lit("Zone "), loc_id.cast("string"))).alias("Zone"),
+        F.coalesce(prop("borough"), F.lit("Unknown")).alias("Borough"),
     )
-    return out
 
 
 def write_table(
