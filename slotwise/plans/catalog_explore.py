@@ -227,3 +227,134 @@ def _mi_sql(c: str) -> str:
 def q_mutual_info_ranking(spark, sf_dir):
     """E22 (re-aimed): plug-in mutual information of discrete candidates."""
     return X.mutual_information_ranking(_eda_frame(spark, sf_dir), CANDIDATES)
+
+
+# ---------------------------------------------------------------------------
+# The EDA summary table (metric, value) assembled from scalar aggregates
+# ---------------------------------------------------------------------------
+_STUDY = ("2024-01-01", "2024-02-01")
+
+
+def _row(df):
+    """A one-row aggregate as a struct-valued scalar subquery."""
+    return df.select(F.struct(*df.columns).alias("s")).scalar()
+
+
+def _fmt_int(c):
+    return F.format_number(c.cast("long"), 0)
+
+
+def _fmt2(c):
+    return F.format_string("%.2f", F.round(c.cast("double"), 2))
+
+
+def eda_summary(spark, sf_dir):
+    from slotwise.functions.expressions import unbiased_skewness
+    from slotwise.operators.panel import hourly_demand
+    from slotwise.plans.catalog_quality import named_timed_trips, named_trips
+
+    trips = C.trips(spark, sf_dir)
+    named = named_trips(spark, sf_dir)
+    timed = named_timed_trips(spark, sf_dir)
+    raw_cells = hourly_demand(trips)
+    ts = F.col(PICKUP)
+    t = _row(trips.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~((ts >= F.lit(_STUDY[0]).cast("timestamp_ntz")) & (ts < F.lit(_STUDY[1]).cast("timestamp_ntz")))).alias("outside"),
+        F.count_if(F.col("trip_distance") <= 0).alias("bad_dist"),
+        F.count_if(F.col("fare_amount") < 0).alias("neg_fare"),
+        F.count_if(F.col(ZONE).isNull() | (F.col(ZONE) <= 0)).alias("bad_zone"),
+        F.count_distinct(F.date_trunc("hour", ts)).alias("hours"),
+        F.count_distinct(ZONE).alias("zones"),
+    ))
+    nm = _row(named.agg(F.count_if(F.col("Zone").isNull() & F.col("Borough").isNull()).alias("k"), F.count(F.lit(1)).alias("n")))
+    tm = _row(timed.agg(
+        F.count_if(F.col("tpep_pickup_datetime") > F.col("tpep_dropoff_datetime")).alias("after"),
+        F.count_if(F.col("tpep_dropoff_datetime") <= F.col("tpep_pickup_datetime")).alias("nonpos"),
+        F.count_if(F.col("total_amount") < 0).alias("neg_total"),
+    ))
+    hz = _row(X.trips_by_hour(trips).agg(
+        F.max_by("hour_of_day", F.struct("trips", -F.col("hour_of_day"))).alias("h"), F.max("trips").alias("c")
+    ))
+    zz = _row(trips.groupBy(ZONE).agg(F.count(F.lit(1)).alias("c")).agg(
+        F.max_by(ZONE, F.struct("c", -F.col(ZONE))).alias("z"), F.max("c").alias("c")
+    ))
+    d = F.col("demand")
+    cs = _row(raw_cells.agg(
+        F.min(d).alias("mn"), F.percentile(d, 0.5).alias("med"), F.avg(d).alias("mean"), F.percentile(d, 0.95).alias("p95"),
+        F.max(d).alias("mx"), unbiased_skewness(d).alias("skew"), F.count(F.lit(1)).alias("obs"),
+    ))
+    full = t["hours"] * t["zones"]
+    rows = [
+        ("Raw dataset shape", F.concat(_fmt_int(t["n"]), F.lit(f" rows x {len(trips.columns)} columns"))),
+        ("Rows outside January 2024", _fmt_int(t["outside"])),
+        ("Repeated missingness (Zone/Borough)", F.concat(_fmt_int(nm["k"]), F.lit(" rows ("), _fmt2(nm["k"] * 100.0 / nm["n"]), F.lit("%) in each of Zone/Borough"))),
+        ("Pickup after dropoff rows", _fmt_int(tm["after"])),
+        ("Zero/negative duration rows", _fmt_int(tm["nonpos"])),
+        ("Zero/negative trip distance rows", _fmt_int(t["bad_dist"])),
+        ("Negative fare_amount rows", _fmt_int(t["neg_fare"])),
+        ("Negative total_amount rows", _fmt_int(tm["neg_total"])),
+        ("Invalid or missing PULocationID rows", _fmt_int(t["bad_zone"])),
+        ("Top pickup zone concentration", F.concat(F.lit("Zone "), zz["z"].cast("string"), F.lit(": "), _fmt_int(zz["c"]), F.lit(" trips ("), _fmt2(zz["c"] * 100.0 / t["n"]), F.lit("%)"))),
+        ("Peak hour-of-day concentration", F.concat(F.lpad(hz["h"].cast("string"), 2, "0"), F.lit(":00: "), _fmt_int(hz["c"]), F.lit(" trips ("), _fmt2(hz["c"] * 100.0 / t["n"]), F.lit("%)"))),
+        ("Aggregated trip_count skew", F.concat(
+            F.lit("min="), cs["mn"].cast("string"), F.lit(", median="), F.format_string("%.0f", F.round(cs["med"], 0)),
+            F.lit(", mean="), F.format_string("%.1f", F.round(cs["mean"], 1)), F.lit(", 95th="), F.format_string("%.0f", F.round(cs["p95"], 0)),
+            F.lit(", max="), cs["mx"].cast("string"), F.lit(", skew="), _fmt2(cs["skew"]))),
+        ("Zone-hour observed coverage", F.concat(_fmt_int(cs["obs"]), F.lit(" / "), _fmt_int(full), F.lit(" ("), _fmt2(cs["obs"] * 100.0 / full), F.lit("%)"))),
+        ("Zone-hour implied zero-demand share", F.concat(_fmt_int(full - cs["obs"]), F.lit(" / "), _fmt_int(full), F.lit(" ("), _fmt2((full - cs["obs"]) * 100.0 / full), F.lit("%)"))),
+    ]
+    one = spark.range(1).select(
+        F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(m).alias("metric"), v.alias("value")) for i, (m, v) in enumerate(rows)])).alias("s")
+    )
+    return one.select("s.metric", "s.value")
+
+
+def _eda_summary_sql() -> str:
+    from slotwise.plans.catalog_quality import CTE_NAMED
+
+    ctes = C.with_ctes(
+        C.CTE_TRIPS, testdata.ZONES_SQL, CTE_NAMED,
+        testdata.TIMED_TRIPS_SQL.replace("timed AS", "timed0 AS"),
+        f"timed AS (SELECT t.*, z.Zone, z.Borough FROM timed0 t LEFT JOIN zones z ON t.{ZONE} = z.LocationID)",
+        f"raw_cells AS (SELECT {ZONE}, date_trunc('hour', {PICKUP}) AS hour, count(*) AS demand FROM trips GROUP BY 1, 2)",
+        f"""t AS (SELECT count(*) AS n,
+  count(*) FILTER (WHERE NOT ({PICKUP} >= TIMESTAMP '{_STUDY[0]}' AND {PICKUP} < TIMESTAMP '{_STUDY[1]}')) AS outside,
+  count(*) FILTER (WHERE trip_distance <= 0) AS bad_dist, count(*) FILTER (WHERE fare_amount < 0) AS neg_fare,
+  count(*) FILTER (WHERE {ZONE} IS NULL OR {ZONE} <= 0) AS bad_zone,
+  count(DISTINCT date_trunc('hour', {PICKUP})) AS hours, count(DISTINCT {ZONE}) AS zones FROM trips)""",
+        "nm AS (SELECT count(*) FILTER (WHERE Zone IS NULL AND Borough IS NULL) AS k, count(*) AS n FROM named)",
+        """tm AS (SELECT count(*) FILTER (WHERE tpep_pickup_datetime > tpep_dropoff_datetime) AS after,
+  count(*) FILTER (WHERE tpep_dropoff_datetime <= tpep_pickup_datetime) AS nonpos,
+  count(*) FILTER (WHERE total_amount < 0) AS neg_total FROM timed)""",
+        f"""hz AS (SELECT arg_max(h, (c, -h)) AS h, max(c) AS c FROM (
+  SELECT CAST(hour({PICKUP}) AS INTEGER) AS h, count(*) AS c FROM trips GROUP BY 1))""",
+        f"zz AS (SELECT arg_max(z, (c, -z)) AS z, max(c) AS c FROM (SELECT {ZONE} AS z, count(*) AS c FROM trips GROUP BY 1))",
+        """cs AS (SELECT min(demand) AS mn, quantile_cont(demand, 0.5) AS med, avg(demand) AS mean,
+  quantile_cont(demand, 0.95) AS p95, max(demand) AS mx, skewness(demand) AS skew, count(*) AS obs FROM raw_cells)""",
+    )
+    f2 = "printf('%.2f', round({}, 2))"
+    fi = "format('{{:,}}', CAST({} AS BIGINT))"
+    ncols = 7
+    rows = [
+        ("Raw dataset shape", f"{fi.format('t.n')} || ' rows x {ncols} columns'"),
+        ("Rows outside January 2024", fi.format("t.outside")),
+        ("Repeated missingness (Zone/Borough)", f"{fi.format('nm.k')} || ' rows (' || {f2.format('nm.k * 100.0 / nm.n')} || '%) in each of Zone/Borough'"),
+        ("Pickup after dropoff rows", fi.format("tm.after")),
+        ("Zero/negative duration rows", fi.format("tm.nonpos")),
+        ("Zero/negative trip distance rows", fi.format("t.bad_dist")),
+        ("Negative fare_amount rows", fi.format("t.neg_fare")),
+        ("Negative total_amount rows", fi.format("tm.neg_total")),
+        ("Invalid or missing PULocationID rows", fi.format("t.bad_zone")),
+        ("Top pickup zone concentration", f"'Zone ' || zz.z || ': ' || {fi.format('zz.c')} || ' trips (' || {f2.format('zz.c * 100.0 / t.n')} || '%)'"),
+        ("Peak hour-of-day concentration", f"lpad(CAST(hz.h AS VARCHAR), 2, '0') || ':00: ' || {fi.format('hz.c')} || ' trips (' || {f2.format('hz.c * 100.0 / t.n')} || '%)'"),
+        ("Aggregated trip_count skew", "'min=' || cs.mn || ', median=' || printf('%.0f', round(cs.med, 0)) || ', mean=' || printf('%.1f', round(cs.mean, 1)) "
+            "|| ', 95th=' || printf('%.0f', round(cs.p95, 0)) || ', max=' || cs.mx || ', skew=' || " + f2.format("cs.skew")),
+        ("Zone-hour observed coverage", f"{fi.format('cs.obs')} || ' / ' || {fi.format('t.hours * t.zones')} || ' (' || {f2.format('cs.obs * 100.0 / (t.hours * t.zones)')} || '%)'"),
+        ("Zone-hour implied zero-demand share", f"{fi.format('t.hours * t.zones - cs.obs')} || ' / ' || {fi.format('t.hours * t.zones')} || ' (' || {f2.format('(t.hours * t.zones - cs.obs) * 100.0 / (t.hours * t.zones)')} || '%)'"),
+    ]
+    sel = "\nUNION ALL ".join(f"SELECT '{m}' AS metric, {v} AS value FROM t, nm, tm, hz, zz, cs" for m, v in rows)
+    return ctes + sel
+
+
+register("eda_summary", _eda_summary_sql())(eda_summary)

@@ -85,3 +85,19 @@ def test_feature_plan_shuffles_only_cells(spark):
     exchanges = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
     assert all("PULocationID" in ln and "hour" not in ln.split("hashpartitioning")[1].split(")")[0] for ln in exchanges), exchanges
     assert len(exchanges) <= 2
+
+
+def test_feature_build_job_writes_partitioned_table(spark):
+    import os
+    import tempfile
+
+    from slotwise.plans.feature_build import run, training_frame
+    from slotwise.sources.testdata import load, trips_from_events
+
+    out = tempfile.mkdtemp(prefix="slotwise-build-")
+    trips = trips_from_events(load(spark, "/root/testdata/sf0.001", "events"))
+    prof = run(spark, trips, out + "/features", C.PROFILE, lookup_path=out + "/lookup").first()
+    assert prof["rows"] > 0 and prof["rows"] % prof["zones"] == 0  # dense: same hours per zone
+    assert any(d.startswith("date=") for d in os.listdir(out + "/features"))
+    assert training_frame(spark, out + "/features").count() == prof["rows"]
+    assert spark.read.parquet(out + "/lookup").count() > 0
