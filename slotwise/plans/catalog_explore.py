@@ -249,6 +249,7 @@ def _fmt2(c):
 
 
 def eda_summary(spark, sf_dir):
+    """Fourteen (metric, value) report rows from the quality and EDA aggregates."""
     from slotwise.functions.expressions import unbiased_skewness
     from slotwise.operators.panel import hourly_demand
     from slotwise.plans.catalog_quality import named_timed_trips, named_trips
