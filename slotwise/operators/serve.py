@@ -100,12 +100,8 @@ def request_features(with_lookup: DataFrame, rush_hours: Iterable[int] = RUSH_HO
     )
 
 
-def score_requests(requests: DataFrame, lookup: DataFrame, predictor) -> DataFrame:
-    """D4 + J11: requests with history -> ``prediction`` and ``historical_mean``.
-
-    Requests whose key has no history are skipped (batch semantics).
-    """
-    feats = request_features(attach_lookup(requests.select(*REQUEST_COLS), lookup))
+def _score(feats: DataFrame, predictor) -> DataFrame:
+    """J11 on request features: ``prediction`` and ``historical_mean``."""
     if isinstance(predictor, str):
         scored = feats.select("*", F.col(predictor).cast("double").alias("prediction"))
     else:
@@ -113,6 +109,31 @@ def score_requests(requests: DataFrame, lookup: DataFrame, predictor) -> DataFra
     return scored.select(*REQUEST_COLS, "prediction", F.col("mean_demand").alias("historical_mean"))
 
 
+def score_requests(requests: DataFrame, lookup: DataFrame, predictor) -> DataFrame:
+    """D4 + J11: requests with history -> ``prediction`` and ``historical_mean``.
+
+    Requests whose key has no history are skipped (batch semantics).
+    """
+    return _score(request_features(attach_lookup(requests.select(*REQUEST_COLS), lookup)), predictor)
+
+
+def _records(scored: DataFrame, zones: DataFrame, error_band: float | Column) -> DataFrame:
+    """K2 record fields: names (D7), error band (B17), percent vs typical."""
+    named = with_zone_names(scored, zones)
+    band = error_band if isinstance(error_band, Column) else F.lit(float(error_band))
+    return named.select(
+        F.col(ZONE).alias("zone_id"),
+        "zone_name",
+        "hour_of_day",
+        "day_of_week",
+        "is_weekend",
+        "prediction",
+        band.alias("error_band"),
+        "historical_mean",
+        pct_vs_typical("prediction", "historical_mean").alias("vs_avg_pct"),
+    )
+
+
 def predict(
     requests: DataFrame,
     lookup: DataFrame,
@@ -131,28 +152,18 @@ def predict(
         gone = missing_keys(requests, lookup).limit(5).collect()
         if gone:
             raise KeyError(f"no historical data for {[tuple(r) for r in gone]}")
-    scored = score_requests(requests, lookup, predictor)
-    named = with_zone_names(scored, zones)
-    band = error_band if isinstance(error_band, Column) else F.lit(float(error_band))
-    return named.select(
-        F.col(ZONE).alias("zone_id"),
-        "zone_name",
-        "hour_of_day",
-        "day_of_week",
-        "is_weekend",
-        "prediction",
-        band.alias("error_band"),
-        "historical_mean",
-        pct_vs_typical("prediction", "historical_mean").alias("vs_avg_pct"),
-    )
+    return _records(score_requests(requests, lookup, predictor), zones, error_band)
 
 
 def forecast_table(lookup: DataFrame, predictor, zones: DataFrame, error_band: float | Column = TUNED_VAL_MAE) -> DataFrame:
     """All zones x 168 slots in one batch job, with display labels.
 
-    K2-K8 are filters and windows over this table.
+    The slots are the lookup's own keys, so the lookup row already carries
+    every input: no request join.  K2-K8 are filters and windows over this
+    table.
     """
-    out = predict(lookup_slots(lookup), lookup, predictor, zones, error_band)
+    slots = lookup.select("*", (F.col("day_of_week") >= 5).cast("int").alias("is_weekend"))
+    out = _records(_score(request_features(slots), predictor), zones, error_band)
     return out.select(
         "*",
         hour_label("hour_of_day").alias("hour_label"),

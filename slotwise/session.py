@@ -22,6 +22,8 @@ DEFAULT_CONF: dict[str, str] = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # RDD checkpoints (lineage cuts) and model-training RDDs serialise with Kryo
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     # The panel join and the per-zone windows are co-partitioned on the zone
     # alone (each zone has at most one row per calendar hour on both sides,
     # so this cannot skew); with the default (true) Spark reshuffles both
