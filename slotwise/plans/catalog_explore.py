@@ -84,7 +84,7 @@ def q_weekday_hour_matrix(spark, sf_dir):
 
 @register(
     "top_zone_totals",
-    CELLS + f"SELECT {ZONE}, sum(demand) AS total_demand FROM cells GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    CELLS + f"SELECT {ZONE}, CAST(sum(demand) AS BIGINT) AS total_demand FROM cells GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
 )
 def q_top_zone_totals(spark, sf_dir):
     """Ten zones with the most demand, re-aggregated from hourly cells."""
@@ -93,7 +93,7 @@ def q_top_zone_totals(spark, sf_dir):
 
 @register(
     "top_hour_totals",
-    CELLS + "SELECT hour, sum(demand) AS total_demand FROM cells GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    CELLS + "SELECT hour, CAST(sum(demand) AS BIGINT) AS total_demand FROM cells GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
 )
 def q_top_hour_totals(spark, sf_dir):
     """Ten busiest clock hours, re-aggregated from hourly cells."""
@@ -144,7 +144,7 @@ def q_mean_demand_by_weekday(spark, sf_dir):
     return X.mean_demand_by(C.cells(spark, sf_dir), day_of_week(HOUR), "day_of_week")
 
 
-@register("daily_demand", CELLS + "SELECT CAST(hour AS DATE) AS date, sum(demand) AS demand FROM cells GROUP BY 1")
+@register("daily_demand", CELLS + "SELECT CAST(hour AS DATE) AS date, CAST(sum(demand) AS BIGINT) AS demand FROM cells GROUP BY 1")
 def q_daily_demand(spark, sf_dir):
     """Total demand per date."""
     return X.daily_demand(C.cells(spark, sf_dir))

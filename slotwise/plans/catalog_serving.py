@@ -153,7 +153,7 @@ def q_zone_heatmap(spark, sf_dir):
 
 
 RANK_SQL = """ranked AS (SELECT zone_id, zone_name, hour_of_day, day_of_week, is_weekend, prediction,
-  row_number() OVER (PARTITION BY hour_of_day, day_of_week, is_weekend ORDER BY round(prediction, 9) DESC, zone_id) AS rank,
+  CAST(row_number() OVER (PARTITION BY hour_of_day, day_of_week, is_weekend ORDER BY round(prediction, 9) DESC, zone_id) AS INTEGER) AS rank,
   count(*) OVER (PARTITION BY hour_of_day, day_of_week, is_weekend) AS of_zones FROM forecast)"""
 
 

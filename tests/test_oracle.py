@@ -29,11 +29,21 @@ def duck():
     return con
 
 
+SPARK_TO_DUCK = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN",
+}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_duckdb(spark, duck, name):
     sdf = QUERIES[name](spark, SF01)
     scols = sdf.columns
     srows = sorted((tuple(_norm(r[c]) for c in sorted(scols)) for r in sdf.collect()), key=repr)
+    rel = duck.sql(ORACLE[name])
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    assert stypes == dtypes
     res = duck.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == sorted(scols)
