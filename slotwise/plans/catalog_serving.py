@@ -54,14 +54,15 @@ def _band(features):
     return val.select(F.avg(F.abs(F.col("demand_lag_168h") - F.col(TARGET)))).scalar()
 
 
-def _forecast(spark, sf_dir):
-    feats = C.features(spark, sf_dir)
+def _forecast(spark, sf_dir, feats=None):
+    feats = feats if feats is not None else C.features_cut(spark, sf_dir)
     return S.forecast_table(build_lookup(feats), PREDICTOR, C.zones(spark, sf_dir), _band(feats))
 
 
-def _busiest(spark, sf_dir, rank: int = 1):
-    """Data-derived selection: the zone with the largest (rank-th largest) total demand."""
-    totals = C.features(spark, sf_dir).groupBy(ZONE).agg(F.sum(TARGET).alias("s"))
+def _busiest(feats, rank: int = 1):
+    """Data-derived selection: the active zone with the largest (rank-th
+    largest) total demand, ties to the smaller id."""
+    totals = feats.groupBy(ZONE).agg(F.sum(TARGET).alias("s"))
     if rank == 1:
         return totals.select(F.max_by(ZONE, F.struct("s", -F.col(ZONE)))).scalar()
     # rank-th zone = the last row of a top-k (k = rank), taken as a scalar
@@ -114,7 +115,7 @@ def q_forecast_table(spark, sf_dir):
 def q_forecast_table_model(spark, sf_dir):
     """K10 with a fitted model: OLS trained on the temporal train split
     scores every zone x 168 slot from the lookup."""
-    feats = C.features(spark, sf_dir)
+    feats = C.features_cut(spark, sf_dir)
     train = SP.temporal_split(feats, P.val_start, P.test_start).filter(F.col("split") == "train")
     model = M.fit(M.linear_regression(), train)
     return round_doubles(S.forecast_table(build_lookup(feats), model, C.zones(spark, sf_dir), _band(feats)))
@@ -137,7 +138,8 @@ def q_slot_forecast(spark, sf_dir):
 )
 def q_zone_timeline(spark, sf_dir):
     """K4: 24-hour Monday forecast of the busiest zone."""
-    return round_doubles(S.timeline(_forecast(spark, sf_dir), _busiest(spark, sf_dir), 0))
+    feats = C.features_cut(spark, sf_dir)
+    return round_doubles(S.timeline(_forecast(spark, sf_dir, feats), _busiest(feats), 0))
 
 
 _heat_cols = ", ".join(f"round(max(prediction) FILTER (WHERE day_of_week = {d}), 6) AS d{d}" for d in range(7))
@@ -149,7 +151,8 @@ _heat_cols = ", ".join(f"round(max(prediction) FILTER (WHERE day_of_week = {d}),
 )
 def q_zone_heatmap(spark, sf_dir):
     """K5: 24 x 7 heatmap (rows hours, columns weekdays) of the busiest zone."""
-    return round_doubles(S.heatmap_wide(S.heatmap(_forecast(spark, sf_dir), _busiest(spark, sf_dir))))
+    feats = C.features_cut(spark, sf_dir)
+    return round_doubles(S.heatmap_wide(S.heatmap(_forecast(spark, sf_dir, feats), _busiest(feats))))
 
 
 RANK_SQL = """ranked AS (SELECT zone_id, zone_name, hour_of_day, day_of_week, is_weekend, prediction,
@@ -208,8 +211,9 @@ FROM a FULL JOIN b ON a.hour = b.hour""",
 )
 def q_compare_zones(spark, sf_dir):
     """The two busiest zones' Monday timelines side by side."""
-    fc = _forecast(spark, sf_dir)
-    out = S.compare(fc, {"zone": _busiest(spark, sf_dir), "dow": 0, "weekend": 0}, {"zone": _busiest(spark, sf_dir, 2), "dow": 0, "weekend": 0})
+    feats = C.features_cut(spark, sf_dir)
+    fc = _forecast(spark, sf_dir, feats)
+    out = S.compare(fc, {"zone": _busiest(feats), "dow": 0, "weekend": 0}, {"zone": _busiest(feats, 2), "dow": 0, "weekend": 0})
     return round_doubles(out)
 
 
@@ -236,7 +240,7 @@ CROSS JOIN band b LEFT JOIN zones z ON r.{ZONE} = z.LocationID""",
 def q_predict_validation(spark, sf_dir):
     """K2 (batch) + D4: serve every validation slot from a lookup built on
     training hours only (a backtest of the serving path)."""
-    feats = C.features(spark, sf_dir)
+    feats = C.features_cut(spark, sf_dir)
     requests = feats.filter(
         (F.col(HOUR) >= F.lit(P.val_start).cast("timestamp_ntz")) & (F.col(HOUR) < F.lit(P.test_start).cast("timestamp_ntz"))
     ).select(ZONE, "hour_of_day", "day_of_week", "is_weekend")

@@ -23,13 +23,19 @@ def _temporal(spark, sf_dir):
     return SP.temporal_split(C.features(spark, sf_dir), P.val_start, P.test_start)
 
 
+def _keys(spark, sf_dir):
+    """(zone, hour) of the feature table, materialised once: positions take a
+    counting pass and an assignment pass over it."""
+    return C.features_cut(spark, sf_dir).select(ZONE, HOUR)
+
+
 @register(
     "time_positions",
     FEAT + f"SELECT {ZONE}, hour, CAST(row_number() OVER (ORDER BY hour, {ZONE}) - 1 AS BIGINT) AS pos FROM features",
 )
 def q_time_positions(spark, sf_dir):
     """global 0-based position in (hour, zone) order, via per-hour offsets."""
-    return SP.time_positions(C.features(spark, sf_dir).select(ZONE, HOUR))
+    return SP.time_positions(_keys(spark, sf_dir))
 
 
 @register(
@@ -72,13 +78,13 @@ labelled AS (SELECT {ZONE}, hour, CASE WHEN pos < n_test THEN 'test'
 @register("random_split", _RANDOM_SQL + "SELECT * FROM labelled")
 def q_random_split(spark, sf_dir):
     """Exact 60/20/20 split in seeded md5 order (membership per row)."""
-    return SP.random_split(C.features(spark, sf_dir).select(ZONE, HOUR), seed=P.seed)
+    return SP.random_split(_keys(spark, sf_dir), seed=P.seed)
 
 
 @register("random_split_sizes", _RANDOM_SQL + "SELECT split, count(*) AS rows FROM labelled GROUP BY 1")
 def q_random_split_sizes(spark, sf_dir):
     """Split sizes (ceil(20%) test, ceil(25% of the rest) val)."""
-    return SP.random_split(C.features(spark, sf_dir), seed=P.seed).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    return SP.random_split(_keys(spark, sf_dir), seed=P.seed).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register(
@@ -93,7 +99,7 @@ def q_random_split_sizes(spark, sf_dir):
 )
 def q_time_series_folds(spark, sf_dir):
     """I4: expanding time-series folds (test block n // (k+1) rows)."""
-    return SP.time_series_folds(C.features(spark, sf_dir).select(ZONE, HOUR), P.folds)
+    return SP.time_series_folds(_keys(spark, sf_dir), P.folds)
 
 
 @register(
@@ -106,7 +112,7 @@ def q_time_series_folds(spark, sf_dir):
 )
 def q_shuffled_folds(spark, sf_dir):
     """Shuffled K-fold labels (first n mod k folds one row larger)."""
-    return SP.shuffled_folds(C.features(spark, sf_dir).select(ZONE, HOUR), P.folds, P.seed)
+    return SP.shuffled_folds(_keys(spark, sf_dir), P.folds, P.seed)
 
 
 @register(

@@ -13,6 +13,7 @@ from slotwise.operators.panel import build_panel, hourly_demand
 from slotwise.operators.quality import clean_trips
 from slotwise.profiles import EVENTS, Profile
 from slotwise.schemas import PICKUP, ZONE
+from slotwise.session import cut_lineage
 from slotwise.sources import testdata
 
 PROFILE: Profile = EVENTS
@@ -43,6 +44,13 @@ def features(spark: SparkSession, sf_dir: str, profile: Profile = PROFILE) -> Da
     return build_features(panel(spark, sf_dir, profile))
 
 
+def features_cut(spark: SparkSession, sf_dir: str, profile: Profile = PROFILE) -> DataFrame:
+    """The feature table checkpointed once, for queries that read it more than
+    once (positions need a counting pass, serving needs lookup and error band):
+    later passes re-read the checkpoint instead of re-running the windows."""
+    return cut_lineage(features(spark, sf_dir, profile))
+
+
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testdata.zones_from_nations(
         testdata.load(spark, sf_dir, "nation"), testdata.load(spark, sf_dir, "region")
