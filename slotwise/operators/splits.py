@@ -63,6 +63,26 @@ def _count(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
+def time_slice(df: DataFrame, start: str | None = None, end: str | None = None, hour_col: str = HOUR) -> DataFrame:
+    """Rows with ``start <= hour < end`` (either bound optional).
+
+    When the table carries the ``date`` partition column (as the written
+    feature table does), the matching date range is added so the scan prunes
+    whole partitions instead of filtering rows.
+    """
+    h = F.col(hour_col)
+    cond = F.lit(True)
+    if start is not None:
+        cond = cond & (h >= F.lit(start).cast("timestamp_ntz"))
+        if "date" in df.columns:
+            cond = cond & (F.col("date") >= F.to_date(F.lit(start)))
+    if end is not None:
+        cond = cond & (h < F.lit(end).cast("timestamp_ntz"))
+        if "date" in df.columns:
+            cond = cond & (F.col("date") <= F.to_date(F.lit(end)))
+    return df.filter(cond)
+
+
 def temporal_split(df: DataFrame, val_start: str, test_start: str, hour_col: str = HOUR) -> DataFrame:
     """``split`` = train (< val_start), val (< test_start) or test."""
     h = F.col(hour_col)

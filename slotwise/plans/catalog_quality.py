@@ -182,7 +182,27 @@ def q_quality_audit(spark, sf_dir):
     return audit.select("issue", "count", "percent_of_rows")
 
 
-@register("quality_audit_report")
+def _audit_report_sql() -> str:
+    from slotwise.operators.quality import _AUDIT_TEXT
+
+    kinds = {
+        "Missing values in Zone": "missing",
+        "Missing values in Borough": "missing",
+        "Pickup after dropoff": "pickup_after_dropoff",
+        "Zero/negative trip duration": "nonpositive_duration",
+        "Zero/negative trip distance": "nonpositive_distance",
+        "Negative fare_amount": "negative_fare_amount",
+        "Negative total_amount": "negative_total_amount",
+        f"Invalid or missing {ZONE}": "invalid_or_missing_key",
+    }
+
+    def case(i):
+        return "CASE issue " + " ".join(f"WHEN '{k}' THEN '{_AUDIT_TEXT[v][i]}'" for k, v in kinds.items()) + " END"
+
+    return f"SELECT *, {case(0)} AS why_it_matters, {case(1)} AS likely_handling FROM ({_audit_sql()}) a"
+
+
+@register("quality_audit_report", _audit_report_sql())
 def q_quality_audit_report(spark, sf_dir):
     """E7 with the why / handling explanation columns."""
     return quality_audit(named_timed_trips(spark, sf_dir), missing_cols=["Zone", "Borough"])
