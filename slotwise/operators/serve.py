@@ -200,31 +200,29 @@ def heatmap_wide(cells: DataFrame) -> DataFrame:
     return wide.select("hour", *[F.col(str(d)).alias(f"d{d}") for d in range(7)])
 
 
-def zone_ranks(forecast: DataFrame) -> DataFrame:
-    """rank of every zone within its slot (prediction desc, zone asc) of N.
-
-    Predictions equal to 9 decimals are ties (sums of the same values in a
-    different order differ in the last bits), broken by the zone id.
-    """
+def _slot_rank(forecast: DataFrame) -> tuple:
     slot = Window.partitionBy("hour_of_day", "day_of_week", "is_weekend")
-    return forecast.select(
-        "zone_id",
-        *SLOT,
-        "prediction",
-        F.row_number().over(slot.orderBy(F.desc(F.round("prediction", 9)), F.asc("zone_id"))).alias("rank"),
-        F.count(F.lit(1)).over(slot).alias("of_zones"),
-    )
+    # predictions equal to 9 decimals are ties (sums of the same values in a
+    # different order differ in the last bits), broken by the zone id
+    rank = F.row_number().over(slot.orderBy(F.desc(F.round("prediction", 9)), F.asc("zone_id")))
+    return rank, F.count(F.lit(1)).over(slot)
+
+
+def zone_ranks(forecast: DataFrame) -> DataFrame:
+    """rank of every zone within its slot (prediction desc, zone asc) of N."""
+    rank, n = _slot_rank(forecast)
+    return forecast.select("zone_id", *SLOT, "prediction", rank.alias("rank"), n.alias("of_zones"))
 
 
 def top_zones(forecast: DataFrame, n: int = 5) -> DataFrame:
     """The n highest predictions of every slot, with names.
 
-    A per-slot window keeps the n best rows of each slot; a slot holds one
-    row per zone, so partitions are bounded by the zone count.
+    One window per slot keeps the n best rows; a slot holds one row per zone,
+    so each window partition is bounded by the zone count.
     """
-    ranked = zone_ranks(forecast.select("zone_id", "zone_name", *SLOT, "prediction")).filter(F.col("rank") <= n)
-    names = forecast.select("zone_id", "zone_name").distinct()
-    return ranked.join(names, "zone_id").select("zone_id", "zone_name", *SLOT, "prediction", "rank")
+    rank, _ = _slot_rank(forecast)
+    ranked = forecast.select("zone_id", "zone_name", *SLOT, "prediction", rank.alias("rank"))
+    return ranked.filter(F.col("rank") <= n)
 
 
 def zone_intensity(forecast: DataFrame) -> DataFrame:
