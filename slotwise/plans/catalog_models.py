@@ -112,7 +112,8 @@ SELECT model, round(avg(mae), 4) AS mean_mae, round(stddev_samp(mae), 4) AS std_
 def q_naive_cv_summary(spark, sf_dir):
     """J5 + J6 over I4: seasonal-naive forecasts scored on 5 expanding time
     folds of the train+val rows (fold metrics rounded half-even to 4)."""
-    trainval = C.features_cut(spark, sf_dir).filter(F.col("hour") < F.lit(P.test_start).cast("timestamp_ntz"))
+    cols = ["PULocationID", "hour", TARGET, *_CV_NAIVE.values()]
+    trainval = C.features_cut(spark, sf_dir, columns=cols).filter(F.col("hour") < F.lit(P.test_start).cast("timestamp_ntz"))
     folded = SP.time_series_folds(trainval, P.folds).filter(F.col("test_fold").isNotNull())
     preds = naive_predictions(folded.withColumnRenamed("test_fold", "fold"), _CV_NAIVE, keep=["fold"])
     per_fold = three_metrics(preds, ["model", "fold"])

@@ -26,7 +26,7 @@ def _temporal(spark, sf_dir):
 def _keys(spark, sf_dir):
     """(zone, hour) of the feature table, materialised once: positions take a
     counting pass and an assignment pass over it."""
-    return C.features_cut(spark, sf_dir).select(ZONE, HOUR)
+    return C.features_cut(spark, sf_dir, columns=[ZONE, HOUR])
 
 
 @register(

@@ -44,11 +44,18 @@ def features(spark: SparkSession, sf_dir: str, profile: Profile = PROFILE) -> Da
     return build_features(panel(spark, sf_dir, profile))
 
 
-def features_cut(spark: SparkSession, sf_dir: str, profile: Profile = PROFILE) -> DataFrame:
+def features_cut(
+    spark: SparkSession, sf_dir: str, profile: Profile = PROFILE, columns: list[str] | None = None
+) -> DataFrame:
     """The feature table checkpointed once, for queries that read it more than
     once (positions need a counting pass, serving needs lookup and error band):
-    later passes re-read the checkpoint instead of re-running the windows."""
-    return cut_lineage(features(spark, sf_dir, profile))
+    later passes re-read the checkpoint instead of re-running the windows.
+
+    ``columns`` keeps only what the query needs: a checkpoint is row based,
+    so pruning happens before it (and Catalyst then drops unused windows).
+    """
+    df = features(spark, sf_dir, profile)
+    return cut_lineage(df.select(*columns) if columns else df)
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:

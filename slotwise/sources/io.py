@@ -47,7 +47,7 @@ def read_zone_csv(spark: SparkSession, path: str) -> DataFrame:
         return empty
     raw = spark.read.option("header", True).csv(path)
     return raw.select(
-        F.col("LocationID").cast("int").alias("LocationID"),
+        F.col("LocationID").try_cast("int").alias("LocationID"),
         F.col("Zone").cast("string").alias("Zone"),
         F.col("Borough").cast("string").alias("Borough"),
     )
@@ -77,7 +77,7 @@ def read_zone_geojson(spark: SparkSession, path: str) -> DataFrame:
         return F.get_json_object("p", f"$.{name}")
 
     loc = F.coalesce(*[_nonblank(prop(n)) for n in ("location_id", "LocationID", "locationid")])
-    loc_id = F.floor(loc.cast("double")).cast("int")
+    loc_id = F.floor(loc.try_cast("double")).cast("int")
     return props.select(
         loc_id.alias("LocationID"),
         F.coalesce(prop("zone"), F.concat(F.lit("Zone "), loc_id.cast("string"))).alias("Zone"),

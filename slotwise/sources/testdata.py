@@ -36,7 +36,9 @@ def trips_from_events(events: DataFrame) -> DataFrame:
         F.col("user_id").cast("int").alias(ZONE),
         F.col("value").alias("trip_distance"),
         F.col("value").alias("fare_amount"),
-        F.get_json_object("props", "$.k").cast("double").alias("passenger_count"),
+        # malformed values become null (and fail the range rules) instead of
+        # raising under ANSI casts
+        F.get_json_object("props", "$.k").try_cast("double").alias("passenger_count"),
         F.col("event_type").alias("payment_type"),
     )
 
@@ -76,7 +78,7 @@ def timed_trips_from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame
 TRIPS_SQL = f"""trips AS (
   SELECT event_id AS trip_id, ts AS {PICKUP}, CAST(user_id AS INTEGER) AS {ZONE},
          value AS trip_distance, value AS fare_amount,
-         CAST(json_extract_string(props, '$.k') AS DOUBLE) AS passenger_count,
+         TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS passenger_count,
          event_type AS payment_type
   FROM events)"""
 
