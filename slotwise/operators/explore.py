@@ -194,8 +194,10 @@ def mutual_information_ranking(df: DataFrame, candidates: Sequence[str], target:
     """Plug-in mutual information (nats) of discrete candidates with the
     target, strongest first.
 
-    Joint counts per (feature, x, y) come from one stacked aggregate; the
-    marginals are windows over that small table.
+    ``MI = H(X) + H(Y) - H(X,Y)``; with counts ``n``, ``n_x``, ``n_y``,
+    ``n_xy`` that is ``ln n + (S_xy - S_x - S_y) / n`` where ``S = sum(c ln c)``.
+    Every term is a grouped aggregate (partial aggregation, no window over a
+    whole feature), and only one-row-per-feature results are joined.
     """
     stacked = df.select(
         F.col(target).cast("string").alias("y"),
@@ -203,21 +205,17 @@ def mutual_information_ranking(df: DataFrame, candidates: Sequence[str], target:
             F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("x")) for c in candidates])
         ).alias("s"),
     ).select("s.feature", "s.x", "y")
-    joint = stacked.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("nxy"))
-    by_f = Window.partitionBy("feature")
-    terms = joint.select(
-        "feature",
-        "nxy",
-        F.sum("nxy").over(Window.partitionBy("feature", "x")).alias("nx"),
-        F.sum("nxy").over(Window.partitionBy("feature", "y")).alias("ny"),
-        F.sum("nxy").over(by_f).alias("n"),
-    )
-    mi = terms.groupBy("feature").agg(
-        F.sum(
-            F.col("nxy") / F.col("n") * F.log((F.col("nxy") * F.col("n")) / (F.col("nx") * F.col("ny")))
-        ).alias("mutual_info")
-    )
-    return mi.select("feature", F.round("mutual_info", 6).alias("mutual_info")).orderBy(F.desc("mutual_info"), "feature")
+    joint = stacked.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
+
+    def clnc(counts: DataFrame, name: str) -> DataFrame:
+        return counts.groupBy("feature").agg(F.sum(F.col("c") * F.log("c")).alias(name))
+
+    s_xy = joint.groupBy("feature").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s_xy"))
+    s_x = clnc(joint.groupBy("feature", "x").agg(F.sum("c").alias("c")), "s_x")
+    s_y = clnc(joint.groupBy("feature", "y").agg(F.sum("c").alias("c")), "s_y")
+    parts = s_xy.join(s_x, "feature").join(s_y, "feature")
+    mi = F.log("n") + (F.col("s_xy") - F.col("s_x") - F.col("s_y")) / F.col("n")
+    return parts.select("feature", F.round(mi, 6).alias("mutual_info")).orderBy(F.desc("mutual_info"), "feature")
 
 
 def zero_share(df: DataFrame, group_cols: Sequence[str] = (), target: str = TARGET) -> DataFrame:
