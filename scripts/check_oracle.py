@@ -7,6 +7,7 @@ Mirrors the driver's check: row count, column names, order-insensitive values.
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -19,13 +20,16 @@ from slotwise.session import get_session  # noqa: E402
 from slotwise.sources.testdata import TABLES  # noqa: E402
 
 
+STRICT = os.environ.get("STRICT") == "1"
+
+
 def _norm(v):
     if v is None:
         return "∅"
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return f"{round(v, 6):.6f}"
+        return repr(v) if STRICT else f"{round(v, 6):.6f}"
     if hasattr(v, "isoformat"):
         return v.isoformat(sep=" ") if hasattr(v, "hour") else v.isoformat()
     if hasattr(v, "tolist"):
