@@ -284,18 +284,21 @@ def model_card(metrics: DataFrame, version: str, stage: str) -> DataFrame:
     long = metrics.select("mae", "rmse", "r2", "mape", "mbe").unpivot([], ["mae", "rmse", "r2", "mape", "mbe"], "metric", "v")
     m = F.col("metric")
     v = F.col("v")
+    def r(x, d):  # rounded, with -0.0 printed as 0.0
+        return F.round(x, d) + F.lit(0.0)
+
     value = (
-        F.when(m == "r2", F.format_string("%.4f", F.round(v, 4)))
-        .when(m == "mape", F.format_string("%.1f%%", F.round(v, 1)))
-        .otherwise(F.format_string("%.2f", F.round(v, 2)))
+        F.when(m == "r2", F.format_string("%.4f", r(v, 4)))
+        .when(m == "mape", F.format_string("%.1f%%", r(v, 1)))
+        .otherwise(F.format_string("%.2f", r(v, 2)))
     )
-    sentence = F.when(m == "r2", F.format_string(_CARD_TEXT["r2"], F.round(v * 100.0, 1)))
+    sentence = F.when(m == "r2", F.format_string(_CARD_TEXT["r2"], r(v * 100.0, 1)))
     for key in ("mae", "rmse", "mape"):
         digits = 1 if key == "mape" else 2
-        sentence = sentence.when(m == key, F.format_string(_CARD_TEXT[key], F.round(v, digits)))
+        sentence = sentence.when(m == key, F.format_string(_CARD_TEXT[key], r(v, digits)))
     sentence = sentence.when(
         m == "mbe",
-        F.concat(F.format_string(_CARD_TEXT["mbe"], F.round(v, 2)), F.lit(" The model "), F.when(v > 0, F.lit("over-predicts (overstaffing risk).")).otherwise(F.lit("under-predicts (understaffing risk).")))
+        F.concat(F.format_string(_CARD_TEXT["mbe"], r(v, 2)), F.lit(" The model "), F.when(v > 0, F.lit("over-predicts (overstaffing risk).")).otherwise(F.lit("under-predicts (understaffing risk).")))
     )
     names = F.when(m == "r2", F.lit("R²")).otherwise(F.upper(m))
     return long.select(

@@ -26,10 +26,10 @@ P = C.PROFILE
 PREDICTOR = "mean_demand_lag_168h"
 SLOT_HOUR, SLOT_DOW = 8, 0  # Monday 8 AM: the example slot of the slot queries
 
-LOOKUP_SQL = f"""lookup AS (SELECT {ZONE}, hour_of_day, day_of_week, avg(demand) AS mean_demand,
-  avg(demand_lag_1h) AS mean_demand_lag_1h, avg(demand_lag_24h) AS mean_demand_lag_24h,
-  avg(demand_lag_168h) AS mean_demand_lag_168h, avg(demand_rolling_3h) AS mean_demand_rolling_3h,
-  avg(demand_rolling_168h) AS mean_demand_rolling_168h FROM features GROUP BY 1, 2, 3)"""
+LOOKUP_SQL = f"""lookup AS (SELECT {ZONE}, hour_of_day, day_of_week, round(avg(demand), 9) AS mean_demand,
+  round(avg(demand_lag_1h), 9) AS mean_demand_lag_1h, round(avg(demand_lag_24h), 9) AS mean_demand_lag_24h,
+  round(avg(demand_lag_168h), 9) AS mean_demand_lag_168h, round(avg(demand_rolling_3h), 9) AS mean_demand_rolling_3h,
+  round(avg(demand_rolling_168h), 9) AS mean_demand_rolling_168h FROM features GROUP BY 1, 2, 3)"""
 BAND_SQL = f"""band AS (SELECT avg(abs(demand_lag_168h - demand)) AS error_band FROM features
   WHERE hour >= TIMESTAMP '{P.val_start}' AND hour < TIMESTAMP '{P.test_start}')"""
 FORECAST_SQL = f"""forecast AS (
@@ -275,13 +275,13 @@ l AS (SELECT * FROM (SELECT round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(
   round(mbe, 6) AS mbe FROM m) UNPIVOT (v FOR metric IN (mae, rmse, r2, mape, mbe)))
 SELECT 'naive-lag-168h' AS version, 'Validation' AS stage,
   CASE WHEN metric = 'r2' THEN 'R²' ELSE upper(metric) END AS name,
-  CASE WHEN metric = 'r2' THEN printf('%.4f', round(v, 4)) WHEN metric = 'mape' THEN printf('%.1f%%', round(v, 1))
-       ELSE printf('%.2f', round(v, 2)) END AS value,
-  CASE WHEN metric = 'r2' THEN printf('The model explains %.1f%% of the variation in demand.', round(v * 100.0, 1))
-       WHEN metric = 'mae' THEN printf('Predictions miss by %.2f trips per zone-hour on average.', round(v, 2))
-       WHEN metric = 'rmse' THEN printf('Large misses weigh more: the root mean squared error is %.2f trips.', round(v, 2))
-       WHEN metric = 'mape' THEN printf('On zone-hours with demand, the average relative miss is %.1f%%.', round(v, 1))
-       ELSE printf('Mean bias is %.2f trips per zone-hour.', round(v, 2)) || ' The model ' ||
+  CASE WHEN metric = 'r2' THEN printf('%.4f', round(v, 4) + 0.0) WHEN metric = 'mape' THEN printf('%.1f%%', round(v, 1) + 0.0)
+       ELSE printf('%.2f', round(v, 2) + 0.0) END AS value,
+  CASE WHEN metric = 'r2' THEN printf('The model explains %.1f%% of the variation in demand.', round(v * 100.0, 1) + 0.0)
+       WHEN metric = 'mae' THEN printf('Predictions miss by %.2f trips per zone-hour on average.', round(v, 2) + 0.0)
+       WHEN metric = 'rmse' THEN printf('Large misses weigh more: the root mean squared error is %.2f trips.', round(v, 2) + 0.0)
+       WHEN metric = 'mape' THEN printf('On zone-hours with demand, the average relative miss is %.1f%%.', round(v, 1) + 0.0)
+       ELSE printf('Mean bias is %.2f trips per zone-hour.', round(v, 2) + 0.0) || ' The model ' ||
             CASE WHEN v > 0 THEN 'over-predicts (overstaffing risk).' ELSE 'under-predicts (understaffing risk).' END
   END AS interpretation FROM l"""
 
