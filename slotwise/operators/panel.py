@@ -57,6 +57,36 @@ def dropped_zones(
     return zone_activity(cells, zone_col, target).filter(F.col("active_hours") < min_active_hours)
 
 
+def zone_filter_report(
+    cells: DataFrame, min_active_hours: int = MIN_ACTIVE_HOURS, zone_col: str = ZONE, target: str = TARGET
+) -> DataFrame:
+    """C5 report: zones and dense-panel rows before / after the activity
+    filter, dropped zones, and zero-demand rows kept (count and %).
+
+    Computed from the observed cells alone: a dense panel has
+    ``zones x calendar hours`` rows, and every missing cell is a zero row.
+    """
+    lo, hi = hour_bounds(cells)
+    hours = F.timestamp_diff("HOUR", lo, hi) + 1
+    per_zone = zone_activity(cells, zone_col, target)
+    one = per_zone.agg(
+        F.count(F.lit(1)).alias("zones_before"),
+        F.count_if(F.col("active_hours") >= min_active_hours).alias("zones_after"),
+        F.sum(F.when(F.col("active_hours") >= min_active_hours, F.col("active_hours"))).alias("nonzero_after"),
+    )
+    rows_after = F.col("zones_after") * hours
+    zero_after = rows_after - F.coalesce(F.col("nonzero_after"), F.lit(0))
+    return one.select(
+        "zones_before",
+        "zones_after",
+        (F.col("zones_before") - F.col("zones_after")).alias("zones_dropped"),
+        (F.col("zones_before") * hours).alias("rows_before"),
+        rows_after.alias("rows_after"),
+        zero_after.alias("zero_rows_kept"),
+        F.round(F.try_divide(zero_after * 100.0, rows_after), 6).alias("zero_pct"),
+    )
+
+
 def hour_bounds(cells: DataFrame, hour_col: str = HOUR) -> tuple:
     """Global first and last hour as scalar-subquery columns (no action)."""
     lo = cells.select(F.min(hour_col)).scalar()

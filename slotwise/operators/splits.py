@@ -149,16 +149,30 @@ def random_split(
     return pos.select(*[F.col(f"`{c}`") for c in df.columns], split.alias("split"))
 
 
-def time_series_folds(df: DataFrame, k: int = CV_FOLDS, hour_col: str = HOUR, zone_col: str = ZONE) -> DataFrame:
+def time_series_folds(
+    df: DataFrame, k: int = CV_FOLDS, hour_col: str = HOUR, zone_col: str = ZONE, align: str = "row"
+) -> DataFrame:
     """I4: expanding-window folds by time position.
 
     Test block size is ``n // (k + 1)``; fold f (1..k) tests positions
     ``[n - (k - f + 1) * size, n - (k - f) * size)`` and trains on every
     earlier position.  Adds ``pos`` and ``test_fold`` (null when a row is in no
     test block); the training rows of fold f are ``pos < fold_start(f)``.
+
+    ``align='row'`` counts rows (an hour can straddle train and test, as a
+    positional splitter does); ``align='hour'`` counts whole hours, so every
+    hour lands in one block: ``pos`` is then the hour's index.
     """
-    pos = time_positions(df, hour_col, zone_col)
-    n = _count(df)
+    if align == "hour":
+        hours = df.select(hour_col).distinct()
+        index = positions(hours, F.col(hour_col), [F.col(hour_col)])  # one row per hour
+        pos = df.join(index, hour_col)
+        n = _count(hours)
+    elif align == "row":
+        pos = time_positions(df, hour_col, zone_col)
+        n = _count(df)
+    else:
+        raise ValueError("align must be 'row' or 'hour'")
     size = F.floor(n / F.lit(k + 1))
     first = n - F.lit(k) * size
     fold = F.when(F.col("pos") >= first, F.floor((F.col("pos") - first) / size) + 1).cast("int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slotwise.operators.panel import dropped_zones, panel_profile
+from slotwise.operators.panel import dropped_zones, panel_profile, zone_filter_report
 from slotwise.operators.quality import clean_report, period_report
 from slotwise.plans import common as C
 from slotwise.plans.registry import register, round_doubles
@@ -107,3 +107,20 @@ FROM features""",
 def q_feature_profile(spark, sf_dir):
     """Run profile of the feature table (rows, zones, range, zeros, nulls)."""
     return panel_profile(C.features(spark, sf_dir))
+
+
+@register(
+    "zone_filter_report",
+    C.with_ctes(C.CTE_TRIPS, C.CTE_CLEAN, C.CTE_CELLS)
+    + f""", hrs AS (SELECT CAST(date_diff('hour', min(hour), max(hour)) + 1 AS BIGINT) AS h FROM cells),
+act AS (SELECT {ZONE}, count(*) FILTER (WHERE demand > 0) AS a FROM cells GROUP BY 1),
+agg AS (SELECT count(*) AS zones_before, count(*) FILTER (WHERE a >= {C.MIN_ACTIVE}) AS zones_after,
+  sum(a) FILTER (WHERE a >= {C.MIN_ACTIVE}) AS nonzero_after FROM act)
+SELECT zones_before, zones_after, zones_before - zones_after AS zones_dropped, zones_before * h AS rows_before,
+  zones_after * h AS rows_after, CAST(zones_after * h - coalesce(nonzero_after, 0) AS BIGINT) AS zero_rows_kept,
+  round((zones_after * h - coalesce(nonzero_after, 0)) * 100.0 / nullif(zones_after * h, 0), 6) AS zero_pct
+FROM agg, hrs""",
+)
+def q_zone_filter_report(spark, sf_dir):
+    """C5 report: zones and panel rows before/after the activity filter, zero share kept."""
+    return zone_filter_report(C.cells(spark, sf_dir), P.min_active_hours)

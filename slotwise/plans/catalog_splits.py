@@ -137,3 +137,24 @@ def q_train_val_rows(spark, sf_dir):
     """H1: train + val recombined as a label filter."""
     both = SP.recombine(_temporal(spark, sf_dir), "train", "val")
     return both.agg(F.count(F.lit(1)).alias("rows"), F.min(HOUR).alias("first_hour"), F.max(HOUR).alias("last_hour"))
+
+
+@register(
+    "hour_aligned_folds",
+    FEAT
+    + f"""SELECT test_fold, count(*) AS rows, count(DISTINCT hour) AS hours, min(hour) AS first_hour, max(hour) AS last_hour
+FROM (SELECT hour, CASE WHEN pos >= first THEN CAST(floor((pos - first) / size) + 1 AS INTEGER) END AS test_fold FROM (
+  SELECT f.hour, h.pos, h.first, h.size FROM features f JOIN (
+    SELECT hour, row_number() OVER (ORDER BY hour) - 1 AS pos,
+      count(*) OVER () - {P.folds} * (count(*) OVER () // {P.folds + 1}) AS first,
+      count(*) OVER () // {P.folds + 1} AS size FROM (SELECT DISTINCT hour FROM features)) h ON f.hour = h.hour))
+GROUP BY 1""",
+)
+def q_hour_aligned_folds(spark, sf_dir):
+    """I4 with ``align='hour'``: expanding folds over whole hours (no hour
+    straddles train and test); rows, hours and range per test fold."""
+    folds = SP.time_series_folds(_keys(spark, sf_dir), P.folds, align="hour")
+    return folds.groupBy("test_fold").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(HOUR).alias("hours"),
+        F.min(HOUR).alias("first_hour"), F.max(HOUR).alias("last_hour"),
+    )

@@ -101,3 +101,12 @@ def test_feature_build_job_writes_partitioned_table(spark):
     assert any(d.startswith("date=") for d in os.listdir(out + "/features"))
     assert training_frame(spark, out + "/features").count() == prof["rows"]
     assert spark.read.parquet(out + "/lookup").count() > 0
+
+
+def test_zone_filter_report_matches_panel(spark):
+    configure(spark)
+    rep = PN.zone_filter_report(C.cells(spark, SF01), C.PROFILE.min_active_hours).first()
+    panel = C.panel(spark, SF01)
+    assert rep["rows_after"] == panel.count()
+    assert rep["zero_rows_kept"] == panel.filter("demand = 0").count()
+    assert rep["zones_after"] + rep["zones_dropped"] == rep["zones_before"]
