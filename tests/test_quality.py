@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from slotwise.operators import quality as Q
 from slotwise.schemas import TRIP_RULES
@@ -64,3 +65,18 @@ def test_describe_matches_linear_interpolation(spark):
     assert abs(got["p50"] - np.percentile(arr, 50)) < 1e-6
     assert abs(got["p99"] - np.percentile(arr, 99)) < 1e-6
     assert abs(got["std"] - arr.std(ddof=1)) < 1e-6
+
+
+def test_exact_quantiles_distributed_with_hot_value(spark):
+    from slotwise.operators.quantiles import exact_quantiles, value_ranks
+
+    rng = np.random.default_rng(7)
+    vals = np.concatenate([rng.exponential(3.0, 4000), np.full(3000, 2.5), rng.integers(0, 50, 2000).astype(float)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(7)
+    probs = [0.0, 0.01, 0.33, 0.5, 0.9, 0.999, 1.0]
+    got = spark.range(1).select(*[c.alias(f"q{i}") for i, c in enumerate(exact_quantiles(df, "x", probs, ranges=5))]).first()
+    assert np.allclose(list(got), np.percentile(vals, [p * 100 for p in probs]), rtol=0, atol=1e-12)
+    ranks = value_ranks(df, "x", ranges=5)
+    hot = ranks.filter("v = 2.5").first()
+    assert hot["last_rank"] - hot["first_rank"] + 1 >= 3000
+    assert ranks.agg(F.max("last_rank")).first()[0] == len(vals) - 1
