@@ -64,20 +64,30 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    def execute(name: str, where: str) -> None:
+        QUERIES[name](spark, where).write.format("noop").mode("overwrite").save()
+
+    failed: dict[str, str] = {}
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
     if warm_dir:
         for name in names:
-            QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+            try:
+                execute(name, warm_dir)
+            except Exception as exc:  # noqa: BLE001 - reported, bench goes on
+                failed[name] = f"warm-up: {type(exc).__name__}"
 
     runs = max(int(os.environ.get("BENCH_RUNS", "2")), 1)
     times: dict[str, float] = {}
     for name in names:
         best = float("inf")
-        for _ in range(runs):
-            t0 = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            best = min(best, time.perf_counter() - t0)
-        times[name] = round(best, 3)
+        try:
+            for _ in range(runs):
+                t0 = time.perf_counter()
+                execute(name, sf_dir)
+                best = min(best, time.perf_counter() - t0)
+            times[name] = round(best, 3)
+        except Exception as exc:  # noqa: BLE001 - reported, bench goes on
+            failed[name] = type(exc).__name__
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
@@ -90,6 +100,7 @@ def main() -> None:
                 "cpus": cpus,
                 "runs": runs,
                 "timing": "best of runs per query, after a warm-up pass",
+                "failed": failed,
             }
         )
     )
