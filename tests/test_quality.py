@@ -80,3 +80,12 @@ def test_exact_quantiles_distributed_with_hot_value(spark):
     hot = ranks.filter("v = 2.5").first()
     assert hot["last_rank"] - hot["first_rank"] + 1 >= 3000
     assert ranks.agg(F.max("last_rank")).first()[0] == len(vals) - 1
+
+
+def test_describe_approximate_mode_and_sparse_drop(spark):
+    vals = [float(v) for v in range(1, 1001)]
+    df = spark.createDataFrame([(v, None if v % 2 else v) for v in vals], "x double, mostly_null double")
+    got = {r["statistic"]: r["value"] for r in Q.describe(df, ["x"], (0.5,), exact=False).collect()}
+    assert abs(got["p50"] - 500.0) <= 1.0 and got["count"] == 1000.0
+    kept = Q.drop_sparse_columns(df, max_null_pct=30.0).columns
+    assert kept == ["x"]
