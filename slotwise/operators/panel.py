@@ -5,9 +5,11 @@ Plan shape (see ``build_panel``):
 1. ``hourly_demand``: partial + final hash aggregate on (zone, hour).  Map-side
    combine means a zone holding a third of all trips still ships only one
    row per (zone, hour, map task).
-2. The aggregated cells are hash-partitioned by zone once.  Active-zone
-   counting, the grid join and every per-zone window downstream reuse that
-   partitioning: no further exchange until the sink.
+2. The aggregated cells are checkpointed (one scan of the trips for all
+   consumers), then hash-partitioned by zone: one zone shuffle of the small
+   cell table feeds the activity count (and so the grid), one feeds the join
+   side.  The grid join and every per-zone window downstream reuse that zone
+   partitioning: no exchange over the panel itself.
 3. The calendar bounds are two scalar subqueries over the cells (one tiny
    merged aggregate), and the grid is ``explode(sequence(lo, hi, 1 hour))``
    per active zone: a map-side Generate, no cross join, nothing collected.
