@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotwise.functions.calendar import duration_minutes
+from slotwise.functions.expressions import round_significant_sql
 from slotwise.operators.quality import (
     describe,
     duplicate_rows,
@@ -221,7 +222,7 @@ def _describe_sql(col: str, source: str) -> str:
     stats += [(f"p{p * 100:g}", f"quantile_cont({col}, {p})") for p in _PCTS]
     stats += [("max", f"max({col})")]
     return "\n  UNION ALL ".join(
-        f"SELECT '{col}' AS column, '{s}' AS statistic, round(CAST({e} AS DOUBLE), 6) AS value FROM {source}"
+        f"SELECT '{col}' AS column, '{s}' AS statistic, {round_significant_sql(f'CAST({e} AS DOUBLE)')} AS value FROM {source}"
         for s, e in stats
     )
 
