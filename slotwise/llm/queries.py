@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import line_dedup
+from slotwise.llm import language_id, line_dedup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
+    "op5_language_id": language_id.op5_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 
