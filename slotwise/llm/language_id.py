@@ -60,7 +60,8 @@ def gram_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     A text is read as if between two spaces; n-grams with two spaces in a row
     are left out.  The code is the bytes themselves, so it is exact.
     """
-    padded = pc.binary_join_element_wise(" ", pc.utf8_lower(texts), " ", "").cast(pa.large_string())
+    gap = pa.scalar(" ", pa.large_string())
+    padded = pc.binary_join_element_wise(gap, pc.utf8_lower(texts), gap, pa.scalar("", pa.large_string()))
     data, offsets = text_buffers(padded)
     d = _TABLE[data].astype(np.uint32)
     if len(d) < 3:

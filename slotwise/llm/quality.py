@@ -38,10 +38,11 @@ DIMENSIONS = 1 << 18
 SAMPLE_ROWS = 16_000
 #: Features of fewer sampled documents get no weight.
 MIN_DOCS = 4
-#: Features get a weight if their mean grade differs from the rest by this many standard errors.
+#: Features get a weight if their presence correlates with the grade this much, and by this many standard errors.
+LEAST_CORRELATION = 0.063
 LEAST_Z = 4.0
 #: A document is kept from this tail probability of the top grade on.
-KEEP_FROM = 0.5
+KEEP_FROM = 0.7
 GRADES = 3
 #: The first bytes of a word are a feature of their own, shared by its inflections.
 STEM_BYTES = 5
@@ -123,7 +124,7 @@ class OrdinalModel:
 
 
 def fit_ordinal(
-    rows: np.ndarray, ids: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, dimensions: int = DIMENSIONS, l2: float = 1e-4, steps: int = 250, rate: float = 0.05
+    rows: np.ndarray, ids: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, dimensions: int = DIMENSIONS, l2: float = 1e-6, steps: int = 600, rate: float = 0.1
 ) -> OrdinalModel:
     """Fit by Adam on the mean log-likelihood; (rows, ids) are the features present.
 
@@ -134,7 +135,7 @@ def fit_ordinal(
     sums = np.bincount(ids, weights=grades[rows], minlength=dimensions)
     spread = max(grades.std(), 1e-9)
     gap = np.abs(sums - counts * grades.mean()) / (spread * np.sqrt(np.maximum(counts * (1 - counts / max(n, 1)), 1e-9)))
-    active = np.flatnonzero((counts >= MIN_DOCS) & (counts < n) & (gap >= LEAST_Z))
+    active = np.flatnonzero((counts >= MIN_DOCS) & (counts < n) & (gap >= max(LEAST_Z, LEAST_CORRELATION * np.sqrt(n))))
     index = np.full(dimensions, -1)
     index[active] = np.arange(len(active))
     keep = index[ids] >= 0
