@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import html_extract, language_id, line_dedup, quality, sentencepiece_nbest
+from slotwise.llm import html_extract, language_id, line_dedup, quality, sentencepiece_nbest, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_sentencepiece_nbest": sentencepiece_nbest.op4_sentencepiece_nbest,
     "op5_language_id": language_id.op5_language_id,
+    "op7_tool_calls": tool_calls.op7_tool_calls,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_html_extract": html_extract.op10_html_extract,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_tool_calls": tool_calls.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
