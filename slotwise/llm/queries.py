@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import html_extract, language_id, line_dedup, quality, sentencepiece_nbest, tool_calls
+from slotwise.llm import html_extract, language_id, line_dedup, ngram_join, quality, sentencepiece_nbest, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_sentencepiece_nbest": sentencepiece_nbest.op4_sentencepiece_nbest,
     "op5_language_id": language_id.op5_language_id,
     "op7_tool_calls": tool_calls.op7_tool_calls,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_ngram_join": ngram_join.OP3_SQL,
     "op7_tool_calls": tool_calls.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
