@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import html_extract, language_id, line_dedup, ngram_join, quality, sentencepiece_nbest, tool_calls
+from slotwise.llm import decontaminate, html_extract, language_id, line_dedup, ngram_join, quality, sentencepiece_nbest, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_sentencepiece_nbest": sentencepiece_nbest.op4_sentencepiece_nbest,
