@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import decontaminate, fingerprint, html_extract, language_id, line_dedup, ngram_join, quality, sentencepiece_nbest, tool_calls
+from slotwise.llm import decontaminate, fingerprint, html_extract, language_id, line_dedup, ngram_join, pii, quality, sentencepiece_nbest, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_sentencepiece_nbest": sentencepiece_nbest.op4_sentencepiece_nbest,
     "op5_language_id": language_id.op5_language_id,
+    "op6_pii_surrogates": pii.op6_pii_surrogates,
     "op7_tool_calls": tool_calls.op7_tool_calls,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_fingerprint": fingerprint.op9_fingerprint,

@@ -34,6 +34,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +49,7 @@ RANK_OFFSET = 2.7
 #: Added cost of a byte piece, in nats.
 BYTE_PENALTY = 10.0
 #: Chunks kept per task, and the longest chunk kept.
-CACHE_CHUNKS = 800_000
-CACHE_CHARS = 48
+CACHE_CHUNKS = 1_000_000
 _FAR = 1 << 62
 _CHUNK = re.compile(r"\n| *[^ \n]+| +")
 
@@ -66,7 +66,7 @@ class Vocabulary:
     byte_ids: list[int]
     texts: list[bytes]
     longest: int
-    _cache: dict[str, tuple[tuple[int, ...], int, int | None]] = field(default_factory=dict, repr=False)
+    _options: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def load(cls, model_file: str = MODEL_FILE) -> Vocabulary:
@@ -93,7 +93,7 @@ class Vocabulary:
         return cls(ids, trie, costs, byte_ids, texts, max(map(len, ids)))
 
     def __getstate__(self):
-        return {**self.__dict__, "_cache": {}}
+        return {**self.__dict__, "_options": {}}
 
     def lattice(self, chunk: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For every end position the arcs (start, cost, ids) of the pieces that end there."""
@@ -134,99 +134,175 @@ class Vocabulary:
                 heapq.heappush(heap, (ahead[start] + cost + behind, order, start, cost + behind, (piece, path)))
         return found
 
-    def chunk(self, chunk: str) -> tuple[tuple[int, ...], int, int | None]:
-        """(ids, cost, gap to the second best or None) of a chunk, from the cache.
+    def chunk(self, chunk: str) -> tuple[list[int], int, int]:
+        """(ids, cost, gap to the second best) of a chunk; the gap is ``_FAR`` if there is no second.
 
         The second best segmentation uses at least one arc off the best path, so its
         cost is the least of prefix cost + arc + suffix cost over those arcs.
         """
-        hit = self._cache.get(chunk)
-        if hit is not None:
-            return hit
-        trie, costs, n = self.trie, self.costs, len(chunk)
-        ahead: list[int] = [0] + [_FAR] * n
-        back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
+        get, costs, n = self.trie.get, self.costs, len(chunk)
+        ahead = [0] + [_FAR] * n
+        came, used = [0] * (n + 1), [-1] * (n + 1)  # best arc into each position: start and piece (-1: bytes)
         arcs = []
         for i in range(n):
-            base = ahead[i]
-            piece = trie.get(chunk[i], -1)
-            if piece < 0:
-                raw = tuple(self.byte_ids[b] for b in chunk[i].encode())
-                cost = sum(costs[x] for x in raw)
-                arcs.append((i, i + 1, cost))
-                if base + cost < ahead[i + 1]:
-                    ahead[i + 1], back[i + 1] = base + cost, (i, raw)
-            j = i + 1
-            piece = trie.get(chunk[i:j])
+            base, j = ahead[i], i + 1
+            piece = get(chunk[i:j])
+            if piece is None or piece < 0:
+                cost = sum([costs[self.byte_ids[b]] for b in chunk[i].encode()])
+                arcs.append((i, j, cost))
+                if base + cost < ahead[j]:
+                    ahead[j], came[j], used[j] = base + cost, i, -1
             while piece is not None:
                 if piece >= 0:
                     cost = costs[piece]
                     arcs.append((i, j, cost))
                     if base + cost < ahead[j]:
-                        ahead[j], back[j] = base + cost, (i, (piece,))
-                j += 1
-                if j > n:
+                        ahead[j], came[j], used[j] = base + cost, i, piece
+                if j == n:
                     break
-                piece = trie.get(chunk[i:j])
-        path, on_path, at = [], set(), n
+                j += 1
+                piece = get(chunk[i:j])
+        path, at = [], n
         while at:
-            start, piece_ids = back[at]
-            on_path.add((start, at))
-            path.append(piece_ids)
+            piece, start = used[at], came[at]
+            if piece >= 0:
+                path.append(piece)
+            else:
+                path += [self.byte_ids[b] for b in reversed(chunk[start].encode())]
             at = start
-        behind, best, second = [_FAR] * n + [0], ahead[n], _FAR
+        path.reverse()
+        if len(arcs) == len(path):
+            return path, ahead[n], _FAR
+        on_path, at = set(), n
+        while at:
+            on_path.add((came[at], at))
+            at = came[at]
+        behind, second = [_FAR] * n + [0], _FAR
         for i, j, cost in reversed(arcs):
             cost += behind[j]
             if cost < behind[i]:
                 behind[i] = cost
-            if ahead[i] + cost < second and (i, j) not in on_path:
-                second = ahead[i] + cost
-        hit = (tuple(x for piece_ids in reversed(path) for x in piece_ids), best, second - best if second < _FAR else None)
-        if n <= CACHE_CHARS:
-            if len(self._cache) >= CACHE_CHUNKS:
-                self._cache.clear()
-            self._cache[chunk] = hit
-        return hit
+            cost += ahead[i]
+            if cost < second and (i, j) not in on_path:
+                second = cost
+        return path, ahead[n], second - ahead[n] if second < _FAR else _FAR
 
     def options(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """``n_best`` with the segmentation of :meth:`chunk` first among its equals."""
-        best = (self.chunk(chunk)[1], self.chunk(chunk)[0])
-        return [best, *[x for x in self.n_best(chunk, n) if x != best]][:n]
+        """``n_best`` with the segmentation of :meth:`chunk` first among its equals (kept for short chunks)."""
+        hit = self._options.get((chunk, n))
+        if hit is None:
+            path, cost, _ = self.chunk(chunk)
+            ids = tuple(path)
+            hit = [(cost, ids), *[x for x in self.n_best(chunk, n) if x != (cost, ids)]][:n]
+            if len(self._options) >= 50_000:
+                self._options.clear()
+            if len(chunk) < 64:
+                self._options[chunk, n] = hit
+        return hit
 
     def encode(self, text: str | None, n: int = N_BEST) -> tuple[list[int], list[tuple[int, list[Edit]]]]:
         """Best ids, and the ``n`` cheapest segmentations as (cost, edits of the best ids).
 
         An edit (at, count, new) replaces ``count`` ids from position ``at``.
         """
-        if not text:
-            return [], [(0, [])]
-        chunks = _CHUNK.findall(" " + text)
-        ids: list[int] = []
-        base, gaps = 0, []
-        cached, full = self._cache.get, self.chunk
-        for k, chunk in enumerate(chunks):
-            piece, cost, gap = cached(chunk) or full(chunk)
-            ids += piece
-            base += cost
-            if gap is not None:
-                gaps.append((gap, k))
-        return ids, self._combine(chunks, base, heapq.nsmallest(n - 1, gaps), n)
-
-    def _combine(self, chunks: list[str], base: int, gaps: list[tuple[int, int]], n: int) -> list[tuple[int, list[Edit]]]:
-        """N cheapest choices over the chunks in ``gaps``; the others keep their best."""
-        wanted = sorted(k for _, k in gaps)
-        options = [self.options(chunks[k], n) for k in wanted]
-        starts, at, upto = [], 0, 0
-        for k in wanted:
-            at += sum(len(self.chunk(c)[0]) for c in chunks[upto:k])
-            starts.append(at)
-            upto = k
-        heap = [(base, (0,) * len(wanted))]
+        ids, _, found = ChunkStore(self).encode([text], n)
+        return ids.tolist(), found[0]
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of a list of ids."""
+        return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
+
+
+class ChunkStore:
+    """Best segmentations of the chunks seen so far, as arrays; encodes lists of texts.
+
+    Texts are split at spaces.  A word is the key of the chunk of a space and the
+    word; ``\x01`` before a word (after a newline) marks a chunk without the space.
+    Texts with runs of spaces or these control characters are cut by the
+    chunk pattern instead, ``\x02`` before a whole chunk being the key.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, limit: int = CACHE_CHUNKS):
+        self.vocabulary, self.limit = vocabulary, limit
+        self.index: dict[str, int] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.index.clear()
+        self.keys: list[str] = []
+        self.cost, self.gap, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    @staticmethod
+    def chunk_of(key: str) -> str:
+        return key[1:] if key[:1] in ("\x01", "\x02") else key if key == "\n" else " " + key
+
+    def _add(self, keys: list[str]) -> None:
+        """Segment the chunks of new keys and append them to the arrays."""
+        flat, costs, gaps, ends, total = [], [], [], [], int(self.start[-1])
+        find, k = self.vocabulary.chunk, len(self.cost)
+        for key in keys:
+            if key == "\x01":
+                ids, cost, gap = [], 0, _FAR
+            else:
+                ids, cost, gap = find(self.chunk_of(key))
+            flat += ids
+            costs.append(cost)
+            gaps.append(gap)
+            ends.append(total + len(flat))
+        self.index.update(zip(keys, range(k, k + len(keys))))
+        self.keys += keys
+        self.cost, self.gap = np.concatenate([self.cost, costs]), np.concatenate([self.gap, gaps])
+        self.start = np.concatenate([self.start, ends])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Chunk keys of a non-empty text."""
+        spaced = text.replace("\n", " \n \x01")
+        if spaced[0] != " " and spaced[-1] != " " and "  " not in spaced and "\x02" not in text and "\x01" not in text:
+            return spaced.split(" ")
+        return [c[1:] if c[0] == " " and len(c) > 1 and c[1] not in " \x01\x02" else "\x02" + c for c in _CHUNK.findall(" " + text)]
+
+    def encode(self, texts: list[str | None], n: int = N_BEST) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, list[Edit]]]]]:
+        """(all ids, offsets of the texts, per text its ``n`` cheapest segmentations)."""
+        if len(self.keys) > self.limit:
+            self._reset()
+        words, bounds = [], [0]
+        for text in texts:
+            if text:
+                words += self.split(text)
+            bounds.append(len(words))
+        new = [w for w in dict.fromkeys(words) if w not in self.index]
+        if new:
+            self._add(new)
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        first = self.start[at]
+        sizes = self.start[at + 1] - first
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], sizes)]
+        costs, gaps = self.cost[at], self.gap[at]
+        found = []
+        for a, b in zip(bounds, bounds[1:]):
+            own = gaps[a:b]
+            if n > 1 and b - a > n - 1:
+                edge = np.partition(own, n - 2)[n - 2]
+                low = np.flatnonzero(own < edge)
+                low = np.concatenate([low, np.flatnonzero(own == edge)[: n - 1 - len(low)]])
+            else:
+                low = np.arange(b - a)
+            low = np.sort(low[own[low] < _FAR])
+            found.append(self._combine(int(costs[a:b].sum()), [(int(ends[a + k] - ends[a]), words[a + k]) for k in low.tolist()], n))
+        return ids, ends[bounds], found
+
+    def _combine(self, base: int, open_chunks: list[tuple[int, str]], n: int) -> list[tuple[int, list[Edit]]]:
+        """``n`` cheapest choices over the open chunks (position of their ids, key); all others keep their best."""
+        options = [self.vocabulary.options(self.chunk_of(key), n) for _, key in open_chunks]
+        heap = [(base, (0,) * len(options))]
         seen, out = {heap[0][1]}, []
         while heap and len(out) < n:
             cost, pick = heapq.heappop(heap)
-            edits = [(starts[i], len(options[i][0][1]), options[i][c][1]) for i, c in enumerate(pick) if c]
-            out.append((cost, edits))
+            out.append((cost, [(open_chunks[i][0], len(options[i][0][1]), options[i][c][1]) for i, c in enumerate(pick) if c]))
             for i, c in enumerate(pick):
                 if c + 1 < len(options[i]):
                     step = (*pick[:i], c + 1, *pick[i + 1 :])
@@ -235,10 +311,6 @@ class Vocabulary:
                         heapq.heappush(heap, (cost + options[i][c + 1][0] - options[i][c][0], step))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of a list of ids."""
-        return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
-
 
 def apply_edits(ids: list[int], edits: list[Edit]) -> list[int]:
     """Ids of another segmentation from the best ids and its edits."""
@@ -266,16 +338,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, n_best: int =
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_best", _NBEST_SCHEMA), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = ChunkStore(vocabulary)
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                all_ids, best, same = [], [], []
-                for text in column(part, "text").to_pylist():
-                    ids, found = vocabulary.encode(text, n_best)
-                    all_ids.append(ids)
-                    best.append([{"cost": c, "edits": [{"at": a, "count": k, "new_ids": list(x)} for a, k, x in e]} for c, e in found])
-                    same.append(vocabulary.decode(ids) == (text or ""))
-                arrays = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(best, _ARROW), pa.array(same)]
+                texts = column(part, "text").to_pylist()
+                ids, offsets, found = store.encode(texts, n_best)
+                best = [[{"cost": c, "edits": [{"at": a, "count": k, "new_ids": list(x)} for a, k, x in e]} for c, e in one] for one in found]
+                same = [vocabulary.decode(ids[a:b].tolist()) == (x or "") for x, a, b in zip(texts, offsets, offsets[1:])]
+                arrays = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), pa.array(best, _ARROW), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*[column(part, c) for c in rest], *arrays], [*rest, "ids", "n_best", "round_trip"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("text"))
