@@ -22,10 +22,12 @@ def pct_vs_typical(prediction: str | Column, typical: str | Column) -> Column:
 
 
 def unbiased_skewness(col: str | Column) -> Column:
-    """Sample skewness with the (n(n-1))^0.5/(n-2) correction."""
+    """Sample skewness with the (n(n-1))^0.5/(n-2) correction;
+    0 for a constant column of at least three values."""
     x = _c(col)
     n = F.count(x).cast("double")
-    return F.skewness(x) * F.try_divide(F.sqrt(n * (n - 1.0)), n - 2.0)
+    corrected = F.skewness(x) * F.try_divide(F.sqrt(n * (n - 1.0)), n - 2.0)
+    return F.when((n >= 3) & (F.min(x) == F.max(x)), F.lit(0.0)).otherwise(corrected)
 
 
 def safe_corr(a: str | Column, b: str | Column) -> Column:
@@ -51,26 +53,3 @@ def signed_pct_label(value: str | Column) -> Column:
 
 def round6(col: str | Column) -> Column:
     return F.round(_c(col), 6)
-
-
-def round_significant(col: str | Column, digits: int = 10) -> Column:
-    """Round to ``digits`` significant digits (decimal places follow the
-    magnitude, from ``digits`` below 1 down to negative places above
-    ``10**digits``).  Summaries of large doubles (a standard deviation of
-    1.4e6, say) agree across summation orders to about 15 digits, so a fixed
-    6-decimal rounding can flip on float noise; 10 significant digits cannot
-    in practice.
-    """
-    c = _c(col)
-    a = F.abs(c)
-    out = F.when(a < 1, F.round(c, digits))
-    for k in range(1, 19):
-        out = out.when(a < 10.0**k, F.round(c, digits - k))
-    return out.otherwise(c)
-
-
-def round_significant_sql(expr: str, digits: int = 10) -> str:
-    """The same rounding as SQL (for oracle queries)."""
-    parts = [f"WHEN abs({expr}) < 1 THEN round({expr}, {digits})"]
-    parts += [f"WHEN abs({expr}) < 1e{k} THEN round({expr}, {digits - k})" for k in range(1, 19)]
-    return "CASE " + " ".join(parts) + f" ELSE {expr} END"

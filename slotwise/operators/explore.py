@@ -18,19 +18,19 @@ from slotwise.schemas import HOUR, PICKUP, TARGET, ZONE
 
 def trips_by_hour(trips: DataFrame, ts_col: str = PICKUP) -> DataFrame:
     """Trips per hour of day."""
-    return trips.groupBy(hour_of_day(ts_col).alias("hour_of_day")).agg(F.count(F.lit(1)).alias("trips"))
+    return trips.filter(F.col(ts_col).isNotNull()).groupBy(hour_of_day(ts_col).alias("hour_of_day")).agg(F.count(F.lit(1)).alias("trips"))
 
 
 def trips_by_day_name(trips: DataFrame, ts_col: str = PICKUP) -> DataFrame:
     """Trips per weekday, with the day name and its Monday=0 order key."""
-    return trips.groupBy(
+    return trips.filter(F.col(ts_col).isNotNull()).groupBy(
         day_of_week(ts_col).alias("day_of_week"), day_name(ts_col).alias("day_name")
     ).agg(F.count(F.lit(1)).alias("trips"))
 
 
 def trips_by_date(trips: DataFrame, ts_col: str = PICKUP) -> DataFrame:
     """Trips per calendar date."""
-    return trips.groupBy(calendar_date(ts_col).alias("date")).agg(F.count(F.lit(1)).alias("trips"))
+    return trips.filter(F.col(ts_col).isNotNull()).groupBy(calendar_date(ts_col).alias("date")).agg(F.count(F.lit(1)).alias("trips"))
 
 
 def with_zone_names(df: DataFrame, zones: DataFrame, zone_col: str = ZONE) -> DataFrame:
@@ -51,7 +51,7 @@ def top_pickup_zones(trips: DataFrame, zones: DataFrame | None = None, n: int =
 
     The limit is applied before the name join, so only n rows are joined.
     """
-    counts = trips.groupBy(zone_col).agg(F.count(F.lit(1)).alias("trips"))
+    counts = trips.filter(F.col(zone_col).isNotNull()).groupBy(zone_col).agg(F.count(F.lit(1)).alias("trips"))
     top = counts.orderBy(F.desc("trips"), F.asc(zone_col)).limit(n)
     return with_zone_names(top, zones, zone_col) if zones is not None else top
 
@@ -67,7 +67,8 @@ def peak_hour_and_zone(trips: DataFrame, ts_col: str = PICKUP, zone_col: str = Z
         F.sum("trips").alias("total"),
     )
     by_zone = (
-        trips.groupBy(zone_col)
+        trips.filter(F.col(zone_col).isNotNull())
+        .groupBy(zone_col)
         .agg(F.count(F.lit(1)).alias("trips"))
         .agg(F.max_by(F.struct(F.col(zone_col).alias("z"), F.col("trips").alias("t")), F.struct("trips", -F.col(zone_col))))
         .scalar()
@@ -97,7 +98,8 @@ def weekday_hour_matrix(spark: SparkSession, trips: DataFrame, ts_col: str = PIC
 def top_totals(cells: DataFrame, key: str, n: int = 10, target: str = TARGET) -> DataFrame:
     """The n keys with the largest summed demand (sum desc, key asc)."""
     return (
-        cells.groupBy(key)
+        cells.filter(F.col(key).isNotNull())
+        .groupBy(key)
         .agg(F.sum(target).alias("total_demand"))
         .orderBy(F.desc("total_demand"), F.asc(key))
         .limit(n)
@@ -113,9 +115,9 @@ def demand_summary(cells: DataFrame, target: str = TARGET) -> DataFrame:
     median, p95 = exact_quantiles(cells, target, [0.5, 0.95])
     one = cells.agg(
         F.min(x).alias("min"),
-        F.round(F.avg(x), 6).alias("mean"),
+        F.avg(x).alias("mean"),
         F.max(x).alias("max"),
-        F.round(unbiased_skewness(x), 6).alias("skew"),
+        unbiased_skewness(x).alias("skew"),
     )
     return one.select("min", median.alias("median"), "mean", p95.alias("p95"), "max", "skew")
 
@@ -135,14 +137,14 @@ def grid_coverage(trips: DataFrame, cells: DataFrame, ts_col: str = PICKUP, zone
         full.alias("full_grid"),
         "observed_cells",
         (full - F.col("observed_cells")).alias("missing_cells"),
-        F.round(pct(F.col("observed_cells"), full), 6).alias("coverage_pct"),
-        F.round(pct(full - F.col("observed_cells"), full), 6).alias("implied_zero_pct"),
+        pct(F.col("observed_cells"), full).alias("coverage_pct"),
+        pct(full - F.col("observed_cells"), full).alias("implied_zero_pct"),
     )
 
 
 def mean_demand_by(cells: DataFrame, key: Column, name: str, target: str = TARGET) -> DataFrame:
     """Mean demand per key over *observed* cells (no zero rows)."""
-    return cells.groupBy(key.alias(name)).agg(F.round(F.avg(target), 6).alias("mean_demand"))
+    return cells.groupBy(key.alias(name)).agg(F.avg(target).alias("mean_demand"))
 
 
 def daily_demand(cells: DataFrame, target: str = TARGET) -> DataFrame:
@@ -166,8 +168,8 @@ def histogram(spark: SparkSession, df: DataFrame, col: str, bins: int = 100) ->
     width = (hi - lo) / bins
     return edges.join(counts, "bin", "left").select(
         "bin",
-        F.round(lo + (F.col("bin") - 1) * width, 6).alias("lower"),
-        F.round(lo + F.col("bin") * width, 6).alias("upper"),
+        (lo + (F.col("bin") - 1) * width).alias("lower"),
+        (lo + F.col("bin") * width).alias("upper"),
         F.coalesce(F.col("count"), F.lit(0)).alias("count"),
     )
 
@@ -189,7 +191,7 @@ def abs_correlation_ranking(df: DataFrame, candidates: Sequence[str], target: st
     """
     one = df.agg(*[F.abs(safe_corr(c, target)).alias(c) for c in candidates])
     return one.unpivot([], list(candidates), "feature", "abs_corr").select(
-        "feature", F.round("abs_corr", 6).alias("abs_corr")
+        "feature", "abs_corr"
     ).orderBy(F.desc_nulls_last("abs_corr"), "feature")
 
 
@@ -218,7 +220,7 @@ def mutual_information_ranking(df: DataFrame, candidates: Sequence[str], target:
     s_y = clnc(joint.groupBy("feature", "y").agg(F.sum("c").alias("c")), "s_y")
     parts = s_xy.join(s_x, "feature").join(s_y, "feature")
     mi = F.log("n") + (F.col("s_xy") - F.col("s_x") - F.col("s_y")) / F.col("n")
-    return parts.select("feature", F.round(mi, 6).alias("mutual_info")).orderBy(F.desc("mutual_info"), "feature")
+    return parts.select("feature", mi.alias("mutual_info")).orderBy(F.desc("mutual_info"), "feature")
 
 
 def zero_share(df: DataFrame, group_cols: Sequence[str] = (), target: str = TARGET) -> DataFrame:
@@ -226,7 +228,7 @@ def zero_share(df: DataFrame, group_cols: Sequence[str] = (), target: str = TARG
     y = F.col(target)
     grouped = df.groupBy(*group_cols) if group_cols else df.groupBy()
     return grouped.agg(
-        F.round(F.avg((y == 0).cast("double")) * 100.0, 6).alias("zero_pct"),
+        (F.avg((y == 0).cast("double")) * 100.0).alias("zero_pct"),
         F.count_if(y > 0).alias("n_nonzero"),
         F.count(F.lit(1)).alias("n_total"),
     )

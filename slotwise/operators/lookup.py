@@ -23,23 +23,23 @@ LOOKUP_SOURCES = [
     "demand_rolling_168h",
 ]
 KEYS = [ZONE, "hour_of_day", "day_of_week"]
-MEAN_DIGITS = 9
 
 
-def build_lookup(features: DataFrame, as_of: str | None = None, zone_col: str = ZONE) -> DataFrame:
+def build_lookup(
+    features: DataFrame, as_of: str | None = None, zone_col: str = ZONE, digits: int | None = None
+) -> DataFrame:
     """Mean of demand and the five lag/rolling columns per key.
 
     ``as_of`` restricts the history to hours before a cutoff (the original
-    pipeline averages over every row).  Means are rounded to 1e-9: averages
-    of doubles depend on the summation order (partitioning), and the
-    rounding makes the table - and every forecast served from it - identical
-    across partitionings and engines.
+    pipeline averages over every row).  ``digits`` rounds the means: averages
+    of doubles depend on the summation order in their last bits, and reports
+    that compare engines bit by bit ask for 9 digits.
     """
     src = features
     if as_of is not None:
         src = src.filter(F.col(HOUR) < F.lit(as_of).cast("timestamp_ntz"))
     keys = [zone_col, "hour_of_day", "day_of_week"]
-    return src.groupBy(*keys).agg(*[F.round(F.avg(c), MEAN_DIGITS).alias(f"mean_{c}") for c in LOOKUP_SOURCES])
+    return src.groupBy(*keys).agg(*[(F.avg(c) if digits is None else F.round(F.avg(c), digits)).alias(f"mean_{c}") for c in LOOKUP_SOURCES])
 
 
 def attach_lookup(requests: DataFrame, lookup: DataFrame, zone_col: str = ZONE) -> DataFrame:

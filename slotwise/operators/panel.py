@@ -30,8 +30,9 @@ from slotwise.schemas import HOLIDAYS_JAN_2025, HOUR, MIN_ACTIVE_HOURS, PICKUP,
 def hourly_demand(
     trips: DataFrame, zone_col: str = ZONE, ts_col: str = PICKUP, target: str = TARGET
 ) -> DataFrame:
-    """Trips per (zone, hour) over observed cells only."""
-    return trips.groupBy(F.col(zone_col).alias(zone_col), floor_hour(ts_col).alias(HOUR)).agg(
+    """Trips per (zone, hour) over observed cells only; rows without zone or time belong to no cell."""
+    keyed = trips.filter(F.col(zone_col).isNotNull() & F.col(ts_col).isNotNull())
+    return keyed.groupBy(F.col(zone_col).alias(zone_col), floor_hour(ts_col).alias(HOUR)).agg(
         F.count(F.lit(1)).alias(target)
     )
 
@@ -85,7 +86,7 @@ def zone_filter_report(
         (F.col("zones_before") * hours).alias("rows_before"),
         rows_after.alias("rows_after"),
         zero_after.alias("zero_rows_kept"),
-        F.round(F.try_divide(zero_after * 100.0, rows_after), 6).alias("zero_pct"),
+        F.try_divide(zero_after * 100.0, rows_after).alias("zero_pct"),
     )
 
 
@@ -197,6 +198,6 @@ def panel_profile(panel: DataFrame, zone_col: str = ZONE, target: str = TARGET)
         F.min(HOUR).alias("min_hour"),
         F.max(HOUR).alias("max_hour"),
         F.count_if(F.col(target) == 0).alias("zero_rows"),
-        F.round(F.avg((F.col(target) == 0).cast("double")) * 100.0, 6).alias("zero_pct"),
+        (F.avg((F.col(target) == 0).cast("double")) * 100.0).alias("zero_pct"),
         *null_counts,
     )

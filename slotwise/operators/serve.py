@@ -202,9 +202,8 @@ def heatmap_wide(cells: DataFrame) -> DataFrame:
 
 def _slot_rank(forecast: DataFrame) -> tuple:
     slot = Window.partitionBy("hour_of_day", "day_of_week", "is_weekend")
-    # predictions equal to 9 decimals are ties (sums of the same values in a
-    # different order differ in the last bits), broken by the zone id
-    rank = F.row_number().over(slot.orderBy(F.desc(F.round("prediction", 9)), F.asc("zone_id")))
+    # equal predictions are ties, broken by the zone id
+    rank = F.row_number().over(slot.orderBy(F.desc("prediction"), F.asc("zone_id")))
     return rank, F.count(F.lit(1)).over(slot)
 
 
@@ -246,9 +245,14 @@ def zone_intensity(forecast: DataFrame) -> DataFrame:
 def compare(forecast: DataFrame, a: dict, b: dict) -> DataFrame:
     """Two selections side by side over 24 hours.
 
-    ``a``/``b`` hold ``zone`` (int or column), ``dow`` and ``weekend``; rows
-    are hours with both timelines and their difference.
+    ``a``/``b`` hold ``zone`` (int or column) and ``dow``; rows are hours with
+    both timelines and their difference.  The forecast table has the weekend
+    flag of the weekday; :func:`compare_requests` takes the flag on its own.
     """
+    for sel in (a, b):
+        if sel.get("weekend", int(sel["dow"] >= 5)) != int(sel["dow"] >= 5):
+            raise ValueError("the forecast table has no slots with another weekend flag: use compare_requests")
+
     def one(sel: dict, tag: str) -> DataFrame:
         z = sel["zone"] if isinstance(sel["zone"], Column) else F.lit(sel["zone"])
         rows = forecast.filter((F.col("zone_id") == z) & (F.col("day_of_week") == sel["dow"]))
@@ -266,11 +270,36 @@ def compare(forecast: DataFrame, a: dict, b: dict) -> DataFrame:
     )
 
 
-# Sentence templates of the model card (ours); values are filled per metric.
+def slot_predictions(zones: DataFrame, hour: int, dow: int, weekend: int, lookup: DataFrame, predictor) -> DataFrame:
+    """K3 with an independent weekend flag: every zone at one slot, scored as requests."""
+    scored = score_requests(slot_requests(zones, hour, dow, weekend), lookup, predictor)
+    return scored.select(F.col(ZONE).alias("zone_id"), "is_weekend", "prediction")
+
+
+def day_predictions(spark: SparkSession, zone: Column | int, dow: int, weekend: int, lookup: DataFrame, predictor) -> DataFrame:
+    """K4 with an independent weekend flag: 24 hourly predictions of one zone, scored as requests."""
+    scored = score_requests(day_requests(spark, zone, dow, weekend), lookup, predictor)
+    return scored.select(F.col("hour_of_day").alias("hour"), F.col(ZONE).alias("zone_id"), "prediction")
+
+
+def compare_requests(spark: SparkSession, a: dict, b: dict, lookup: DataFrame, predictor) -> DataFrame:
+    """K8 / D9 through request frames: each selection (``zone``, ``dow``, ``weekend``) is scored with its own flag."""
+    def one(sel: dict, tag: str) -> DataFrame:
+        rows = day_predictions(spark, sel["zone"], sel["dow"], sel["weekend"], lookup, predictor)
+        return rows.select("hour", F.col("zone_id").alias(f"zone_{tag}"), F.col("prediction").alias(f"prediction_{tag}"))
+
+    both = one(a, "a").join(one(b, "b"), "hour", "full")
+    return both.select(
+        "hour", "zone_a", "prediction_a", "zone_b", "prediction_b",
+        (F.col("prediction_a") - F.col("prediction_b")).alias("difference"),
+    )
+
+
+# Sentence templates of the model card; values are filled per metric.
 _CARD_TEXT = {
     "mae": "Predictions miss by %.2f trips per zone-hour on average.",
     "rmse": "Large misses weigh more: the root mean squared error is %.2f trips.",
-    "r2": "The model explains %.1f%% of the variation in demand.",
+    "r2": "Squared misses are %.1f%% smaller than those of always forecasting the mean.",
     "mape": "On zone-hours with demand, the average relative miss is %.1f%%.",
     "mbe": "Mean bias is %.2f trips per zone-hour.",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slotwise.functions.calendar import day_of_week, hour_of_day, is_rush_hour, is_weekend, month_of
 from slotwise.operators import explore as X
 from slotwise.plans import common as C
-from slotwise.plans.registry import register
+from slotwise.plans.registry import register, round_doubles
 from slotwise.schemas import EDA_RUSH_HOURS, HOUR, PICKUP, ZONE
 from slotwise.sources import testdata
 
@@ -108,7 +108,7 @@ def q_top_hour_totals(spark, sf_dir):
 )
 def q_demand_summary(spark, sf_dir):
     """E15 + E16: distribution of hourly demand with bias-corrected skew."""
-    return X.demand_summary(C.cells(spark, sf_dir))
+    return round_doubles(X.demand_summary(C.cells(spark, sf_dir)))
 
 
 @register(
@@ -123,7 +123,7 @@ FROM (SELECT count(DISTINCT date_trunc('hour', {PICKUP})) AS unique_hours, count
 )
 def q_grid_coverage(spark, sf_dir):
     """How much of the zone x hour grid has any pickup."""
-    return X.grid_coverage(C.clean(spark, sf_dir), C.cells(spark, sf_dir))
+    return round_doubles(X.grid_coverage(C.clean(spark, sf_dir), C.cells(spark, sf_dir)))
 
 
 @register(
@@ -132,7 +132,7 @@ def q_grid_coverage(spark, sf_dir):
 )
 def q_mean_demand_by_hour(spark, sf_dir):
     """Mean demand per hour of day over observed cells."""
-    return X.mean_demand_by(C.cells(spark, sf_dir), hour_of_day(HOUR), "hour_of_day")
+    return round_doubles(X.mean_demand_by(C.cells(spark, sf_dir), hour_of_day(HOUR), "hour_of_day"))
 
 
 @register(
@@ -141,7 +141,7 @@ def q_mean_demand_by_hour(spark, sf_dir):
 )
 def q_mean_demand_by_weekday(spark, sf_dir):
     """Mean demand per weekday over observed cells."""
-    return X.mean_demand_by(C.cells(spark, sf_dir), day_of_week(HOUR), "day_of_week")
+    return round_doubles(X.mean_demand_by(C.cells(spark, sf_dir), day_of_week(HOUR), "day_of_week"))
 
 
 @register("daily_demand", CELLS + "SELECT CAST(hour AS DATE) AS date, CAST(sum(demand) AS BIGINT) AS demand FROM cells GROUP BY 1")
@@ -162,7 +162,7 @@ FROM range(1, 101) e CROSS JOIN b LEFT JOIN h ON h.bin = e.range""",
 )
 def q_demand_histogram(spark, sf_dir):
     """100 equal-width bins of hourly demand."""
-    return X.histogram(spark, C.cells(spark, sf_dir), "demand", 100)
+    return round_doubles(X.histogram(spark, C.cells(spark, sf_dir), "demand", 100))
 
 
 @register(
@@ -213,7 +213,7 @@ def _corr_sql(c: str) -> str:
 def q_correlation_ranking(spark, sf_dir):
     """|Pearson r| of calendar candidates with hourly demand (month is
     constant over one month, so its correlation is null)."""
-    return X.abs_correlation_ranking(_eda_frame(spark, sf_dir), CANDIDATES)
+    return round_doubles(X.abs_correlation_ranking(_eda_frame(spark, sf_dir), CANDIDATES))
 
 
 def _mi_sql(c: str) -> str:
@@ -226,7 +226,7 @@ def _mi_sql(c: str) -> str:
 @register("mutual_info_ranking", _EDA_SQL + "\n UNION ALL ".join(_mi_sql(c) for c in CANDIDATES))
 def q_mutual_info_ranking(spark, sf_dir):
     """E22 (re-aimed): plug-in mutual information of discrete candidates."""
-    return X.mutual_information_ranking(_eda_frame(spark, sf_dir), CANDIDATES)
+    return round_doubles(X.mutual_information_ranking(_eda_frame(spark, sf_dir), CANDIDATES))
 
 
 # ---------------------------------------------------------------------------

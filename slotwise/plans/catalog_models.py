@@ -23,7 +23,7 @@ from slotwise.operators.metrics import (
     to_long,
 )
 from slotwise.plans import common as C
-from slotwise.plans.registry import register
+from slotwise.plans.registry import register, round_doubles
 from slotwise.schemas import TARGET
 
 P = C.PROFILE
@@ -72,7 +72,7 @@ SELECT model, split, {_metric_sql('prediction')}, count(*) AS n FROM preds GROUP
 def q_naive_forecast_metrics(spark, sf_dir):
     """J16 + J4: five-metric suite of seasonal-naive forecasts per split."""
     preds = naive_predictions(_labelled(spark, sf_dir), NAIVE, keep=["split"])
-    return regression_metrics(preds, ["model", "split"])
+    return regression_metrics(preds, ["model", "split"], digits=6)
 
 
 @register(
@@ -86,7 +86,7 @@ UNPIVOT wide ON mae, rmse, r2, mape, mbe INTO NAME metric VALUE value""",
 def q_naive_forecast_metrics_long(spark, sf_dir):
     """J4 long form ``(model, split, metric, value)``."""
     preds = naive_predictions(_labelled(spark, sf_dir), NAIVE, keep=["split"])
-    return to_long(regression_metrics(preds, ["model", "split"]), ["model", "split"], FIVE)
+    return to_long(regression_metrics(preds, ["model", "split"], digits=6), ["model", "split"], FIVE)
 
 
 _CV_NAIVE = {"lag_168h": "demand_lag_168h", "rolling_168h": "demand_rolling_168h"}
@@ -133,7 +133,7 @@ FROM preds WHERE split = 'val' GROUP BY 1""",
 def q_bias_direction(spark, sf_dir):
     """over/under-prediction of each naive forecast on validation."""
     preds = naive_predictions(_labelled(spark, sf_dir), NAIVE, keep=["split"]).filter(F.col("split") == "val")
-    m = regression_metrics(preds, ["model"], metrics=["mbe"]).select("model", "mbe")
+    m = regression_metrics(preds, ["model"], metrics=["mbe"], digits=6).select("model", "mbe")
     return m.select("model", "mbe", bias_direction("mbe").alias("direction"))
 
 
@@ -163,7 +163,7 @@ def q_model_comparison(spark, sf_dir):
 def q_ridge_vs_ols_delta(spark, sf_dir):
     """Change of every validation metric from OLS to ridge."""
     wide = M.compare_models(_labelled(spark, sf_dir), _linear_models())
-    return metric_delta(to_long(wide, ["model"]), "linear_regression", "ridge")
+    return round_doubles(metric_delta(to_long(wide, ["model"]), "linear_regression", "ridge"))
 
 
 def _trainval_folds(spark, sf_dir):

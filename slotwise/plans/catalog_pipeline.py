@@ -39,7 +39,7 @@ FROM ({_rule_checks}
 )
 def q_clean_report(spark, sf_dir):
     """Rows removed per cleaning rule and overall."""
-    return clean_report(C.trips(spark, sf_dir), P.rules)
+    return round_doubles(clean_report(C.trips(spark, sf_dir), P.rules))
 
 
 @register(
@@ -106,7 +106,7 @@ FROM features""",
 )
 def q_feature_profile(spark, sf_dir):
     """Run profile of the feature table (rows, zones, range, zeros, nulls)."""
-    return panel_profile(C.features(spark, sf_dir))
+    return round_doubles(panel_profile(C.features(spark, sf_dir)))
 
 
 @register(
@@ -123,4 +123,4 @@ FROM agg, hrs""",
 )
 def q_zone_filter_report(spark, sf_dir):
     """C5 report: zones and panel rows before/after the activity filter, zero share kept."""
-    return zone_filter_report(C.cells(spark, sf_dir), P.min_active_hours)
+    return round_doubles(zone_filter_report(C.cells(spark, sf_dir), P.min_active_hours))

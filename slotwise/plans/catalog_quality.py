@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions.calendar import duration_minutes
-from slotwise.functions.expressions import round_significant_sql
 from slotwise.operators.quality import (
     describe,
     duplicate_rows,
@@ -18,7 +18,7 @@ from slotwise.operators.quality import (
     value_sanity,
 )
 from slotwise.plans import common as C
-from slotwise.plans.registry import register
+from slotwise.plans.registry import register, round_doubles
 from slotwise.schemas import DROP_NULL_PCT, DROPOFF, PICKUP, ZONE
 from slotwise.sources import testdata
 
@@ -210,6 +210,12 @@ def q_quality_audit_report(spark, sf_dir):
 
 
 _PCTS = (0.01, 0.5, 0.99)
+_MOMENTS = ("mean", "std")  # their last bits depend on the order of summation
+
+
+def _stable(described: DataFrame) -> DataFrame:
+    """Described statistics with mean and std rounded; counts and order statistics stay exact."""
+    return described.withColumn("value", F.when(F.col("statistic").isin(*_MOMENTS), F.round("value", 6)).otherwise(F.col("value")))
 
 
 def _describe_sql(col: str, source: str) -> str:
@@ -222,7 +228,7 @@ def _describe_sql(col: str, source: str) -> str:
     stats += [(f"p{p * 100:g}", f"quantile_cont({col}, {p})") for p in _PCTS]
     stats += [("max", f"max({col})")]
     return "\n  UNION ALL ".join(
-        f"SELECT '{col}' AS column, '{s}' AS statistic, {round_significant_sql(f'CAST({e} AS DOUBLE)')} AS value FROM {source}"
+        f"SELECT '{col}' AS column, '{s}' AS statistic, {f'round({e}, 6)' if s in _MOMENTS else f'CAST({e} AS DOUBLE)'} AS value FROM {source}"
         for s, e in stats
     )
 
@@ -236,7 +242,7 @@ def _describe_sql(col: str, source: str) -> str:
 )
 def q_describe_trips(spark, sf_dir):
     """Count, mean, std, min, p1, p50, p99, max of distance and passengers."""
-    return describe(C.trips(spark, sf_dir), ["trip_distance", "passenger_count"], _PCTS)
+    return _stable(describe(C.trips(spark, sf_dir), ["trip_distance", "passenger_count"], _PCTS))
 
 
 @register(
@@ -253,7 +259,7 @@ def q_describe_duration(spark, sf_dir):
         testdata.load(spark, sf_dir, "orders"), testdata.load(spark, sf_dir, "lineitem")
     )
     d = timed.select(duration_minutes(PICKUP, DROPOFF).alias("duration_min"))
-    return describe(d, ["duration_min"], _PCTS)
+    return _stable(describe(d, ["duration_min"], _PCTS))
 
 
 @register(

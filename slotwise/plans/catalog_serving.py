@@ -24,6 +24,7 @@ from slotwise.sources import testdata
 
 P = C.PROFILE
 PREDICTOR = "mean_demand_lag_168h"
+LOOKUP_DIGITS = 9  # lookup means of the reports: equal in every engine and summation order
 SLOT_HOUR, SLOT_DOW = 8, 0  # Monday 8 AM: the example slot of the slot queries
 
 LOOKUP_SQL = f"""lookup AS (SELECT {ZONE}, hour_of_day, day_of_week, round(avg(demand), 9) AS mean_demand,
@@ -44,7 +45,7 @@ BASE = C.PIPELINE_CTES.rstrip() + ",\n" + ",\n".join([testdata.ZONES_SQL, LOOKUP
 
 
 def _lookup(spark, sf_dir, as_of=None):
-    return build_lookup(C.features(spark, sf_dir), as_of=as_of)
+    return build_lookup(C.features(spark, sf_dir), as_of=as_of, digits=LOOKUP_DIGITS)
 
 
 def _band(features):
@@ -56,7 +57,7 @@ def _band(features):
 
 def _forecast(spark, sf_dir, feats=None):
     feats = feats if feats is not None else C.features_cut(spark, sf_dir)
-    return S.forecast_table(build_lookup(feats), PREDICTOR, C.zones(spark, sf_dir), _band(feats))
+    return S.forecast_table(build_lookup(feats, digits=LOOKUP_DIGITS), PREDICTOR, C.zones(spark, sf_dir), _band(feats))
 
 
 def _busiest(feats, rank: int = 1):
@@ -111,6 +112,20 @@ def q_forecast_table(spark, sf_dir):
     return round_doubles(_forecast(spark, sf_dir))
 
 
+@register("weekend_contrast")
+def q_weekend_contrast(spark, sf_dir):
+    """K8 / D9 with an independent weekend flag: Monday of the busiest zone
+    scored as weekday (a) and as weekend (b) by OLS fitted on the train split."""
+    feats = C.features_cut(spark, sf_dir)
+    train = SP.temporal_split(feats, P.val_start, P.test_start).filter(F.col("split") == "train")
+    model = M.fit(M.linear_regression(), train)
+    zone = feats.groupBy(ZONE).agg(F.sum(TARGET).alias("s")).agg(F.max_by(ZONE, F.struct("s", -F.col(ZONE)))).first()[0]
+    out = S.compare_requests(
+        spark, {"zone": zone, "dow": 0, "weekend": 0}, {"zone": zone, "dow": 0, "weekend": 1}, build_lookup(feats, digits=LOOKUP_DIGITS), model
+    )
+    return round_doubles(out)
+
+
 @register("forecast_table_model")
 def q_forecast_table_model(spark, sf_dir):
     """K10 with a fitted model: OLS trained on the temporal train split
@@ -118,7 +133,7 @@ def q_forecast_table_model(spark, sf_dir):
     feats = C.features_cut(spark, sf_dir)
     train = SP.temporal_split(feats, P.val_start, P.test_start).filter(F.col("split") == "train")
     model = M.fit(M.linear_regression(), train)
-    return round_doubles(S.forecast_table(build_lookup(feats), model, C.zones(spark, sf_dir), _band(feats)))
+    return round_doubles(S.forecast_table(build_lookup(feats, digits=LOOKUP_DIGITS), model, C.zones(spark, sf_dir), _band(feats)))
 
 
 @register(
@@ -156,7 +171,7 @@ def q_zone_heatmap(spark, sf_dir):
 
 
 RANK_SQL = """ranked AS (SELECT zone_id, zone_name, hour_of_day, day_of_week, is_weekend, prediction,
-  CAST(row_number() OVER (PARTITION BY hour_of_day, day_of_week, is_weekend ORDER BY round(prediction, 9) DESC, zone_id) AS INTEGER) AS rank,
+  CAST(row_number() OVER (PARTITION BY hour_of_day, day_of_week, is_weekend ORDER BY prediction DESC, zone_id) AS INTEGER) AS rank,
   count(*) OVER (PARTITION BY hour_of_day, day_of_week, is_weekend) AS of_zones FROM forecast)"""
 
 
@@ -244,7 +259,7 @@ def q_predict_validation(spark, sf_dir):
     requests = feats.filter(
         (F.col(HOUR) >= F.lit(P.val_start).cast("timestamp_ntz")) & (F.col(HOUR) < F.lit(P.test_start).cast("timestamp_ntz"))
     ).select(ZONE, "hour_of_day", "day_of_week", "is_weekend")
-    out = S.predict(requests, build_lookup(feats, as_of=P.val_start), PREDICTOR, C.zones(spark, sf_dir), _band(feats))
+    out = S.predict(requests, build_lookup(feats, as_of=P.val_start, digits=LOOKUP_DIGITS), PREDICTOR, C.zones(spark, sf_dir), _band(feats))
     return round_doubles(out)
 
 
@@ -294,7 +309,7 @@ def q_model_card(spark, sf_dir):
     val = feats.filter(
         (F.col(HOUR) >= F.lit(P.val_start).cast("timestamp_ntz")) & (F.col(HOUR) < F.lit(P.test_start).cast("timestamp_ntz"))
     ).select(TARGET, F.col("demand_lag_168h").alias("prediction"))
-    metrics = regression_metrics(val)
+    metrics = regression_metrics(val, digits=6)
     return S.model_card(metrics, "naive-lag-168h", "Validation")
 
 

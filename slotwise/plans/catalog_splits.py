@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slotwise.operators import splits as SP
 from slotwise.operators.explore import zero_share
 from slotwise.plans import common as C
-from slotwise.plans.registry import register
+from slotwise.plans.registry import register, round_doubles
 from slotwise.schemas import HOUR, ZONE
 
 P = C.PROFILE
@@ -124,7 +124,7 @@ FROM (SELECT *, {TEMPORAL} AS split FROM features) GROUP BY 1""",
 )
 def q_zero_share_by_split(spark, sf_dir):
     """Zero-demand share per temporal split."""
-    return zero_share(_temporal(spark, sf_dir), ["split"])
+    return round_doubles(zero_share(_temporal(spark, sf_dir), ["split"]))
 
 
 @register(

@@ -67,10 +67,8 @@ def get_session(
     spark = builder.getOrCreate()
     for key, value in settings.items():
         if not key.startswith("spark.driver") and not key.startswith("spark.executor"):
-            try:
+            if spark.conf.isModifiable(key):  # static settings of a running session stay as they are
                 spark.conf.set(key, value)
-            except Exception:  # static conf of an already running session
-                pass
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -11,12 +11,18 @@ from slotwise.schemas import HOUR, TRIP_SCHEMA, ZONE_CSV_SCHEMA
 
 
 def read_trips(spark: SparkSession, path: str, schema=TRIP_SCHEMA) -> DataFrame:
-    """A1: raw trip scan with a fixed schema (no inference).
+    """A1: raw trip scan, cast to the contract's types.
 
-    Only the columns used downstream are read: Catalyst prunes the rest and
-    pushes the cleaning predicates into the Parquet reader.
+    The files' own schema is read (integers, longs and doubles occur for the
+    same column), the required names are checked, and each column is cast.
+    Catalyst prunes unused columns and pushes the cleaning predicates.
     """
-    return spark.read.schema(schema).parquet(path)
+    raw = spark.read.parquet(path)
+    by_name = {c.lower(): c for c in raw.columns}
+    missing = [f.name for f in schema.fields if f.name.lower() not in by_name]
+    if missing:
+        raise ValueError(f"{path} lacks trip columns {missing}")
+    return raw.select(*[F.col(f"`{by_name[f.name.lower()]}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
