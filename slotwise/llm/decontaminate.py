@@ -50,7 +50,6 @@ UNITS = (
     "meter meters metre metres kilometer kilometers kilometre kilometres dollar dollars cent cents euro euros percent degree degrees"
 ).split()
 TOKEN = r"[\p{L}\p{M}]+|\d+(?:[.,]\d+)*|[.!?\n]+"
-_END = r"^[.!?\n]"
 _NAME = r"^\p{Lu}\p{Ll}+$"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
@@ -60,34 +59,48 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def _is_number(token: Column) -> Column:
-    return token.rlike(r"^\d") | F.lower(token).isin(NUMBER_WORDS)
+def _is_number(token: Column, low: Column) -> Column:
+    return F.ascii(token).between(ord("0"), ord("9")) | low.isin(NUMBER_WORDS)
+
+
+def _is_end(token: Column) -> Column:
+    return F.ascii(token).isin([ord(c) for c in ".!?\n"])
 
 
 def slots(tokens: Column) -> Column:
-    """Array of (raw, canon, plain): canon has all placeholders, plain leaves names as words."""
+    """Array of (raw, plain, named): plain has numbers and units replaced, ``named`` marks names."""
 
     def one(x: Column, before: Column) -> Column:
         low = F.lower(x)
-        typed = F.when(_is_number(x), NUM).when(low.isin(UNITS) & _is_number(before), UNIT)
-        name = x.rlike(_NAME) & ~before.rlike(_END)
-        return F.struct(low.alias("raw"), typed.when(name, NAME).otherwise(low).alias("canon"), typed.otherwise(low).alias("plain"))
+        typed = F.when(_is_number(x, low), NUM).when(low.isin(UNITS) & _is_number(before, F.lower(before)), UNIT).otherwise(low)
+        named = (x != low) & ~_is_end(before) & x.rlike(_NAME) & (typed == low)
+        return F.struct(low.alias("raw"), typed.alias("plain"), named.alias("named"))
 
     before = F.slice(F.concat(F.array(F.lit("\n")), tokens), F.lit(1), F.size(tokens))
-    return F.filter(F.zip_with(tokens, before, one), lambda s: ~s["raw"].rlike(_END))
+    return F.filter(F.zip_with(tokens, before, one), lambda s: ~_is_end(s["raw"]))
 
 
 def tokenised(table: DataFrame, key: str) -> DataFrame:
-    """(key, raw, canon, plain): aligned token arrays of every row."""
+    """(key, raw, canon, plain): aligned token arrays of every row; canon has all placeholders."""
     words = table.select(F.col(key), tokens_of(F.col("text")).alias("tokens"))
     parts = words.select(key, slots(F.col("tokens")).alias("parts"))
-    return parts.select(key, *[F.col(f"parts.{c}").alias(c) for c in ("raw", "canon", "plain")])
+    # transform, not parts.raw: Catalyst folds a field access into later lambdas and would extract the array per element
+    return parts.select(
+        key, F.expr("transform(parts, s -> s.raw)").alias("raw"), F.expr("transform(parts, s -> s.plain)").alias("plain"),
+        F.expr(f"transform(parts, s -> IF(s.named, '{NAME}', s.plain))").alias("canon"),
+    )
+
+
+def _window_hash(tokens: Column, at: Column, length: int) -> Column:
+    """Hash of the ``length`` tokens from position ``at`` (0-based); element access, as slice() copies the array."""
+    return F.xxhash64(*[F.get(tokens, at + j) for j in range(length)])
 
 
 def _windows(tokens: Column, length: int) -> Column:
     """Hash of every window of ``length`` tokens."""
     n = F.size(tokens)
-    return F.when(n >= length, F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.xxhash64(F.slice(tokens, i, F.lit(length))))).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.transform(F.sequence(F.lit(0), n - length), lambda i: _window_hash(tokens, i, length))
+    return F.when(n >= length, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
 def templates(benchmark: DataFrame) -> DataFrame:
@@ -104,13 +117,17 @@ def templates(benchmark: DataFrame) -> DataFrame:
 def template_windows(made: DataFrame) -> DataFrame:
     """(hash, length, item_id, pos): windows of both forms with enough literal words."""
 
-    def of(form: str) -> DataFrame:
-        each = made.select("item_id", "length", F.col(form).alias("form"), F.explode(F.sequence(F.lit(1), F.size("canon") - F.col("length") + 1)).alias("pos"))
-        part = F.slice("form", F.col("pos"), F.col("length"))
-        literal = F.size(F.filter(part, lambda x: ~x.isin(NUM, UNIT, NAME)))
-        return each.filter(literal * 2 >= F.col("length")).select(F.xxhash64(part).alias("hash"), "length", "item_id", "pos")
-
-    return of("canon").unionByName(of("plain")).distinct()
+    out = None
+    for length in range(LEAST_TOKENS, WINDOW + 1):
+        own = made.filter(F.col("length") == length)
+        for form in ("canon", "plain"):
+            literal = F.transform(form, lambda x: (~x.isin(NUM, UNIT, NAME)).cast("int"))
+            each = own.select("item_id", _windows(F.col(form), length).alias("hashes"), literal.alias("literal"))
+            each = each.select("item_id", "literal", F.posexplode_outer("hashes").alias("at", "hash"))
+            words = sum((F.get("literal", F.col("at") + j) for j in range(1, length)), F.get("literal", F.col("at")))
+            part = each.select("hash", F.lit(length).alias("length"), "item_id", (F.col("at") + 1).alias("pos"), words.alias("words"))
+            out = part if out is None else out.unionByName(part)
+    return out.filter(F.col("words") * 2 >= F.col("length")).drop("words").distinct()
 
 
 def matched_windows(docs: DataFrame, windows: DataFrame, lengths: list[int], broadcast: bool) -> DataFrame:
@@ -184,3 +201,65 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) leak of the whole tables."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return contaminated(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def _sql_list(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_SQL_END = r"regexp_matches({}, '^[.!?\n]')"
+_SQL_NUMBER = "(regexp_matches({0}, '^[0-9]') OR lower({0}) IN (" + _sql_list(NUMBER_WORDS) + "))"
+#: The same result in SQL, for benchmarks whose items all have at least WINDOW tokens.
+OP1_SQL = rf"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') FROM benchmark
+), each_ AS (
+  SELECT side, id, t, unnest(range(1, len(t) + 1)) AS i FROM texts
+), placed AS (
+  SELECT side, id, i, t[i] AS x, CASE WHEN i > 1 THEN t[i - 1] ELSE chr(10) END AS b FROM each_
+), typed AS (
+  SELECT *, lower(x) AS low, CASE WHEN {_SQL_NUMBER.format('x')} THEN '{NUM}'
+    WHEN lower(x) IN ({_sql_list(UNITS)}) AND {_SQL_NUMBER.format('b')} THEN '{UNIT}' ELSE lower(x) END AS plain
+  FROM placed WHERE NOT {_SQL_END.format('x')}
+), named AS (
+  SELECT *, CASE WHEN x <> low AND plain = low AND NOT {_SQL_END.format('b')} AND regexp_full_match(x, '\p{{Lu}}\p{{Ll}}+') THEN '{NAME}' ELSE plain END AS canon
+  FROM typed
+), seqs AS (
+  SELECT side, id, list(low ORDER BY i) AS raw, list(plain ORDER BY i) AS plain, list(canon ORDER BY i) AS canon FROM named GROUP BY side, id
+), items AS (
+  SELECT canon, list_transform(range(1, len(raw) + 1), lambda k: CASE WHEN canon[k] <> raw[k] THEN list_position(raw, raw[k]) ELSE 0 END) AS pattern, id, raw, plain
+  FROM seqs WHERE side = 'b'
+), templates AS (
+  SELECT min(id) AS item_id, arg_min(raw, id) AS raw, canon, arg_min(plain, id) AS plain FROM items GROUP BY canon, pattern
+), forms AS (
+  SELECT item_id, unnest(range(1, len(canon) - {WINDOW} + 2)) AS pos, canon AS form FROM templates
+  UNION SELECT item_id, unnest(range(1, len(plain) - {WINDOW} + 2)), plain FROM templates
+), windows AS (
+  SELECT DISTINCT item_id, pos, form[pos:pos + {WINDOW - 1}] AS w FROM forms
+  WHERE 2 * len(list_filter(form[pos:pos + {WINDOW - 1}], lambda x: x NOT IN ('{NUM}', '{UNIT}', '{NAME}'))) >= {WINDOW}
+), doc_windows AS (
+  SELECT id AS doc_id, raw, canon, unnest(range(1, len(canon) - {WINDOW} + 2)) AS at FROM seqs WHERE side = 'd'
+), met AS (
+  SELECT DISTINCT d.doc_id, w.item_id, w.pos, d.at - w.pos AS offset_, d.raw[d.at:d.at + {WINDOW - 1}] AS raw, d.canon[d.at:d.at + {WINDOW - 1}] AS canon
+  FROM doc_windows d JOIN windows w ON d.canon[d.at:d.at + {WINDOW - 1}] = w.w
+), sizes AS (
+  SELECT item_id, count(DISTINCT pos) AS n_item FROM windows GROUP BY 1
+), found AS (
+  SELECT doc_id, item_id, count(DISTINCT pos) AS n_windows, any_value(n_item) AS n_item FROM met JOIN sizes USING (item_id) GROUP BY 1, 2
+  HAVING count(DISTINCT pos) / any_value(n_item) >= {COVERAGE}
+), best AS (
+  SELECT doc_id, item_id, arg_max(offset_, (hits, -offset_)) AS offset_ FROM (SELECT doc_id, item_id, offset_, count(*) AS hits FROM met GROUP BY 1, 2, 3) GROUP BY 1, 2
+), said AS (
+  SELECT DISTINCT doc_id, item_id, t.raw[pos + k] AS asked, m.raw[k + 1] AS said
+  FROM found JOIN best USING (doc_id, item_id) JOIN met m USING (doc_id, item_id, offset_) JOIN templates t USING (item_id), range(0, {WINDOW}) r(k)
+  WHERE m.canon[k + 1] IN ('{NUM}', '{UNIT}', '{NAME}')
+), mapped AS (
+  SELECT doc_id, item_id, asked, count(*) AS n, max(CAST(said <> asked AS INTEGER)) AS other FROM said GROUP BY 1, 2, 3
+), slots AS (
+  SELECT doc_id, item_id, count(*) AS n_slots, sum(CAST(n = 1 AS INTEGER)) AS fine, max(other) AS other FROM mapped GROUP BY 1, 2
+)
+SELECT doc_id, item_id, n_windows, n_windows / n_item AS coverage, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots,
+       coalesce(fine / n_slots, 1.0) AS consistency, CASE WHEN coalesce(other, 0) = 0 THEN 'verbatim' ELSE 'reparameterised' END AS kind
+FROM found LEFT JOIN slots USING (doc_id, item_id) WHERE coalesce(fine / n_slots, 1.0) >= {CONSISTENCY}
+"""

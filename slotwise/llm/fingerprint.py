@@ -50,8 +50,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     keep = [F.col(f"`{c}`") for c in df.columns]
     tokens = df.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("__t"))
     none = "CAST(array() AS array<bigint>)"
+    parts = ", ".join(f"__t[i + {j}]" for j in range(KMER))  # element access: slice() copies the array
     kmers = tokens.select(*keep, F.expr(f"""
-        CASE WHEN size(__t) >= {KMER} THEN transform(sequence(1, size(__t) - {KMER - 1}), i -> xxhash64(slice(__t, i, {KMER})))
+        CASE WHEN size(__t) >= {KMER} THEN transform(sequence(0, size(__t) - {KMER}), i -> xxhash64({parts}))
              WHEN size(__t) > 0 THEN array(xxhash64(__t)) ELSE {none} END""").alias("__k"))
     ordered = kmers.select(*keep, F.expr(f"""
         sort_array(transform(__k, (h, i) -> (h & {~_POSITION}L) | shiftright(CAST(i AS bigint), greatest(0, CAST(ceil(log2(size(__k) + 1)) AS int) - 20))))""").alias("__s"))

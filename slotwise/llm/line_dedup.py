@@ -33,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from slotwise.llm.common import GOLDEN, MIX_A, as_signed, column, materialise, mix64
+from slotwise.llm.common import GOLDEN, MIX_A, column, materialise, mix64, read_table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -288,10 +289,10 @@ def _probe(index: LineIndex) -> DataFrame:
 
 
 def dropped_keys(index: LineIndex) -> DataFrame:
-    """(doc_id, drops): the line keys each document loses; filter hits checked exactly."""
+    """(doc_id, __drops): the line keys each document loses; filter hits checked exactly."""
     hits = _probe(index).join(index.counts, ["k1", "k2"])
     lost = hits.filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("last_doc")))
-    return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drops"))
+    return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("__drops"))
 
 
 def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -302,21 +303,18 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_chars: int
     Other columns pass through; ``index`` is built from ``docs`` if not given.
     """
     index = index or build_index(docs, min_chars, min_docs)
-    spark_schema = docs.select("*").schema
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     drops = dropped_keys(index)
     joined = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("text"))
     joined = joined.join(drops.withColumnRenamed("doc_id", "__drop_doc"), F.col("doc_id").eqNullSafe(F.col("__drop_doc")), "left").drop("__drop_doc")
-    from pyspark.sql import types as T
-
-    fields = [f for f in spark_schema.fields if f.name in rest]
+    fields = [f for f in docs.schema.fields if f.name in rest]
     out_schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     least = index.min_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for value, drop in zip(column(batch, "text").cast(pa.binary()), column(batch, "drops")):
+            for value, drop in zip(column(batch, "text").cast(pa.binary()), column(batch, "__drops")):
                 text = value.as_py() or b""
                 if not drop.is_valid:
                     texts.append(text)
@@ -338,8 +336,6 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_chars: int
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query: doc_id, n_lines, n_dropped, kept_sha256 of every document."""
-    from slotwise.llm.common import read_table
-
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -202,9 +202,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     words = words.withColumn("kind", _word_kind(F.col("said"))).filter(F.col("kind").isNotNull()).distinct()
     mentions = materialise(mentions.filter(F.col("kind") != "name").unionByName(words).withColumn("value", _canonical(F.col("kind"), F.col("said"))))
     given = mentions.join(surrogates(mentions, key), ["kind", "value"]).select(*ident, "said", _written(F.col("kind"), F.col("said"), F.col("surrogate")).alias("new"))
-    lookup = given.groupBy(*ident).agg(F.map_from_entries(F.collect_list(F.struct("said", "new"))).alias("lookup"))
-    joined = held.join(lookup, ident, "left").withColumn("lookup", F.coalesce("lookup", F.create_map().cast("map<string,string>")))
-    by = F.col("lookup")
+    lookup = given.groupBy(*ident).agg(F.map_from_entries(F.collect_list(F.struct("said", "new"))).alias("__lookup"))
+    joined = held.join(lookup, ident, "left").withColumn("__lookup", F.coalesce("__lookup", F.create_map().cast("map<string,string>")))
+    by = F.col("__lookup")
     new = F.transform("__said", lambda m: F.coalesce(F.try_element_at(by, m), F.array_join(F.transform(F.split(m, " "), lambda w: F.coalesce(F.try_element_at(by, w), w)), " ")))
     pairs = F.zip_with("__between", F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     changed = joined.select(*keep, F.array_join(pairs, "").alias("text"), F.size("__said").cast("long").alias("n_entities"))

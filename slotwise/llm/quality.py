@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotwise.llm.common import column, large_text, read_table, span_hashes, text_buffers, text_chunks, word_spans
 
@@ -200,25 +201,23 @@ def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit_ordinal(rows, np.asarray(lists.flatten()), np.asarray(found.column("grade").combine_chunks()).astype(np.int64))
 
 
-def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """``docs`` with expected_grade and tail_probability (columns of these names are replaced)."""
-    from pyspark.sql import types as T
-
-    rest = [c for c in docs.columns if c not in ("expected_grade", "tail_probability")]
+def score(docs: DataFrame, model: OrdinalModel, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
+    """``docs`` with expected grade and tail probability as ``names`` (columns of these names are replaced)."""
+    rest = [c for c in docs.columns if c not in names]
     kept = docs.select(*[F.col(f"`{c}`") for c in rest])
-    schema = T.StructType([*kept.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())])
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             expected, tail = model.score_texts(column(batch, "text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], [*rest, "expected_grade", "tail_probability"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], [*rest, *names])
 
     return kept.mapInArrow(run, schema)
 
 
 def select(docs: DataFrame, model: OrdinalModel, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents whose tail probability reaches ``keep_from``, columns as in ``docs``."""
-    return score(docs, model).filter(F.col("tail_probability") >= keep_from).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score(docs, model, ("__grade", "__tail")).filter(F.col("__tail") >= keep_from).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op3_ngram_join": ngram_join.OP3_SQL,
     "op7_tool_calls": tool_calls.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,

@@ -8,7 +8,7 @@ order of cost.
 No piece holds a newline or a space after another character (checked when the
 vocabulary is loaded), so the lattice of a text is a chain of short lattices, one
 per chunk (" word", "\\n", a run of spaces).  Chunks repeat and their results are
-kept in a bounded cache per task; the N best of the chain come from the chunks
+kept in a bounded cache per Python worker; the N best of the chain come from the chunks
 with the smallest second-best gaps, which is exact: a segmentation that deviates
 at any other chunk has N-1 cheaper single deviations before it.
 
@@ -28,6 +28,7 @@ joins the pieces, turns the mark into a space and drops the dummy prefix;
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -48,7 +49,7 @@ N_BEST = 4
 RANK_OFFSET = 2.7
 #: Added cost of a byte piece, in nats.
 BYTE_PENALTY = 10.0
-#: Chunks kept per task, and the longest chunk kept.
+#: Chunks kept per Python worker.
 CACHE_CHUNKS = 1_000_000
 _FAR = 1 << 62
 _CHUNK = re.compile(r"\n| *[^ \n]+| +")
@@ -66,6 +67,7 @@ class Vocabulary:
     byte_ids: list[int]
     texts: list[bytes]
     longest: int
+    digest: str
     _options: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -90,7 +92,8 @@ class Vocabulary:
         for i in byte_ids:
             costs[i] = max(costs) + round(BYTE_PENALTY * 1e6)
         trie = {p[:k]: -1 for p in ids for k in range(1, len(p))} | ids
-        return cls(ids, trie, costs, byte_ids, texts, max(map(len, ids)))
+        digest = hashlib.sha256(repr((sorted(ids.items()), costs, byte_ids)).encode()).hexdigest()
+        return cls(ids, trie, costs, byte_ids, texts, max(map(len, ids)), digest)
 
     def __getstate__(self):
         return {**self.__dict__, "_options": {}}
@@ -312,6 +315,18 @@ class ChunkStore:
         return out
 
 
+#: Stores of this Python worker, by vocabulary: tasks that follow one another share the segmentations.
+_STORES: dict[str, ChunkStore] = {}
+
+
+def worker_store(vocabulary: Vocabulary) -> ChunkStore:
+    """The chunk store of this Python worker for a vocabulary (bounded by ``CACHE_CHUNKS``)."""
+    if vocabulary.digest not in _STORES:
+        _STORES.clear()
+        _STORES[vocabulary.digest] = ChunkStore(vocabulary)
+    return _STORES[vocabulary.digest]
+
+
 def apply_edits(ids: list[int], edits: list[Edit]) -> list[int]:
     """Ids of another segmentation from the best ids and its edits."""
     out = list(ids)
@@ -338,7 +353,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, n_best: int =
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_best", _NBEST_SCHEMA), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = ChunkStore(vocabulary)
+        store = worker_store(vocabulary)
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
