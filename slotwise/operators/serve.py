@@ -299,7 +299,7 @@ def compare_requests(spark: SparkSession, a: dict, b: dict, lookup: DataFrame, p
 _CARD_TEXT = {
     "mae": "Predictions miss by %.2f trips per zone-hour on average.",
     "rmse": "Large misses weigh more: the root mean squared error is %.2f trips.",
-    "r2": "Squared misses are %.1f%% smaller than those of always forecasting the mean.",
+    "r2": "On a scale where forecasting the mean scores 0%% and a perfect forecast 100%%, this scores %.1f%%.",
     "mape": "On zone-hours with demand, the average relative miss is %.1f%%.",
     "mbe": "Mean bias is %.2f trips per zone-hour.",
 }

@@ -292,7 +292,7 @@ SELECT 'naive-lag-168h' AS version, 'Validation' AS stage,
   CASE WHEN metric = 'r2' THEN 'R²' ELSE upper(metric) END AS name,
   CASE WHEN metric = 'r2' THEN printf('%.4f', round(v, 4) + 0.0) WHEN metric = 'mape' THEN printf('%.1f%%', round(v, 1) + 0.0)
        ELSE printf('%.2f', round(v, 2) + 0.0) END AS value,
-  CASE WHEN metric = 'r2' THEN printf('The model explains %.1f%% of the variation in demand.', round(v * 100.0, 1) + 0.0)
+  CASE WHEN metric = 'r2' THEN printf('On a scale where forecasting the mean scores 0%% and a perfect forecast 100%%, this scores %.1f%%.', round(v * 100.0, 1) + 0.0)
        WHEN metric = 'mae' THEN printf('Predictions miss by %.2f trips per zone-hour on average.', round(v, 2) + 0.0)
        WHEN metric = 'rmse' THEN printf('Large misses weigh more: the root mean squared error is %.2f trips.', round(v, 2) + 0.0)
        WHEN metric = 'mape' THEN printf('On zone-hours with demand, the average relative miss is %.1f%%.', round(v, 1) + 0.0)
