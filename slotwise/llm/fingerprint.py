@@ -34,8 +34,9 @@ BUCKETS = 32
 LENGTH = 2
 _BITS = 5  # log2 of BUCKETS
 _POSITION = (1 << 20) - 1
-_SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
-TOKEN = rf"[{_SINGLE}]|[^\s{_SINGLE}]{{1,16}}"
+# Thai, Hiragana, Katakana and Han as code point ranges (cheaper than script lookups)
+_SINGLE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff"
+TOKEN = rf"[^\s{_SINGLE}]{{1,16}}|[{_SINGLE}]"
 #: Documents of one key range of :func:`with_next`, and keys that one task may order.
 RANGE_ROWS = 1000
 ONE_TASK_KEYS = 20_000
