@@ -62,6 +62,7 @@ def load_all() -> None:
         catalog_pipeline,
         catalog_quality,
         catalog_serving,
+        catalog_sources,
         catalog_splits,
         catalog_streaming,
     )
