@@ -102,13 +102,14 @@ def next_keys(keys: DataFrame) -> DataFrame:
     return ranged.withColumn("next", own).join(follow, "range").select("key", F.coalesce("next", "after").alias("next"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (key, text, fp) with next_text and next_fp of the following key; the first follows the last.
+def with_next(base: DataFrame) -> DataFrame:
+    """``base`` (key, text) with fp, and next_text and next_fp of the following key; the first follows the last.
 
     One shuffle of the texts by key range; the last row of a range takes its
     successor from the table of the ranges' first rows.
     """
-    ids = docs.select("key")
+    docs = with_fingerprint(base, "text", "fp")
+    ids = base.select("key")
     stats = ids.agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
     if not stats["n"]:
         return docs.select("*", F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
@@ -117,8 +118,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = materialise(ids.groupBy(in_range.alias("range")).agg(F.min("key").alias("key")))
     order = materialise(next_keys(firsts.select("key")))
     after = order.join(firsts, "key").select("range", F.coalesce("next", F.lit(stats["lo"])).alias("after"))
-    head = docs.join(firsts.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("text", "fp")).alias("head"))
-    ends = materialise(after.join(head, F.col("after") == F.col("key")).select("range", F.col("head.text").alias("end_text"), F.col("head.fp").alias("end_fp")))
+    # the few first rows are cut out before they are fingerprinted
+    first_rows = materialise(base.join(firsts.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
+    head = with_fingerprint(first_rows, "text", "fp")
+    ends = materialise(after.join(head, F.col("after") == F.col("key")).select("range", F.col("text").alias("end_text"), F.col("fp").alias("end_fp")))
     by = Window.partitionBy("range").orderBy("key", "text")
     led = docs.withColumn("range", in_range).withColumn("follow", F.lead(F.struct("text", "fp")).over(by))
     return led.join(ends, "range").select(
@@ -136,7 +139,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     lowest = docs.agg(F.min(F.col("doc_id").cast("long")).alias("lo")).first()["lo"]
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((lowest or 0) - 1))
     base = docs.select("doc_id", key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    paired = with_next(with_fingerprint(base, "text", "fp"))
+    paired = with_next(base)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.left("text", n - quarter), F.left("next_text", quarter))
