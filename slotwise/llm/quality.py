@@ -39,9 +39,12 @@ DIMENSIONS = 1 << 18
 SAMPLE_ROWS = 16_000
 #: Features of fewer sampled documents get no weight.
 MIN_DOCS = 4
-#: Features get a weight if their presence correlates with the grade this much, and by this many standard errors.
-LEAST_CORRELATION = 0.063
+#: Features get a weight if their presence correlates with any one grade by this many standard errors; there is no
+#: floor on the correlation itself, which a rare word cannot reach however pure it is.
+LEAST_CORRELATION = 0.0
 LEAST_Z = 4.0
+#: Strength of the L2 term, as a sum over the sampled rows.
+L2_ROWS = 0.5
 #: A document is kept from this tail probability of the top grade on.
 KEEP_FROM = 0.7
 GRADES = 3
@@ -133,9 +136,12 @@ def fit_ordinal(
     """
     n = len(grades)
     counts = np.bincount(ids, minlength=dimensions)
-    sums = np.bincount(ids, weights=grades[rows], minlength=dimensions)
-    spread = max(grades.std(), 1e-9)
-    gap = np.abs(sums - counts * grades.mean()) / (spread * np.sqrt(np.maximum(counts * (1 - counts / max(n, 1)), 1e-9)))
+    error = np.sqrt(np.maximum(counts * (1 - counts / max(n, 1)), 1e-9))
+    gap = np.zeros(dimensions)
+    for grade in range(n_grades):  # each grade by itself: a middle grade hardly moves the mean
+        hit = (grades == grade).astype(float)
+        sums = np.bincount(ids, weights=hit[rows], minlength=dimensions)
+        gap = np.maximum(gap, np.abs(sums - counts * hit.mean()) / (max(hit.std(), 1e-9) * error))
     active = np.flatnonzero((counts >= MIN_DOCS) & (counts < n) & (gap >= max(LEAST_Z, LEAST_CORRELATION * np.sqrt(n))))
     index = np.full(dimensions, -1)
     index[active] = np.arange(len(active))
@@ -198,7 +204,7 @@ def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     found = found.sort_by("doc_id").combine_chunks()
     lists = found.column("ids").combine_chunks()
     rows = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
-    return fit_ordinal(rows, np.asarray(lists.flatten()), np.asarray(found.column("grade").combine_chunks()).astype(np.int64))
+    return fit_ordinal(rows, np.asarray(lists.flatten()), np.asarray(found.column("grade").combine_chunks()).astype(np.int64), l2=L2_ROWS / len(lists))
 
 
 def score(docs: DataFrame, model: OrdinalModel, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:

@@ -187,6 +187,28 @@ def test_ordinal_gradient():
             assert loss(model.weights, model.thresholds + step * np.eye(2)[k]) > at - 1e-5
 
 
+@pytest.mark.parametrize("n", [2000, 16000])
+def test_rare_pure_words_get_a_weight(n):
+    """A word of eight documents, all toxic, counts at every sample size; one spread like the grades does not."""
+    grades = np.where(np.arange(n) % 10 == 0, 1, np.where(np.arange(n) % 7 == 0, 0, 2))
+    pure, spread = np.flatnonzero(grades == 1)[:8], np.concatenate([np.flatnonzero(grades == g)[50 : 50 + k] for g, k in ((0, 1), (1, 1), (2, 6))])
+    rows, ids = np.concatenate([pure, spread]), np.repeat([0, 1], 8)
+    model = quality.fit_ordinal(rows, ids, grades, dimensions=2, l2=quality.L2_ROWS / n)
+    assert model.weights[0] < -0.5 and model.weights[1] == 0
+    with_word, without = model.tail(np.array([model.weights[0], 0.0]))[:, -1]
+    assert with_word < 0.5 < quality.KEEP_FROM < without
+
+
+def test_toxic_documents_of_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read_table(spark, sf, "documents"), quality.graded(read_table(spark, sf, "labels"))
+    model = quality.train(docs, labels.filter("doc_id % 4 > 0"))
+    rows = quality.score(docs.join(labels.filter("doc_id % 4 = 0"), "doc_id"), model).select("lang", "grade", "tail_probability").collect()
+    share = lambda g, lang=None: np.mean([r.tail_probability >= quality.KEEP_FROM for r in rows if r.grade == g and lang in (None, r.lang)])
+    assert share(2) > 0.97 and share(0) < 0.05 and share(1) < 0.2
+    assert all(share(1, lang) < 0.25 for lang in ("de", "en", "es", "fr"))
+
+
 # ---- language --------------------------------------------------------------------------------------------
 
 
