@@ -36,6 +36,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset("head script style noscript template svg math iframe object canvas audio video textarea select button title".split())
 RAW_TAGS = frozenset("script style noscript template svg math iframe textarea title".split())
+#: Start tags that can stand in a head; any other, and text, ends an open head as its end tag may be left out.
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 SPACING_TAGS = frozenset("br td th img hr".split())
 # fixed values: tags and class words that tell boilerplate or content
 BAD_TAGS = frozenset("nav footer aside form header menu dialog fieldset search".split())
@@ -50,7 +52,8 @@ GOOD_WORDS = frozenset("article articlebody content entry main post story text b
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?!(?:svg|math)\b(?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+(?<=/)>)"  # self-closed svg and math hold nothing
+    r"(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?>[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
@@ -122,6 +125,8 @@ def blocks_of(page: str) -> list[Block]:
 
     def said(text: str) -> None:
         nonlocal linked, owner
+        if node.tag == "head" and text.strip():
+            close(node)
         if silent:
             return
         if not parts:
@@ -158,6 +163,12 @@ def blocks_of(page: str) -> list[Block]:
             if up.parent is not None:
                 close(up)
             continue
+        if silent and name not in HEAD_TAGS:
+            up = node
+            while up.parent is not None and up.tag != "head":
+                up = up.parent
+            if up.parent is not None:
+                close(up)
         if name in BLOCK_TAGS:
             flush()
             # a new block ends an open paragraph; an item ends the item before it

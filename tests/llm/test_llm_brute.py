@@ -345,6 +345,22 @@ def test_boilerplate_of_other_layouts():
     ]
 
 
+def test_open_head_and_self_closed_graphics():
+    text = "A first sentence that is long enough to count, with a comma. And one more sentence."
+    want = [text, text[::-1]]
+    body = f"<article><p>{want[0]}</p>%s<p>{want[1]}</p></article>"
+    heads = [
+        "<html><head><title>T</title><meta charset=utf-8><body>", "<html><head><style>p {}</style><link rel=x href=y>", "<head><title>T</title><bgsound src=a><div>",
+        "<html><head><title>T</title></head><body>", "<html><body><head>", "<head><head><script>if (a < b) c()</script>",
+    ]
+    for head in heads:
+        assert html_extract.main_text(head + body % "").split("\n\n") == want, head
+    for drawn in ("<svg/>", "<svg class='a > b' />", '<svg viewBox="0 0 1 1" width="1"/>', "<math/>", "<svg><text>no</text></svg>", '<svg title="/>">no</svg>', "<math><mi>no</mi></math>"):
+        assert html_extract.main_text("<body>" + body % drawn).split("\n\n") == want, drawn
+    assert html_extract.main_text("<head><title>T</title>" + text) == text
+    assert html_extract.main_text("<head><title>T</title><meta name=a>\n</head>") == ""
+
+
 # ---- PII -------------------------------------------------------------------------------------------------
 
 
