@@ -4,13 +4,14 @@
    number and capitalised names inside a sentence become typed placeholders;
    other words are lower-cased.  The raw tokens stay aligned with them.
 2. Benchmark items with equal templates and equal slot patterns (which slots
-   repeat a value) are one template.  Its windows of ``window`` tokens, also with names
-   left as words (a text may be in capitals), are hashed.
+   repeat a value) are one template.  Its windows of ``window`` tokens are hashed, and
+   those of every item with its own names left as words (a text may be in capitals).
 3. The windows of all documents are hash-joined with them.
-4. Matches are gathered per (document, template): coverage is the share of the
-   template's windows found.
+4. Matches are gathered per (document, item): coverage is the share of the item's
+   windows found.  The items of a template are joined back only where the
+   template can reach the coverage.
 5. Slot consistency: along a diagonal (fixed offset of positions) every value of
-   the template's slots must map to one value of the document.  A match with
+   the item's slots must map to one value of the document.  A match with
    equal slots is verbatim, one with a consistent other mapping re-parameterised.
 
 The benchmark side of the join is broadcast only if it has at most
@@ -103,35 +104,46 @@ def _windows(tokens: Column, length: int) -> Column:
     return F.when(n >= length, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
+def _differing(hashes: Column, others: Column) -> Column:
+    """``hashes``, null where equal to ``others``."""
+    return F.zip_with(hashes, others, lambda a, b: F.when(a != b, a))
+
+
 def templates(benchmark: DataFrame) -> DataFrame:
-    """(item_id, raw, canon, plain, length): one row per distinct template and slot pattern."""
-    items = materialise(tokenised(benchmark.filter(F.col("item_id").isNotNull()), "item_id")).filter(F.size("canon") >= LEAST_TOKENS)
+    """(item_id, template, variant, raw, canon, plain, length): every item with the smallest item_id of its
+    template and slot pattern, and of its plain form among these."""
+    items = materialise(tokenised(benchmark.filter(F.col("item_id").isNotNull()), "item_id")).filter(F.size("canon") >= LEAST_TOKENS).distinct()
     pattern = F.transform("raw", lambda x, i: F.when(F.get("canon", i) != x, F.array_position("raw", x)).otherwise(F.lit(0)))
-    classed = items.withColumn("pattern", pattern)
-    first = F.min_by(F.struct("raw", "plain"), F.struct("item_id", "raw")).alias("first")
-    return classed.groupBy("canon", "pattern").agg(F.min("item_id").alias("item_id"), first).select(
-        "item_id", "first.raw", "canon", "first.plain", F.least(F.lit(WINDOW), F.size("canon")).alias("length")
-    )
+    variants = items.withColumn("pattern", pattern).groupBy("canon", "pattern", "plain").agg(F.min("item_id").alias("variant"), F.collect_list(F.struct("item_id", "raw")).alias("members"))
+    variants = materialise(variants)
+    made = variants.groupBy("canon", "pattern").agg(F.min("variant").alias("template"))
+    each = variants.join(made, ["canon", "pattern"]).select("template", "variant", "canon", "plain", F.explode("members").alias("member"))
+    return each.select("member.item_id", "template", "variant", "member.raw", "canon", "plain", F.least(F.lit(WINDOW), F.size("canon")).alias("length"))
 
 
 def template_windows(made: DataFrame) -> DataFrame:
-    """(hash, length, item_id, pos): windows of both forms with enough literal words."""
+    """(hash, length, template, variant, pos): windows with enough literal words, of templates (variant null) and,
+    where names make a difference, of their variants."""
 
     out = None
     for length in range(LEAST_TOKENS, WINDOW + 1):
         own = made.filter(F.col("length") == length)
-        for form in ("canon", "plain"):
+        for form, variant in (("canon", F.lit(None).cast(made.schema["variant"].dataType)), ("plain", F.col("variant"))):
             literal = F.transform(form, lambda x: (~x.isin(NUM, UNIT, NAME)).cast("int"))
-            each = own.select("item_id", _windows(F.col(form), length).alias("hashes"), literal.alias("literal"))
-            each = each.select("item_id", "literal", F.posexplode_outer("hashes").alias("at", "hash"))
+            hashes = _windows(F.col(form), length)
+            if form == "plain":
+                hashes = _differing(hashes, _windows(F.col("canon"), length))
+            each = own.select("template", variant.alias("variant"), form, "canon").distinct()
+            each = each.select("template", "variant", hashes.alias("hashes"), literal.alias("literal"))
+            each = each.select("template", "variant", "literal", F.posexplode_outer("hashes").alias("at", "hash"))
             words = sum((F.get("literal", F.col("at") + j) for j in range(1, length)), F.get("literal", F.col("at")))
-            part = each.select("hash", F.lit(length).alias("length"), "item_id", (F.col("at") + 1).alias("pos"), words.alias("words"))
+            part = each.filter(F.col("hash").isNotNull()).select("hash", F.lit(length).alias("length"), "template", "variant", (F.col("at") + 1).alias("pos"), words.alias("words"))
             out = part if out is None else out.unionByName(part)
     return out.filter(F.col("words") * 2 >= F.col("length")).drop("words").distinct()
 
 
 def matched_windows(docs: DataFrame, windows: DataFrame, lengths: list[int], broadcast: bool) -> DataFrame:
-    """(doc_id, item_id, pos, offset, raw, canon): document windows that are template windows."""
+    """(doc_id, template, variant, pos, offset, raw, canon): document windows that are template windows."""
     # outer explodes: Catalyst would push a plain explode's size filter below the token
     # projections and evaluate the tokens once per window
     tokens = tokenised(docs.filter(F.col("doc_id").isNotNull()), "doc_id")
@@ -147,32 +159,47 @@ def matched_windows(docs: DataFrame, windows: DataFrame, lengths: list[int], bro
             each = each.select("doc_id", "at", "hash", *[F.slice(c, F.col("at") + 1, F.lit(length)).alias(c) for c in ("raw", "canon")])
             cut = [F.col("raw"), F.col("canon")]
         met = each.join(side.filter(F.col("length") == length).drop("length"), "hash")
-        met = met.select("doc_id", "item_id", "pos", (F.col("at") + 1 - F.col("pos")).alias("offset"), *cut)
+        met = met.select("doc_id", "template", "variant", "pos", (F.col("at") + 1 - F.col("pos")).alias("offset"), *cut)
         out = met if out is None else out.unionByName(met)
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
-    """(doc_id, item_id, n_windows, coverage, n_slots, consistency, kind) of every leak.
+def _by_variant(rows: DataFrame, variants: DataFrame) -> DataFrame:
+    """``rows`` of variants as they are, those of templates once for every variant."""
+    own = rows.filter(F.col("variant").isNotNull()).drop("template")
+    return own.unionByName(rows.filter(F.col("variant").isNull()).drop("variant").join(variants, "template").drop("template")).distinct()
+
+
+def item_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
+    """(doc_id, item_id, n_windows, coverage, n_slots, consistency, kind, template) of every leak.
 
     ``kind`` is ``verbatim`` if all slot values on the best diagonal are the
-    item's own, else ``reparameterised``.
+    item's own, else ``reparameterised``.  A document with a question is a leak
+    of every item of that template.
     """
     made = materialise(templates(benchmark))
     windows = materialise(template_windows(made))
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
-    sizes = windows.select("item_id", "pos").distinct().groupBy("item_id").agg(F.count("*").alias("n_item"))
+    variants = materialise(made.select("template", "variant").distinct())
+    sizes = materialise(_by_variant(windows.select("template", "variant", "pos").distinct(), variants).groupBy("variant").agg(F.count("*").alias("n_item")))
+    least = variants.join(sizes, "variant").groupBy("template").agg(F.min("n_item").alias("n_least"))
     met = matched_windows(docs, windows, lengths or [WINDOW], windows.count() <= BROADCAST_WINDOWS)
     met = materialise(met.distinct())
-    pair = ["doc_id", "item_id"]
-    found = met.select(*pair, "pos").distinct().groupBy(*pair).agg(F.count("*").alias("n_windows")).join(sizes, "item_id")
+    near = met.select("doc_id", "template", "pos").distinct().groupBy("doc_id", "template").agg(F.count("*").alias("n")).join(least, "template")
+    near = near.filter(F.col("n") / F.col("n_least") >= coverage).select("doc_id", "template")
+    met = materialise(_by_variant(met.join(near, ["doc_id", "template"], "left_semi"), variants))
+    pair = ["doc_id", "variant"]
+    found = met.select(*pair, "pos").distinct().groupBy(*pair).agg(F.count("*").alias("n_windows")).join(sizes, "variant")
     found = found.withColumn("coverage", F.col("n_windows") / F.col("n_item")).filter(F.col("coverage") >= coverage)
     lines = met.groupBy(*pair, "offset").agg(F.count("*").alias("hits"))
     best = lines.groupBy(*pair).agg(F.max(F.struct(F.col("hits"), (-F.col("offset")).alias("back"))).alias("best"))
     hits = found.join(best, pair).select(*pair, "n_windows", "coverage", (-F.col("best.back")).alias("offset"))
 
-    own = made.select("item_id", F.col("raw").alias("item_raw"), "length")
-    on_line = met.join(hits.select(*pair, "offset"), [*pair, "offset"]).join(own, "item_id")
+    on_line = met.join(hits.select(*pair, "offset"), [*pair, "offset"])
+    own = made.select("item_id", "template", "variant", F.col("raw").alias("item_raw"))
+    hits = hits.join(own.drop("item_raw").distinct(), "variant")
+    on_line = on_line.join(own.drop("template"), "variant")
+    pair = ["doc_id", "item_id"]
     slot = F.filter(
         F.transform(F.sequence(F.lit(0), F.size("canon") - 1), lambda i: F.struct(
             (F.col("pos") + i).alias("place"), F.get("item_raw", F.col("pos") + i - 1).alias("asked"), F.get("raw", i).alias("said"), (F.get("canon", i).isin(NUM, UNIT, NAME)).alias("is_slot"),
@@ -186,21 +213,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     out = hits.join(slots_of, pair, "left").select(
         *pair, "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
         F.coalesce(F.col("fine") / F.col("n_slots"), F.lit(1.0)).alias("consistency"),
-        F.when(F.coalesce("other", F.lit(0)) == 0, "verbatim").otherwise("reparameterised").alias("kind"),
+        F.when(F.coalesce("other", F.lit(0)) == 0, "verbatim").otherwise("reparameterised").alias("kind"), "template",
     )
     return out.filter(F.col("consistency") >= consistency)
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
+    """The columns of ``item_leaks`` without template, one row per (document, template): the item held verbatim
+    with the smallest item_id, or else the smallest re-parameterised one."""
+    leaks = item_leaks(docs, benchmark, coverage, consistency)
+    columns = [c for c in leaks.columns if c != "template"]
+    order = F.struct(F.col("kind") != "verbatim", F.col("item_id"))
+    return leaks.groupBy("doc_id", "template").agg(F.min_by(F.struct(*columns), order).alias("first")).select(*[F.col(f"first.{c}") for c in columns])
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item."""
-    leaks = contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__leak")).distinct()
+    leaks = item_leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__leak")).distinct()
     return docs.join(leaks, F.col("doc_id") == F.col("__leak"), "left_anti")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) leak of the whole tables."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contaminated(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return item_leaks(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("template")
 
 
 def _sql_list(words: list[str]) -> str:
@@ -209,7 +245,7 @@ def _sql_list(words: list[str]) -> str:
 
 _SQL_END = r"regexp_matches({}, '^[.!?\n]')"
 _SQL_NUMBER = "(regexp_matches({0}, '^[0-9]') OR lower({0}) IN (" + _sql_list(NUMBER_WORDS) + "))"
-#: The same result in SQL, for benchmarks whose items all have at least WINDOW tokens.
+#: The same result in SQL, for benchmarks whose items all have at least WINDOW tokens and a template of their own.
 OP1_SQL = rf"""
 WITH texts AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS t FROM documents

@@ -136,6 +136,24 @@ def test_reparameterised_questions(spark):
     assert {r.doc_id for r in decontaminate.contaminated(docs, bench, consistency=0.5).collect()} >= {1, 2}
 
 
+def test_every_item_of_a_template_is_reported(spark):
+    ask = "A farmer has {} sheep and buys {} more sheep from {} for {} dollars each, so how many sheep does the farmer have now?"
+    bench = spark.createDataFrame([(1, ask.format(12, 7, "Alice", 12)), (2, ask.format(30, 9, "Maria", 30)), (3, ask.format(31, 9, "Maria", 31)), (4, ask.format(30, 9, "Maria", 30))], "item_id long, text string")
+    names = "what {} and {} saw with {} in {} was old"
+    bench = bench.unionByName(spark.createDataFrame([(5, names.format("Anna", "Karl", "Lena", "Rome")), (6, names.format("Peter", "Paul", "Olga", "Oslo"))], "item_id long, text string"))
+    docs = spark.createDataFrame([
+        (1, "Quiz. " + ask.format(30, 9, "Maria", 30)), (2, ask.format(5, 6, "Robert", 5)), (3, ask.format(31, 9, "Maria", 31).lower()),
+        (4, names.format("Peter", "Paul", "Olga", "Oslo").lower()), (5, names.format("Anna", "Karl", "Lena", "Rome").upper()),
+    ], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.item_leaks(docs, bench).collect()}
+    v, o = "verbatim", "reparameterised"
+    assert {k: x for k, x in got.items() if k[0] in (1, 2)} == {(1, 1): o, (1, 2): v, (1, 3): o, (1, 4): v, (2, 1): o, (2, 2): o, (2, 3): o, (2, 4): o}
+    assert got[3, 3] == v and got[3, 2] == o and got[4, 6] == v and (4, 5) not in got and got[5, 5] == v and (5, 6) not in got
+    assert decontaminate.without_leaks(docs, bench).count() == 0
+    one = {r.doc_id: (r.item_id, r.kind) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert one == {1: (2, v), 2: (1, o), 3: (3, v), 4: (6, v), 5: (5, v)}
+
+
 def test_shuffled_side_equals_broadcast_side(spark, documents):
     bench = read_table(spark, SF01, "benchmark")
     made = decontaminate.templates(bench)
