@@ -6,7 +6,8 @@
 2. Benchmark items with equal templates and equal slot patterns (which slots
    repeat a value) are one template.  Its windows of ``window`` tokens are hashed, and
    those of every item with its own names left as words (a text may be in capitals).
-3. The windows of all documents are hash-joined with them.
+3. The windows of all documents are hash-joined with them, in both forms too: a
+   capital after a colon or a quote, or in a title, is no name.
 4. Matches are gathered per (document, item): coverage is the share of the item's
    windows found.  The items of a template are joined back only where the
    template can reach the coverage.
@@ -143,23 +144,26 @@ def template_windows(made: DataFrame) -> DataFrame:
 
 
 def matched_windows(docs: DataFrame, windows: DataFrame, lengths: list[int], broadcast: bool) -> DataFrame:
-    """(doc_id, template, variant, pos, offset, raw, canon): document windows that are template windows."""
+    """(doc_id, template, variant, pos, offset, raw, canon, as_plain): document windows, canonical or ``as_plain``, that are template windows."""
     # outer explodes: Catalyst would push a plain explode's size filter below the token
     # projections and evaluate the tokens once per window
     tokens = tokenised(docs.filter(F.col("doc_id").isNotNull()), "doc_id")
     side = F.broadcast(windows) if broadcast else windows.hint("merge")
     out = None
     for length in lengths:
-        hashed = tokens.select("doc_id", "raw", "canon", _windows(F.col("canon"), length).alias("hashes"))
+        canon, plain = _windows(F.col("canon"), length), _windows(F.col("plain"), length)
+        hashed = tokens.select("doc_id", "raw", "canon", canon.alias("hashes"), plain.alias("plain"))
+        hashed = hashed.select("doc_id", "raw", "canon", F.concat("hashes", _differing(F.col("plain"), F.col("hashes"))).alias("hashes"))
+        each = hashed.select("doc_id", "raw", "canon", F.posexplode_outer("hashes").alias("at", "hash"))
+        n = F.size("canon") - (length - 1)  # windows of one form
+        each = each.select("doc_id", "raw", "canon", F.when(F.col("at") < n, F.col("at")).otherwise(F.col("at") - n).alias("at"), "hash", (F.col("at") >= n).alias("as_plain"))
         if broadcast:
-            each = hashed.select("doc_id", "raw", "canon", F.posexplode_outer("hashes").alias("at", "hash"))
             cut = [F.slice(c, F.col("at") + 1, F.lit(length)).alias(c) for c in ("raw", "canon")]
         else:  # both sides shuffle: cut the window before
-            each = hashed.select("doc_id", "raw", "canon", F.posexplode_outer("hashes").alias("at", "hash"))
-            each = each.select("doc_id", "at", "hash", *[F.slice(c, F.col("at") + 1, F.lit(length)).alias(c) for c in ("raw", "canon")])
+            each = each.filter(F.col("hash").isNotNull()).select("doc_id", "at", "hash", "as_plain", *[F.slice(c, F.col("at") + 1, F.lit(length)).alias(c) for c in ("raw", "canon")])
             cut = [F.col("raw"), F.col("canon")]
         met = each.join(side.filter(F.col("length") == length).drop("length"), "hash")
-        met = met.select("doc_id", "template", "variant", "pos", (F.col("at") + 1 - F.col("pos")).alias("offset"), *cut)
+        met = met.select("doc_id", "template", "variant", "pos", (F.col("at") + 1 - F.col("pos")).alias("offset"), *cut, "as_plain")
         out = met if out is None else out.unionByName(met)
     return out
 
@@ -170,24 +174,8 @@ def _by_variant(rows: DataFrame, variants: DataFrame) -> DataFrame:
     return own.unionByName(rows.filter(F.col("variant").isNull()).drop("variant").join(variants, "template").drop("template")).distinct()
 
 
-def item_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
-    """(doc_id, item_id, n_windows, coverage, n_slots, consistency, kind, template) of every leak.
-
-    ``kind`` is ``verbatim`` if all slot values on the best diagonal are the
-    item's own, else ``reparameterised``.  A document with a question is a leak
-    of every item of that template.
-    """
-    made = materialise(templates(benchmark))
-    windows = materialise(template_windows(made))
-    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
-    variants = materialise(made.select("template", "variant").distinct())
-    sizes = materialise(_by_variant(windows.select("template", "variant", "pos").distinct(), variants).groupBy("variant").agg(F.count("*").alias("n_item")))
-    least = variants.join(sizes, "variant").groupBy("template").agg(F.min("n_item").alias("n_least"))
-    met = matched_windows(docs, windows, lengths or [WINDOW], windows.count() <= BROADCAST_WINDOWS)
-    met = materialise(met.distinct())
-    near = met.select("doc_id", "template", "pos").distinct().groupBy("doc_id", "template").agg(F.count("*").alias("n")).join(least, "template")
-    near = near.filter(F.col("n") / F.col("n_least") >= coverage).select("doc_id", "template")
-    met = materialise(_by_variant(met.join(near, ["doc_id", "template"], "left_semi"), variants))
+def _consistent(met: DataFrame, made: DataFrame, sizes: DataFrame, coverage: float, consistency: float) -> DataFrame:
+    """The leaks that matched windows (doc_id, variant, pos, offset, raw, canon) make, as in ``item_leaks``."""
     pair = ["doc_id", "variant"]
     found = met.select(*pair, "pos").distinct().groupBy(*pair).agg(F.count("*").alias("n_windows")).join(sizes, "variant")
     found = found.withColumn("coverage", F.col("n_windows") / F.col("n_item")).filter(F.col("coverage") >= coverage)
@@ -196,13 +184,13 @@ def item_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     hits = found.join(best, pair).select(*pair, "n_windows", "coverage", (-F.col("best.back")).alias("offset"))
 
     on_line = met.join(hits.select(*pair, "offset"), [*pair, "offset"])
-    own = made.select("item_id", "template", "variant", F.col("raw").alias("item_raw"))
-    hits = hits.join(own.drop("item_raw").distinct(), "variant")
+    own = made.select("item_id", "template", "variant", F.col("raw").alias("item_raw"), F.col("canon").alias("item_canon"))
+    hits = hits.join(own.drop("item_raw", "item_canon").distinct(), "variant")
     on_line = on_line.join(own.drop("template"), "variant")
     pair = ["doc_id", "item_id"]
     slot = F.filter(
         F.transform(F.sequence(F.lit(0), F.size("canon") - 1), lambda i: F.struct(
-            (F.col("pos") + i).alias("place"), F.get("item_raw", F.col("pos") + i - 1).alias("asked"), F.get("raw", i).alias("said"), (F.get("canon", i).isin(NUM, UNIT, NAME)).alias("is_slot"),
+            (F.col("pos") + i).alias("place"), F.get("item_raw", F.col("pos") + i - 1).alias("asked"), F.get("raw", i).alias("said"), (F.get("canon", i).isin(NUM, UNIT, NAME) & F.get("item_canon", F.col("pos") + i - 1).isin(NUM, UNIT, NAME)).alias("is_slot"),
         )), lambda s: s["is_slot"],
     )
     values = on_line.select(*pair, F.explode(slot).alias("slot")).select(*pair, "slot.asked", "slot.said").distinct()
@@ -218,6 +206,30 @@ def item_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     return out.filter(F.col("consistency") >= consistency)
 
 
+def item_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
+    """(doc_id, item_id, n_windows, coverage, n_slots, consistency, kind, template) of every leak.
+
+    ``kind`` is ``verbatim`` if all slot values on the best diagonal are the
+    item's own, else ``reparameterised``.  A document with a question is a leak
+    of every item of that template.  The figures of a leak come from the document's
+    canonical windows; where these do not make it one, from its windows of both forms.
+    """
+    made = materialise(templates(benchmark))
+    windows = materialise(template_windows(made))
+    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
+    variants = materialise(made.select("template", "variant").distinct())
+    sizes = materialise(_by_variant(windows.select("template", "variant", "pos").distinct(), variants).groupBy("variant").agg(F.count("*").alias("n_item")))
+    least = variants.join(sizes, "variant").groupBy("template").agg(F.min("n_item").alias("n_least"))
+    met = matched_windows(docs, windows, lengths or [WINDOW], windows.count() <= BROADCAST_WINDOWS)
+    met = materialise(met.distinct())
+    near = met.select("doc_id", "template", "pos").distinct().groupBy("doc_id", "template").agg(F.count("*").alias("n")).join(least, "template")
+    near = near.filter(F.col("n") / F.col("n_least") >= coverage).select("doc_id", "template")
+    met = materialise(_by_variant(met.join(near, ["doc_id", "template"], "left_semi"), variants))
+    canonical = materialise(_consistent(met.filter(~F.col("as_plain")).drop("as_plain"), made, sizes, coverage, consistency))
+    both = _consistent(met.drop("as_plain").distinct(), made, sizes, coverage, consistency)
+    return canonical.unionByName(both.join(canonical.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti").select(*canonical.columns))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """The columns of ``item_leaks`` without template, one row per (document, template): the item held verbatim
     with the smallest item_id, or else the smallest re-parameterised one."""
@@ -245,7 +257,8 @@ def _sql_list(words: list[str]) -> str:
 
 _SQL_END = r"regexp_matches({}, '^[.!?\n]')"
 _SQL_NUMBER = "(regexp_matches({0}, '^[0-9]') OR lower({0}) IN (" + _sql_list(NUMBER_WORDS) + "))"
-#: The same result in SQL, for benchmarks whose items all have at least WINDOW tokens and a template of their own.
+#: The same result in SQL, for benchmarks whose items all have at least WINDOW tokens and a template of their own, and
+#: without the leaks that need a document's plain form.
 OP1_SQL = rf"""
 WITH texts AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS t FROM documents

@@ -154,6 +154,18 @@ def test_every_item_of_a_template_is_reported(spark):
     assert one == {1: (2, v), 2: (1, o), 3: (3, v), 4: (6, v), 5: (5, v)}
 
 
+def test_capitals_that_are_no_names(spark):
+    short, long = "What is the capital of France?", "Why do the small rivers of the old valley run to the sea in spring?"
+    bench = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Question: " + short), (2, "He asked, \u201c" + short), (3, "a) " + short), (4, "Quiz: " + long), (5, long.title()), (6, long),
+        (7, "Question: What is the name of France and of its old king?"),
+    ], "doc_id long, text string")
+    rows = decontaminate.item_leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in rows) == [(d, 1 if d < 4 else 2, "verbatim") for d in range(1, 7)]
+    assert all(r.coverage == 1.0 for r in rows if r.doc_id != 4)  # document 4 is a leak by its canonical windows alone
+
+
 def test_shuffled_side_equals_broadcast_side(spark, documents):
     bench = read_table(spark, SF01, "benchmark")
     made = decontaminate.templates(bench)
