@@ -37,7 +37,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import column, materialise, read_table
@@ -90,15 +90,26 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
     return sorted(out)
 
 
+def _object(text: Column) -> Column:
+    """True for texts that begin like a JSON object after white space."""
+    return F.coalesce(F.ltrim(text, F.lit(" \t\r\n")).startswith("{"), F.lit(False))
+
+
+def _calls_in(text: Column) -> Column:
+    """The items of ``tool_calls`` as JSON texts; null for any other text."""
+    return F.when(_object(text), F.from_json(text, "tool_calls array<string>")["tool_calls"])
+
+
 def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of messages (conv_id, turn, role, text) whose text is JSON tool traffic.
 
     Assistant texts ``{"tool_calls": [{"id", "name", "arguments", "depends_on"}]}``
     (also nested in ``function``) hold calls; tool texts
-    ``{"tool_call_id", "content"}`` hold results.  Other messages hold none.
+    ``{"tool_call_id", "content"}`` hold results, any other tool text is a result
+    without identifier.  Other messages hold none.
     """
-    m = messages.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text")).filter(F.col("text").startswith("{"))
-    raw = F.from_json("text", "tool_calls array<string>")["tool_calls"]
+    m = messages.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
+    raw = _calls_in(F.col("text"))
     each = m.filter(F.col("role") == "assistant").select("conv_id", "turn", F.posexplode(raw).alias("pos", "raw"))
 
     def get(name: str):
@@ -108,8 +119,9 @@ def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", "turn", "pos", get("id").alias("call_id"), get("name").alias("name"), get("arguments").alias("arguments"),
         F.from_json(get("depends_on"), "array<string>").alias("depends_on"),
     )
+    found = {k: F.when(_object(F.col("text")), F.get_json_object("text", f"$.{k}")) for k in ("tool_call_id", "content")}
     results = m.filter(F.col("role") == "tool").select(
-        "conv_id", "turn", F.get_json_object("text", "$.tool_call_id").alias("call_id"), F.get_json_object("text", "$.content").alias("content")
+        "conv_id", "turn", found["tool_call_id"].alias("call_id"), F.when(found["tool_call_id"].isNull(), F.coalesce(found["content"], "text")).otherwise(found["content"]).alias("content")
     )
     return calls, results
 
@@ -233,8 +245,9 @@ TURN_SCHEMAS = {
 
 def turns_as_traffic(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain turns as tool traffic: a user (system) turn calls ``answer`` (``configure``) with its text,
-    an assistant turn is the result of the call one turn before; a call depends on the call two turns before."""
-    m = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text")).filter(~F.coalesce(F.col("text").startswith("{"), F.lit(False)))
+    an assistant turn without ``tool_calls`` is the result of the call one turn before, in JSON or not; a call
+    depends on the call two turns before."""
+    m = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))
 
     def ident(turn):
         return F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), turn.cast("string"))
@@ -246,7 +259,7 @@ def turns_as_traffic(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.to_json(F.struct(prompt.alias("prompt"), F.col("turn").alias("turn"), words.alias("words"))).alias("arguments"),
         F.when(F.col("turn") >= 2, F.array(ident(F.col("turn") - 2))).alias("depends_on"),
     )
-    results = m.filter(F.col("role") == "assistant").select("conv_id", "turn", ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    results = m.filter((F.col("role") == "assistant") & _calls_in(F.col("text")).isNull()).select("conv_id", "turn", ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 

@@ -58,3 +58,21 @@ def test_parse_messages(spark):
     got = sorted((r.call_id, r.name, r.arguments, r.depends_on) for r in calls.collect())
     assert got == [("a", "search", '{"q":"hi"}', ["z"]), ("b", "search", '{"q":"yo"}', None)]
     assert [(r.call_id, r.content) for r in results.collect()] == [("a", "r")]
+
+
+def test_turns_that_begin_like_json(spark):
+    call = '{"tool_calls": [{"id": "x", "name": "answer", "arguments": {"prompt": "p", "turn": 5, "words": 1}}]}'
+    m = spark.createDataFrame([
+        (1, 0, "user", '{"a": 1} what is this?'), (1, 1, "assistant", '{"answer": "an object"}'),
+        (1, 2, "user", "{ broken"), (1, 3, "assistant", "{ code }"), (1, 4, "user", "and now?"), (1, 5, "assistant", "\n  " + call),
+        (1, 6, "tool", ' \t{"tool_call_id": "x", "content": "done"}'), (1, 7, "tool", "plain output"), (1, 8, "tool", '{"no": "identifier"}'),
+    ], "conv_id long, turn long, role string, text string")
+    json_calls, json_results = tc.parse_messages(m)
+    calls, results = tc.turns_as_traffic(m)
+    schemas = spark.createDataFrame([(k, tc.canonical(v)) for k, v in tc.TURN_SCHEMAS.items()], "name string, schema string")
+    rows = tc.link_calls(calls.unionByName(json_calls), results.unionByName(json_results), schemas).collect()
+    got = sorted((r.turn, r.call_id, r.status, tuple(r.errors)) for r in rows if r.call_id)
+    assert got == [(0, "c-1-0", "linked", ()), (2, "c-1-2", "linked", ()), (4, "c-1-4", "no_result", ()), (5, "x", "linked", ())]
+    assert sorted((r.turn, r.status) for r in rows if not r.call_id) == [(7, "no_id"), (8, "no_id")]
+    made = {r.call_id: json.loads(r.canonical) for r in rows if r.canonical}
+    assert made["c-1-0"]["result"] == '{"answer": "an object"}' and made["c-1-2"]["result"] == "{ code }" and made["x"]["result"] == "done"
