@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import decontaminate, fingerprint, html_extract, language_id, line_dedup, ngram_join, pii, quality, sentencepiece_nbest, tool_calls
+from slotwise.llm import bpe, decontaminate, fingerprint, html_extract, language_id, line_dedup, ngram_join, pii, quality, sentencepiece_nbest, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op13_bpe": bpe.op13_bpe,
 }
 
 ORACLE: dict[str, str] = {
