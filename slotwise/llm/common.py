@@ -31,7 +31,16 @@ def materialise(df: DataFrame, partition_cols: list[str] | None = None) -> DataF
     if partition_cols:
         writer = writer.partitionBy(*partition_cols)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a table that :func:`materialise` returned and nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

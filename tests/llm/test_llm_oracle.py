@@ -11,7 +11,7 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages", "benchmark", "labels"):
+    for t in ("documents", "conversations", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF01}/{t}.parquet')")
     got = QUERIES[name](spark, SF01).toPandas()
     want = con.execute(ORACLE[name]).df()
@@ -26,4 +26,4 @@ def test_the_driver_entry_registers_every_query():
 
     found = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(found)
-    assert {n.split("_")[0] for n in found if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in found if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
