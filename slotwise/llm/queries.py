@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import bpe, decontaminate, fingerprint, html_extract, language_id, line_dedup, ngram_join, pii, quality, sentencepiece_nbest, tool_calls, vector_codes
+from slotwise.llm import bpe, collocations, decontaminate, fingerprint, html_extract, language_id, line_dedup, ngram_join, pii, quality, sentencepiece_nbest, tool_calls, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_collocations": collocations.op11_collocations,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_bpe": bpe.op13_bpe,
 }
@@ -28,5 +29,6 @@ ORACLE: dict[str, str] = {
     "op3_ngram_join": ngram_join.OP3_SQL,
     "op7_tool_calls": tool_calls.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op12_vector_codes": vector_codes.OP12_SQL,
 }
