@@ -134,7 +134,7 @@ class Vocabulary:
                 continue
             for start, cost, piece in arcs[at]:
                 order += 1
-                heapq.heappush(heap, (ahead[start] + cost + behind, order, start, cost + behind, (piece, path)))
+                heapq.heappush(heap, (ahead[start] + cost + behind, -order, start, cost + behind, (piece, path)))  # of equals the latest: one path is completed before the next is begun
         return found
 
     def chunk(self, chunk: str) -> tuple[list[int], int, int]:
