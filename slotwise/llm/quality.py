@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.llm.common import column, large_text, read_table, span_hashes, text_buffers, text_chunks, word_spans
+from slotwise.llm.common import column, discard, large_text, materialise, read_table, span_hashes, text_buffers, text_chunks, word_spans
 
 DIMENSIONS = 1 << 18
 #: Bound on the labelled documents that the model is fitted on.
@@ -127,6 +127,18 @@ class OrdinalModel:
         return tail.sum(axis=1), tail[:, -1]
 
 
+def active_features(by_grade: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Features that get a weight, from their documents per grade (rows) and all documents per grade."""
+    n = int(documents.sum())
+    counts = by_grade.sum(axis=0)
+    error = np.sqrt(np.maximum(counts * (1 - counts / max(n, 1)), 1e-9))
+    gap = np.zeros(by_grade.shape[1])
+    for hits, docs in zip(by_grade, documents):  # each grade by itself: a middle grade hardly moves the mean
+        share = docs / max(n, 1)
+        gap = np.maximum(gap, np.abs(hits - counts * share) / (max(np.sqrt(share * (1 - share)), 1e-9) * error))
+    return np.flatnonzero((counts >= MIN_DOCS) & (counts < n) & (gap >= max(LEAST_Z, LEAST_CORRELATION * np.sqrt(n))))
+
+
 def fit_ordinal(
     rows: np.ndarray, ids: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, dimensions: int = DIMENSIONS, l2: float = 1e-6, steps: int = 600, rate: float = 0.1
 ) -> OrdinalModel:
@@ -135,14 +147,8 @@ def fit_ordinal(
     Thresholds are kept in order as a first value plus exponentials.
     """
     n = len(grades)
-    counts = np.bincount(ids, minlength=dimensions)
-    error = np.sqrt(np.maximum(counts * (1 - counts / max(n, 1)), 1e-9))
-    gap = np.zeros(dimensions)
-    for grade in range(n_grades):  # each grade by itself: a middle grade hardly moves the mean
-        hit = (grades == grade).astype(float)
-        sums = np.bincount(ids, weights=hit[rows], minlength=dimensions)
-        gap = np.maximum(gap, np.abs(sums - counts * hit.mean()) / (max(hit.std(), 1e-9) * error))
-    active = np.flatnonzero((counts >= MIN_DOCS) & (counts < n) & (gap >= max(LEAST_Z, LEAST_CORRELATION * np.sqrt(n))))
+    by_grade = np.stack([np.bincount(ids[grades[rows] == grade], minlength=dimensions) for grade in range(n_grades)])
+    active = active_features(by_grade, np.bincount(grades, minlength=n_grades))
     index = np.full(dimensions, -1)
     index[active] = np.arange(len(active))
     keep = index[ids] >= 0
@@ -198,13 +204,41 @@ def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "grade"), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "grade", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = pairs.mapInArrow(run, f"doc_id {kind}, grade int, ids array<int>").toArrow()
-    if not found.num_rows:
+    found = materialise(pairs.mapInArrow(run, f"doc_id {kind}, grade int, ids array<int>"))
+    documents = np.zeros(GRADES, np.int64)
+    for r in found.groupBy("grade").count().collect():
+        documents[r["grade"]] = r["count"]
+    if not documents.sum():
+        discard(found)
         return OrdinalModel(np.zeros(DIMENSIONS), np.full(GRADES - 1, -10.0))
-    found = found.sort_by("doc_id").combine_chunks()
-    lists = found.column("ids").combine_chunks()
-    rows = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
-    return fit_ordinal(rows, np.asarray(lists.flatten()), np.asarray(found.column("grade").combine_chunks()).astype(np.int64), l2=L2_ROWS / len(lists))
+    # documents per feature and grade are counted in Spark; of the lists only the features with a weight reach the driver
+    by_grade = np.zeros((GRADES, DIMENSIONS), np.int64)
+    sums = [F.count_if(F.col("grade") == g).alias(f"g{g}") for g in range(GRADES)]
+    counted = found.select("grade", F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), *sums)
+    counted = counted.filter(F.col("n") >= MIN_DOCS).toArrow()
+    for g in range(GRADES):
+        by_grade[g, counted.column("id").to_numpy()] = counted.column(f"g{g}").to_numpy()
+    del counted
+    wanted = np.zeros(DIMENSIONS, bool)
+    wanted[active_features(by_grade, documents)] = True
+    del by_grade
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = column(batch, "ids")
+            flat = np.asarray(ids.flatten())
+            ends = np.concatenate([[0], np.cumsum(wanted[flat])])[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(ids)))])]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[wanted[flat]], pa.int32()))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), lists], ["doc_id", "grade", "ids"])
+
+    table = found.mapInArrow(narrow, f"doc_id {kind}, grade int, ids array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    discard(found)
+    lists = table.column("ids").combine_chunks()
+    size = len(lists)
+    rows, ids = np.repeat(np.arange(size), np.asarray(pc.list_value_length(lists))), np.asarray(lists.flatten())
+    grades = np.asarray(table.column("grade").combine_chunks()).astype(np.int64)
+    del table, lists
+    return fit_ordinal(rows, ids, grades, l2=L2_ROWS / size)
 
 
 def score(docs: DataFrame, model: OrdinalModel, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
