@@ -109,10 +109,10 @@ def top_totals(cells: DataFrame, key: str, n: int = 10, target: str = TARGET) ->
 def demand_summary(cells: DataFrame, target: str = TARGET) -> DataFrame:
     """Min, median, mean, p95, max and bias-corrected skewness
     (exact quantiles computed without gathering values in one task)."""
-    from slotwise.operators.quantiles import exact_quantiles
+    from slotwise.operators.quantiles import bracketed_quantiles
 
     x = F.col(target)
-    median, p95 = exact_quantiles(cells, target, [0.5, 0.95])
+    median, p95 = (F.lit(v).cast("double") for v in bracketed_quantiles(cells, {target: [0.5, 0.95]})[target])
     one = cells.agg(
         F.min(x).alias("min"),
         F.avg(x).alias("mean"),

@@ -280,10 +280,10 @@ def eda_summary(spark, sf_dir):
     zz = _row(trips.groupBy(ZONE).agg(F.count(F.lit(1)).alias("c")).agg(
         F.max_by(ZONE, F.struct("c", -F.col(ZONE))).alias("z"), F.max("c").alias("c")
     ))
-    from slotwise.operators.quantiles import exact_quantiles
+    from slotwise.operators.quantiles import bracketed_quantiles
 
     d = F.col("demand")
-    med, p95 = exact_quantiles(raw_cells, "demand", [0.5, 0.95])
+    med, p95 = (F.lit(v).cast("double") for v in bracketed_quantiles(raw_cells, {"demand": [0.5, 0.95]})["demand"])
     cs = _row(raw_cells.agg(
         F.min(d).alias("mn"), F.avg(d).alias("mean"),
         F.max(d).alias("mx"), unbiased_skewness(d).alias("skew"), F.count(F.lit(1)).alias("obs"),

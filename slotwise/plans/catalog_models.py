@@ -1,9 +1,9 @@
 """Registered queries: metric suites and model jobs.
 
-Seasonal-naive forecasts (J16) are plain columns, so their metric suites are
-checked against DuckDB.  Fitted models (OLS, ridge, forest) have no SQL
-equivalent; those queries get the driver's rows-only check and are covered by
-closed-form tests in ``tests/``.
+Seasonal-naive forecasts (J16) are plain columns, and linear fits come from moments
+(``operators/moments.py``) that SQL can state too (``plans/linear_sql.py``), so their
+metric suites are checked against DuckDB.  The forest has no SQL equivalent; its query
+gets the driver's rows-only check.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotwise.operators import models as M
+from slotwise.operators import moments as MO
 from slotwise.operators import splits as SP
 from slotwise.operators.metrics import (
     FIVE,
@@ -23,8 +24,10 @@ from slotwise.operators.metrics import (
     to_long,
 )
 from slotwise.plans import common as C
+from slotwise.plans.linear_sql import fit_ctes, forecast
 from slotwise.plans.registry import register, round_doubles
-from slotwise.schemas import TARGET
+from slotwise.schemas import FEATURE_COLS, TARGET
+from slotwise.session import cut_lineage
 
 P = C.PROFILE
 FEAT = C.PIPELINE_CTES
@@ -32,6 +35,7 @@ TEMPORAL = (
     f"CASE WHEN hour < TIMESTAMP '{P.val_start}' THEN 'train' "
     f"WHEN hour < TIMESTAMP '{P.test_start}' THEN 'val' ELSE 'test' END"
 )
+HASH_SQL = f"md5(concat_ws('|', CAST(PULocationID AS VARCHAR), CAST(hour AS VARCHAR), '{P.seed}'))"
 NAIVE = {
     "lag_1h": "demand_lag_1h",
     "lag_24h": "demand_lag_24h",
@@ -137,14 +141,39 @@ def q_bias_direction(spark, sf_dir):
     return m.select("model", "mbe", bias_direction("mbe").alias("direction"))
 
 
-def _linear_models():
-    return {"linear_regression": M.linear_regression(), "ridge": M.ridge(1.0)}
+PENALTIES = {"linear_regression": 0.0, "ridge": 1.0}
+_TRAIN = f"""labelled AS MATERIALIZED (SELECT *, {TEMPORAL} AS split FROM features),
+train AS (SELECT * FROM labelled WHERE split = 'train')"""
+_LINEAR = f""", {_TRAIN},
+{fit_ctes("ols", "train")},
+{fit_ctes("ridge", "train", alpha=1.0)},
+preds AS (SELECT 'linear_regression' AS model, demand, {forecast("ols")} AS prediction FROM labelled, ols WHERE split = 'val'
+  UNION ALL SELECT 'ridge', demand, {forecast("ridge")} FROM labelled, ridge WHERE split = 'val')"""
 
 
-@register("linear_model_metrics")
+@register("linear_model_metrics", FEAT + _LINEAR + f"\nSELECT model, {_metric_sql('prediction')}, count(*) AS n FROM preds GROUP BY 1")
 def q_linear_model_metrics(spark, sf_dir):
-    """J1 + J2 + J12: OLS and ridge fitted on train, scored on validation."""
-    return M.compare_models(_labelled(spark, sf_dir), _linear_models())
+    """J1 + J2 + J12: OLS and ridge from the moments of the train rows, scored on validation."""
+    return round_doubles(MO.compare_linear(_labelled(spark, sf_dir), PENALTIES))
+
+
+@register(
+    "feature_moments",
+    FEAT
+    + f""", labelled AS (SELECT *, {TEMPORAL} AS split FROM features),
+m AS (SELECT split, [{", ".join(f"CAST({c} AS DOUBLE)" for c in [*FEATURE_COLS, TARGET])}] AS x FROM labelled),
+l AS (SELECT split, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(CASE WHEN j = 0 THEN x[i] ELSE x[i] * x[j] END) AS v
+  FROM m, range(1, {len(FEATURE_COLS) + 2}) a(i), range(0, {len(FEATURE_COLS) + 2}) b(j) WHERE j = 0 OR j >= i GROUP BY ALL)
+SELECT split, i, j, CAST(printf('%.9e', v) AS DOUBLE) AS value FROM l""",
+)
+def q_feature_moments(spark, sf_dir):
+    """Sums (j = 0) and products of the features and the label per split, to 10 significant digits."""
+    table = MO.moment_table(_labelled(spark, sf_dir), ["split"])
+    size = len(FEATURE_COLS) + 1
+    cells = [F.struct(F.lit(i + 1).alias("i"), F.lit(0).alias("j"), F.col(f"s_{i}").alias("v")) for i in range(size)]
+    cells += [F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), F.col(f"p_{i}_{j}").alias("v")) for i in range(size) for j in range(i, size)]
+    long = table.select("split", F.explode(F.array(*cells)).alias("c")).select("split", "c.i", "c.j", "c.v")
+    return long.select("split", "i", "j", F.format_string("%.9e", "v").cast("double").alias("value"))
 
 
 @register("model_comparison")
@@ -159,36 +188,92 @@ def q_model_comparison(spark, sf_dir):
     return M.compare_models(_labelled(spark, sf_dir), models)
 
 
-@register("ridge_vs_ols_delta")
+@register(
+    "ridge_vs_ols_delta",
+    FEAT
+    + _LINEAR
+    + f""",
+wide AS (SELECT model, {_metric_sql('prediction', rnd='{}')} FROM preds GROUP BY 1),
+long AS (UNPIVOT wide ON mae, rmse, r2, mape, mbe INTO NAME metric VALUE value)
+SELECT a.metric, round(a.value, 6) AS baseline, round(b.value, 6) AS candidate, round(b.value - a.value, 6) + 0.0 AS delta,
+  round((b.value - a.value) * 100.0 / nullif(abs(a.value), 0), 6) + 0.0 AS delta_pct
+FROM long a JOIN long b ON a.metric = b.metric AND a.model = 'linear_regression' AND b.model = 'ridge'""",
+)
 def q_ridge_vs_ols_delta(spark, sf_dir):
-    """Change of every validation metric from OLS to ridge."""
-    wide = M.compare_models(_labelled(spark, sf_dir), _linear_models())
+    """Change of every validation metric from OLS to ridge, both from the same moments."""
+    wide = MO.compare_linear(_labelled(spark, sf_dir), PENALTIES)
     return round_doubles(metric_delta(to_long(wide, ["model"]), "linear_regression", "ridge"))
 
 
-def _trainval_folds(spark, sf_dir):
-    trainval = C.features(spark, sf_dir).filter(F.col("hour") < F.lit(P.test_start).cast("timestamp_ntz"))
-    return trainval
+def _trainval(spark, sf_dir):
+    return C.features(spark, sf_dir).filter(F.col("hour") < F.lit(P.test_start).cast("timestamp_ntz"))
 
 
-@register("linear_time_series_cv")
+_TRAINVAL = f"trainval AS MATERIALIZED (SELECT * FROM features WHERE hour < TIMESTAMP '{P.test_start}')"
+_FOLDED = f"""folded AS MATERIALIZED (SELECT *, CASE WHEN pos >= first THEN CAST(floor((pos - first) / size) + 1 AS INTEGER) END AS test_fold FROM (
+  SELECT *, row_number() OVER (ORDER BY hour, PULocationID) - 1 AS pos,
+    count(*) OVER () - {P.folds} * (count(*) OVER () // {P.folds + 1}) AS first,
+    count(*) OVER () // {P.folds + 1} AS size FROM trainval)),
+before AS (SELECT f, folded.* FROM folded JOIN range(1, {P.folds + 1}) t(f) ON pos < first + (f - 1) * size),
+{fit_ctes("ts", "before", "f")},
+ts_preds AS (SELECT test_fold AS fold, demand, {forecast("ts")} AS prediction FROM folded JOIN ts ON ts.grp = test_fold),
+ts_folds AS (SELECT fold, {_metric_sql('prediction', rnd='round_even({}, 4)')} FROM ts_preds GROUP BY 1)"""
+_SHUFFLED = f"""mixed AS MATERIALIZED (SELECT *, CAST(CASE WHEN pos < r * (q + 1) THEN floor(pos / (q + 1)) ELSE r + floor((pos - r * (q + 1)) / q) END AS INTEGER) AS fold FROM (
+  SELECT *, row_number() OVER (ORDER BY {HASH_SQL}) - 1 AS pos, count(*) OVER () // {P.folds} AS q, count(*) OVER () % {P.folds} AS r FROM trainval)),
+others AS (SELECT f, mixed.* FROM mixed JOIN range(0, {P.folds}) t(f) ON fold <> f),
+{fit_ctes("sh", "others", "f")},
+sh_preds AS (SELECT fold, demand, {forecast("sh")} AS prediction FROM mixed JOIN sh ON sh.grp = fold),
+sh_folds AS (SELECT fold, {_metric_sql('prediction', rnd='round({}, 4)')}, count(*) AS n FROM sh_preds GROUP BY 1)"""
+
+
+@register("linear_time_series_cv", FEAT + f", {_TRAINVAL},\n{_FOLDED}\nSELECT 'linear_regression' AS model, fold, mae, rmse, r2 FROM ts_folds")
 def q_linear_time_series_cv(spark, sf_dir):
-    """OLS on 5 expanding time folds of train+val; per-fold MAE/RMSE/R^2."""
-    folds = SP.time_series_folds(_trainval_folds(spark, sf_dir), P.folds)
-    return M.time_series_cv(folds, M.linear_regression(), P.folds, "linear_regression")
+    """OLS on 5 expanding time folds of train+val from one scan of moments; per-fold MAE/RMSE/R^2."""
+    folds = cut_lineage(SP.time_series_folds(_trainval(spark, sf_dir), P.folds).select(*FEATURE_COLS, TARGET, "test_fold"))
+    return MO.time_series_cv(folds, 0.0, "linear_regression")
 
 
-@register("linear_shuffled_cv")
+@register("linear_shuffled_cv", FEAT + f", {_TRAINVAL},\n{_SHUFFLED}\nSELECT 'linear_regression' AS model, fold, mae, rmse, r2, n FROM sh_folds")
 def q_linear_shuffled_cv(spark, sf_dir):
-    """OLS on 5 shuffled folds of train+val; per-fold MAE."""
-    folds = SP.shuffled_folds(_trainval_folds(spark, sf_dir), P.folds, P.seed)
-    return M.shuffled_cv(folds, M.linear_regression(), P.folds, "linear_regression")
+    """OLS on 5 shuffled folds of train+val from one scan of moments; per-fold MAE/RMSE/R^2."""
+    folds = cut_lineage(SP.shuffled_folds(_trainval(spark, sf_dir), P.folds, P.seed).select(*FEATURE_COLS, TARGET, "fold"))
+    return MO.shuffled_cv(folds, 0.0, "linear_regression")
 
 
-@register("split_method_comparison")
-def q_split_method_comparison(spark, sf_dir):
-    """One table comparing temporal CV, the two temporal hold-outs and
-    shuffled CV for the same estimator (OLS here; any factory works)."""
-    from slotwise.plans.evaluation import split_method_comparison
+_WINDOW = (
+    f"CASE WHEN hour < TIMESTAMP '{P.alt_val_start}' THEN 'train' WHEN hour < TIMESTAMP '{P.alt_val_end}' THEN 'val' ELSE 'unused' END"
+)
+
 
-    return split_method_comparison(C.features(spark, sf_dir), M.linear_regression(), P)
+@register(
+    "split_method_comparison",
+    FEAT
+    + f""", {_TRAINVAL},
+{_FOLDED},
+{_SHUFFLED},
+{_TRAIN},
+{fit_ctes("ols", "train")},
+windowed AS MATERIALIZED (SELECT *, {_WINDOW} AS part FROM features),
+wtrain AS (SELECT * FROM windowed WHERE part = 'train'),
+{fit_ctes("alt", "wtrain")},
+held AS (SELECT 'temporal_holdout' AS method, demand, {forecast("ols")} AS prediction FROM labelled, ols WHERE split = 'val'
+  UNION ALL SELECT 'temporal_window', demand, {forecast("alt")} FROM windowed, alt WHERE part = 'val')
+SELECT 'temporal_cv' AS method, round(avg(mae), 4) AS mae, round(stddev_samp(mae), 4) AS mae_std, round(avg(rmse), 4) AS rmse, round(avg(r2), 4) AS r2 FROM ts_folds
+UNION ALL SELECT 'shuffled_cv', round(avg(mae), 4), round(stddev_samp(mae), 4), round(avg(rmse), 4), round(avg(r2), 4) FROM sh_folds
+UNION ALL SELECT method, mae, NULL, rmse, r2 FROM (SELECT method, {_metric_sql('prediction', rnd='round({}, 4)')} FROM held GROUP BY 1)""",
+)
+def q_split_method_comparison(spark, sf_dir):
+    """Temporal CV, the two temporal hold-outs and shuffled CV of OLS, all from one scan of moments."""
+    data = C.features_cut(spark, sf_dir, columns=[*dict.fromkeys([*FEATURE_COLS, "hour", TARGET])])
+    keys = ["PULocationID", "hour"]
+    inside = data.filter(F.col("hour") < F.lit(P.test_start).cast("timestamp_ntz"))
+    time_folds = SP.time_series_folds(inside, P.folds).select(*data.columns, "test_fold")
+    mixed = SP.shuffled_folds(inside.select(*keys), P.folds, P.seed)
+    labels = time_folds.join(mixed, keys).select(*data.columns, F.lit(True).alias("in_cv"), "test_fold", "fold")
+    after = data.filter(F.col("hour") >= F.lit(P.test_start).cast("timestamp_ntz")).select(
+        *data.columns, F.lit(False).alias("in_cv"), F.lit(None).cast("int").alias("test_fold"), F.lit(None).cast("int").alias("fold")
+    )
+    both = SP.temporal_split(labels.unionByName(after), P.val_start, P.test_start).withColumnRenamed("split", "holdout")
+    both = SP.window_split(both, P.alt_val_start, P.alt_val_end).withColumnRenamed("split", "window")
+    tagged = cut_lineage(both.drop("hour"))
+    return MO.split_comparison(tagged, {"temporal_holdout": "holdout", "temporal_window": "window"})

@@ -3,7 +3,7 @@
 The forecast table is scored with the seasonal-naive predictor ``mean of the
 demand one week earlier`` (a lookup column), so every serving query has a
 DuckDB oracle; ``forecast_table_model`` scores the same slots with a fitted
-OLS model (rows-only check).  The error band is the validation MAE of that
+OLS model, whose weights SQL solves as well (``plans/linear_sql.py``).  The error band is the validation MAE of that
 naive forecast, computed from the data rather than hard-coded.
 """
 
@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotwise.functions.calendar import weekday_to_date
-from slotwise.operators import models as M
 from slotwise.operators import serve as S
 from slotwise.operators import splits as SP
 from slotwise.operators.lookup import build_lookup, missing_keys
 from slotwise.operators.metrics import regression_metrics
+from slotwise.operators.moments import train_fit
 from slotwise.plans import common as C
+from slotwise.plans.linear_sql import fit_ctes, forecast
 from slotwise.plans.registry import register, round_doubles
 from slotwise.schemas import HOUR, TARGET, ZONE
 from slotwise.sources import testdata
@@ -112,28 +113,103 @@ def q_forecast_table(spark, sf_dir):
     return round_doubles(_forecast(spark, sf_dir))
 
 
-@register("weekend_contrast")
+# OLS from the moments of the train rows, and a request (zone, slot, weekend flag) scored by it from its lookup means.
+MODEL_DIGITS = 4  # forecasts of fitted weights: equal in both engines whatever the order of their sums
+_MODEL_SQL = f""", mtrain AS (SELECT * FROM features WHERE hour < TIMESTAMP '{P.val_start}'),
+{fit_ctes("ols", "mtrain")},
+request_features AS (SELECT r.*, CAST(r.hour_of_day IN ({C.RUSH_SQL}) AND r.day_of_week < 5 AS INTEGER) AS is_rush_hour, 0 AS is_holiday,
+    mean_demand_lag_1h AS demand_lag_1h, mean_demand_lag_24h AS demand_lag_24h, mean_demand_lag_168h AS demand_lag_168h,
+    mean_demand_rolling_3h AS demand_rolling_3h, mean_demand_rolling_168h AS demand_rolling_168h, mean_demand
+  FROM {{requests}} r JOIN lookup USING ({ZONE}, hour_of_day, day_of_week)),
+scored AS (SELECT q.*, {forecast("ols")} AS prediction FROM request_features q CROSS JOIN ols)"""
+
+
+def _model_sql(requests: str) -> str:
+    return _MODEL_SQL.replace("{requests}", f"({requests})")
+
+
+def _train_model(feats):
+    return train_fit(SP.temporal_split(feats, P.val_start, P.test_start))
+
+
+_CONTRAST_SQL = _model_sql(
+    f"SELECT {ZONE}, hour_of_day, day_of_week, f AS is_weekend FROM lookup, range(0, 2) t(f) WHERE {ZONE} = (SELECT zone FROM busiest) AND day_of_week = 0"
+)
+
+
+@register(
+    "weekend_contrast",
+    BASE
+    + _CONTRAST_SQL
+    + f"""
+SELECT a.hour_of_day AS hour, a.{ZONE} AS zone_a, round(a.prediction, {MODEL_DIGITS}) AS prediction_a, b.{ZONE} AS zone_b,
+  round(b.prediction, {MODEL_DIGITS}) AS prediction_b, round(a.prediction - b.prediction, {MODEL_DIGITS}) AS difference
+FROM scored a JOIN scored b ON a.hour_of_day = b.hour_of_day AND a.is_weekend = 0 AND b.is_weekend = 1""",
+)
 def q_weekend_contrast(spark, sf_dir):
     """K8 / D9 with an independent weekend flag: Monday of the busiest zone
     scored as weekday (a) and as weekend (b) by OLS fitted on the train split."""
     feats = C.features_cut(spark, sf_dir)
-    train = SP.temporal_split(feats, P.val_start, P.test_start).filter(F.col("split") == "train")
-    model = M.fit(M.linear_regression(), train)
-    zone = feats.groupBy(ZONE).agg(F.sum(TARGET).alias("s")).agg(F.max_by(ZONE, F.struct("s", -F.col(ZONE)))).first()[0]
+    zone = _busiest_id(feats)
     out = S.compare_requests(
-        spark, {"zone": zone, "dow": 0, "weekend": 0}, {"zone": zone, "dow": 0, "weekend": 1}, build_lookup(feats, digits=LOOKUP_DIGITS), model
+        spark, {"zone": zone, "dow": 0, "weekend": 0}, {"zone": zone, "dow": 0, "weekend": 1}, build_lookup(feats, digits=LOOKUP_DIGITS), _train_model(feats)
     )
-    return round_doubles(out)
+    return round_doubles(out, MODEL_DIGITS)
+
 
+def _busiest_id(feats) -> int:
+    return feats.groupBy(ZONE).agg(F.sum(TARGET).alias("s")).agg(F.max_by(ZONE, F.struct("s", -F.col(ZONE)))).first()[0]
 
-@register("forecast_table_model")
+
+@register(
+    "slot_requests_scored",
+    BASE
+    + _model_sql(f"SELECT DISTINCT {ZONE}, {SLOT_HOUR} AS hour_of_day, {SLOT_DOW} AS day_of_week, 1 AS is_weekend FROM lookup")
+    + f"\nSELECT {ZONE} AS zone_id, is_weekend, round(prediction, {MODEL_DIGITS}) AS prediction FROM scored",
+)
+def q_slot_requests_scored(spark, sf_dir):
+    """D8 + K3: every zone at one slot as requests with their own weekend flag (a Monday
+    treated as a holiday), scored by the fitted model."""
+    feats = C.features_cut(spark, sf_dir)
+    lookup = build_lookup(feats, digits=LOOKUP_DIGITS)
+    out = S.slot_predictions(lookup.select(ZONE).distinct(), SLOT_HOUR, SLOT_DOW, 1, lookup, _train_model(feats))
+    return round_doubles(out, MODEL_DIGITS)
+
+
+@register(
+    "week_requests_scored",
+    BASE
+    + _model_sql(
+        f"SELECT zone AS {ZONE}, CAST(i % 24 AS INTEGER) AS hour_of_day, CAST(i // 24 AS INTEGER) AS day_of_week, CAST(i // 24 >= 5 AS INTEGER) AS is_weekend FROM busiest, range(0, 168) t(i)"
+    )
+    + f"""
+SELECT {ZONE} AS zone_id, hour_of_day, day_of_week, is_weekend, round(prediction, {MODEL_DIGITS}) AS prediction,
+  round(mean_demand, {MODEL_DIGITS}) AS historical_mean FROM scored""",
+)
+def q_week_requests_scored(spark, sf_dir):
+    """D8 + K5: the 168 requests of the busiest zone, scored by the fitted model."""
+    feats = C.features_cut(spark, sf_dir)
+    out = S.score_requests(S.week_requests(spark, _busiest_id(feats)), build_lookup(feats, digits=LOOKUP_DIGITS), _train_model(feats))
+    return round_doubles(out.withColumnRenamed(ZONE, "zone_id"), MODEL_DIGITS)
+
+
+@register(
+    "forecast_table_model",
+    BASE
+    + _model_sql(f"SELECT {ZONE}, hour_of_day, day_of_week, CAST(day_of_week >= 5 AS INTEGER) AS is_weekend FROM lookup")
+    + f""",
+mforecast AS (SELECT s.{ZONE} AS zone_id, coalesce(z.Zone, 'Zone ' || CAST(s.{ZONE} AS VARCHAR)) AS zone_name, hour_of_day, day_of_week, is_weekend,
+    prediction, error_band, mean_demand AS historical_mean,
+    CASE WHEN mean_demand > 0 THEN (prediction - mean_demand) / mean_demand * 100.0 ELSE 0.0 END AS vs_avg_pct
+  FROM scored s CROSS JOIN band b LEFT JOIN zones z ON s.{ZONE} = z.LocationID)
+SELECT {_FC_COLS.replace(", 6)", f", {MODEL_DIGITS})")}, {_LABELS} FROM mforecast""",
+)
 def q_forecast_table_model(spark, sf_dir):
-    """K10 with a fitted model: OLS trained on the temporal train split
+    """K10 with a fitted model: OLS from the moments of the temporal train split
     scores every zone x 168 slot from the lookup."""
     feats = C.features_cut(spark, sf_dir)
-    train = SP.temporal_split(feats, P.val_start, P.test_start).filter(F.col("split") == "train")
-    model = M.fit(M.linear_regression(), train)
-    return round_doubles(S.forecast_table(build_lookup(feats, digits=LOOKUP_DIGITS), model, C.zones(spark, sf_dir), _band(feats)))
+    out = S.forecast_table(build_lookup(feats, digits=LOOKUP_DIGITS), _train_model(feats), C.zones(spark, sf_dir), _band(feats))
+    return round_doubles(out, MODEL_DIGITS)
 
 
 @register(

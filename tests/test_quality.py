@@ -89,3 +89,53 @@ def test_describe_approximate_mode_and_sparse_drop(spark):
     assert abs(got["p50"] - 500.0) <= 1.0 and got["count"] == 1000.0
     kept = Q.drop_sparse_columns(df, max_null_pct=30.0).columns
     assert kept == ["x"]
+
+
+def test_bracketed_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    from slotwise.operators.quantiles import bracketed_quantiles
+
+    rng = np.random.default_rng(3)
+    rows = [(float(a), None if k % 7 == 0 else float(b), float("nan") if k % 5 == 0 else 4.0, None) for k, (a, b) in enumerate(zip(rng.normal(size=4000), rng.integers(0, 9, 4000)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.5, 0.99, 1.0]
+    want = {c: [v for v in (r[k] for r in rows) if v is not None and v == v] for k, c in enumerate("abcd")}
+    for how in ({}, {"accuracy": 20, "room": 150}, {"accuracy": 50, "room": 10}):  # wide brackets are narrowed first
+        got = bracketed_quantiles(df, {c: probs for c in "abcd"}, **how)
+        assert got["d"] == [None] * len(probs)
+        for c in "abc":
+            assert np.allclose(got[c], np.quantile(want[c], probs), rtol=1e-12, atol=1e-12), (c, how)
+    assert bracketed_quantiles(df.limit(0), {"a": [0.5]}) == {"a": [None]}
+    assert bracketed_quantiles(df, {"a": []}) == {"a": []}
+
+
+def test_ranks_outside_their_bracket_are_found(spark, monkeypatch):
+    from slotwise.operators import quantiles as QT
+
+    df = spark.range(1000).selectExpr("cast(id as double) x")
+    real, tries = QT._values_at, []
+
+    def misled(data, x, brackets, ranks):
+        tries.append(1)
+        if len(tries) == 1:  # a sketch that points elsewhere
+            for b in brackets:
+                b.low, b.high = 10.0, 20.0
+        return real(data, x, brackets, ranks)
+
+    monkeypatch.setattr(QT, "_values_at", misled)
+    assert QT.bracketed_quantiles(df, {"x": [0.5, 0.015]})["x"] == [499.5, 14.985]
+    assert len(tries) == 2
+
+
+def test_duplicates_by_hash_are_exact(spark, monkeypatch):
+    nan = float("nan")
+    rows = [(1, None, 0.0), (1, None, -0.0), (None, 1, 0.0), (2, 2, nan), (2, 2, nan), (2, 2, nan), (3, 3, 1.0), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "a int, b int, c double")
+    plain = lambda d: d.groupBy(*d.columns).count().selectExpr("sum(count - 1)").first()[0]
+    assert Q.duplicate_rows(df).first()[0] == plain(df) == 4
+    monkeypatch.setattr(Q, "_row_hashes", lambda d, c: (F.lit(7).cast("long"), F.lit(7).cast("long")))  # every row collides
+    assert Q.duplicate_rows(df).first()[0] == 4
+    monkeypatch.setattr(Q, "REPEATED_BROADCAST", 0)
+    assert Q.duplicate_rows(df).first()[0] == 4
+    assert Q.duplicate_rows(df.limit(0)).first()[0] == 0
