@@ -191,3 +191,23 @@ def test_vector_query(spark):
     got = {r.vec_id: r for r in vector_codes.op12_vector_codes(spark, SF001).collect()}
     assert [got[i].code for i, _, _ in rows] == codes and [got[i].error for i, _, _ in rows] == errors
     assert {r.codebooks_sha256 for r in got.values()} == {digest}
+
+
+# ---- ties of the N-best pieces -------------------------------------------------------------------------------
+
+
+def test_tied_pieces_end_and_cost_what_enumeration_says():
+    from slotwise.llm.sentencepiece_nbest import Vocabulary
+
+    pieces = Vocabulary.load()
+    assert len(pieces.n_best("aaaaaaa|" * 1000, 4)) == 4
+
+    def every(word):
+        arcs = pieces.lattice(word)
+        ways = [[0]] + [[] for _ in word]
+        for end in range(1, len(word) + 1):
+            ways[end] = [cost + before for start, cost, _ in arcs[end] for before in ways[start]]
+        return sorted(ways[-1])
+
+    for word in ("aaaaaaa|", "aaaa|aaaa|", "ababab", "|||||"):
+        assert [cost for cost, _ in pieces.n_best(word, 6)] == every(word)[:6]
