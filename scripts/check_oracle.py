@@ -46,7 +46,7 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
     load_all()
-    spark = get_session("local[8]", shuffle_partitions=8, conf={"spark.ui.showConsoleProgress": "false"})
+    spark = get_session("local[8]", shuffle_partitions=8, conf={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")

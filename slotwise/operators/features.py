@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.operators.panel import FILL
 from slotwise.schemas import HOUR, LAG_HOURS, ROLLING_HOURS, TARGET, ZONE
 
 
@@ -101,20 +102,23 @@ def build_features(
 ) -> DataFrame:
     """F1 -> F2 -> F3 on a dense panel: the full feature table.
 
-    The fill mean (window on zone, hour_of_day) is computed first so the lag
-    and rolling columns share one sort on (zone, hour); all three windows run
-    on the panel's zone partitioning without another exchange.
+    A panel built ``with_fill`` brings the fill mean of every row; the panel is
+    then sorted once, by (zone, hour), for the join, the lags and the rolling
+    sums.  Any other panel gets it from a window on (zone, hour_of_day).  All
+    windows run on the panel's zone partitioning without another exchange.
     """
-    fill = Window.partitionBy(zone_col, "hour_of_day")
-    src = F.col(target)
-    if fill_until is not None:
-        src = F.when(F.col(HOUR) < F.lit(fill_until).cast("timestamp_ntz"), src)
-    with_fill = panel.select("*", F.avg(src).over(fill).alias("__fill"))
+    with_fill = panel
+    if FILL not in panel.columns:
+        fill = Window.partitionBy(zone_col, "hour_of_day")
+        src = F.col(target)
+        if fill_until is not None:
+            src = F.when(F.col(HOUR) < F.lit(fill_until).cast("timestamp_ntz"), src)
+        with_fill = panel.select("*", F.avg(src).over(fill).alias(FILL))
     w = _zone_window(zone_col)
     lagged = with_fill.select(
-        *panel.columns,
+        *[c for c in panel.columns if c != FILL],
         *[
-            F.coalesce(F.lag(target, n).over(w).cast("double"), F.col("__fill")).alias(f"{target}_lag_{n}h")
+            F.coalesce(F.lag(target, n).over(w).cast("double"), F.col(FILL)).alias(f"{target}_lag_{n}h")
             for n in LAG_HOURS
         ],
     )

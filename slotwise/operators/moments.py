@@ -235,6 +235,19 @@ def train_fit(labelled: DataFrame, alpha: float = 0.0, split: str = "train", fea
     return total(collect_moments(labelled.filter(F.col("split") == split), ["split"], features).values()).fit(alpha)
 
 
+def honest_retrain(labelled: DataFrame, alpha: float = 0.0, features: Sequence[str] = FEATURE_COLS) -> tuple[DataFrame, LinearFit]:
+    """J10 from one scan of moments: fit train -> score val; fit train + val -> score test; fit all.
+
+    Returns (split, five metrics, n) of the two scored stages and the fit on every row.
+    """
+    parts = {k[0]: m for k, m in collect_moments(labelled, ["split"], features).items()}
+    grown = total([parts["train"], parts["val"]])
+    fits = {("val", "val"): parts["train"].fit(alpha), ("test", "test"): grown.fit(alpha)}
+    held = labelled.filter(F.col("split").isin("val", "test"))
+    metrics = regression_metrics(score(held, fits, ["split"], ["stage"]), ["stage"]).withColumnRenamed("stage", "split")
+    return metrics, total([grown, parts["test"]]).fit(alpha)
+
+
 def split_comparison(tagged: DataFrame, holdouts: Mapping[str, str], alpha: float = 0.0, features: Sequence[str] = FEATURE_COLS) -> DataFrame:
     """(method, mae, mae_std, rmse, r2) of temporal CV, hold-outs and shuffled CV.
 

@@ -26,6 +26,9 @@ from slotwise.functions.calendar import floor_hour, with_calendar
 from slotwise.session import cut_lineage
 from slotwise.schemas import HOLIDAYS_JAN_2025, HOUR, MIN_ACTIVE_HOURS, PICKUP, RUSH_HOURS, TARGET, ZONE
 
+#: Columns that carry F2's fill means: 24 per zone, and the one of a row's hour of day.
+FILLS, FILL = "__fills", "__fill"
+
 
 def hourly_demand(
     trips: DataFrame, zone_col: str = ZONE, ts_col: str = PICKUP, target: str = TARGET
@@ -97,18 +100,59 @@ def hour_bounds(cells: DataFrame, hour_col: str = HOUR) -> tuple:
     return lo, hi
 
 
+def _hour_column(value) -> F.Column:
+    return value if isinstance(value, F.Column) else F.lit(str(value)).cast("timestamp_ntz")
+
+
 def calendar_grid(zones: DataFrame, lo, hi, zone_col: str = ZONE) -> DataFrame:
     """Every zone times every hour in ``[lo, hi]``.
 
     ``lo``/``hi`` are columns (scalar subqueries) or literal timestamps; the
     product is generated per zone row, so it is spread over the zones'
-    partitions and keeps their partitioning.
+    partitions and keeps their partitioning.  Zones that carry their fill means
+    (:func:`zone_fills`) give each row the mean of its hour of day as ``__fill``.
+    """
+    carried = [FILLS] if FILLS in zones.columns else []
+    grid = zones.select(
+        zone_col, *carried, F.explode(F.sequence(_hour_column(lo), _hour_column(hi), F.expr("INTERVAL 1 HOUR"))).alias(HOUR)
+    )
+    if not carried:
+        return grid
+    return grid.select(zone_col, HOUR, F.element_at(FILLS, F.hour(HOUR) + 1).alias(FILL))
+
+
+def zone_fills(
+    cells: DataFrame,
+    lo,
+    hi,
+    min_active_hours: int = MIN_ACTIVE_HOURS,
+    zone_col: str = ZONE,
+    target: str = TARGET,
+    fill_until: str | None = None,
+) -> DataFrame:
+    """Active zones (C5) with their 24 fill means (F2) as one array, from one aggregate of the cells.
+
+    The mean demand of a zone at an hour of day over the dense calendar is the sum
+    over its observed cells divided by the number of calendar hours ``[lo, hi]``
+    with that hour of day, so the dense panel needs no window for it.  With
+    ``fill_until`` only hours before it count; without such hours the mean is null.
     """
-    lo_c = lo if isinstance(lo, F.Column) else F.lit(str(lo)).cast("timestamp_ntz")
-    hi_c = hi if isinstance(hi, F.Column) else F.lit(str(hi)).cast("timestamp_ntz")
-    return zones.select(
-        zone_col, F.explode(F.sequence(lo_c, hi_c, F.expr("INTERVAL 1 HOUR"))).alias(HOUR)
+    last = _hour_column(hi)
+    counted = F.lit(True)
+    if fill_until is not None:
+        until = _hour_column(fill_until)
+        counted = F.col(HOUR) < until
+        last = F.least(last, until - F.expr("INTERVAL 1 HOUR"))
+    sums = [F.sum(F.when(counted & (F.hour(HOUR) == h), F.col(target))).alias(f"__sum_{h}") for h in range(24)]
+    per_zone = cells.groupBy(zone_col).agg(F.count_if(F.col(target) > 0).alias("active_hours"), *sums)
+    spanned = per_zone.filter(F.col("active_hours") >= min_active_hours).select(
+        "*", F.hour(_hour_column(lo)).alias("__start"), (F.timestamp_diff("HOUR", _hour_column(lo), last) + 1).alias("__hours")
     )
+    means = []
+    for h in range(24):
+        times = F.greatest(F.floor((F.col("__hours") - 1 - F.pmod(F.lit(h) - F.col("__start"), F.lit(24))) / 24.0) + 1, F.lit(0))
+        means.append(F.try_divide(F.coalesce(F.col(f"__sum_{h}"), F.lit(0)).cast("double"), times))
+    return spanned.select(zone_col, F.array(*means).alias(FILLS))
 
 
 def fill_missing_hours(
@@ -132,8 +176,9 @@ def fill_missing_hours(
     if zones is None:
         zones = cells.select(zone_col).distinct()
     grid = calendar_grid(zones, lo, hi, zone_col)
+    carried = [FILL] if FILL in grid.columns else []
     dense = grid.join(cells, [zone_col, HOUR], "left").select(
-        zone_col, HOUR, F.coalesce(F.col(target), F.lit(0)).cast("long").alias(target)
+        zone_col, HOUR, F.coalesce(F.col(target), F.lit(0)).cast("long").alias(target), *carried
     )
     return with_calendar(dense, HOUR, holidays, rush_hours)
 
@@ -147,6 +192,8 @@ def build_panel(
     holidays: Iterable[str] = HOLIDAYS_JAN_2025,
     rush_hours: Iterable[int] = RUSH_HOURS,
     materialize: bool = True,
+    with_fill: bool = False,
+    fill_until: str | None = None,
 ) -> DataFrame:
     """E0 -> C5 -> D2 -> D3 with the inactive-zone filter moved first.
 
@@ -160,13 +207,19 @@ def build_panel(
     a lost executor re-reads the small cell table instead of rescanning
     trips.  Both join sides are then hash-partitioned by zone, which also
     serves every per-zone window of the feature build.
+
+    ``with_fill`` adds the fill mean of every row (``__fill``, see
+    :func:`zone_fills`), which ``build_features`` then uses instead of a window.
     """
     cells = hourly_demand(trips, zone_col, ts_col, target)
     if materialize:
         cells = cut_lineage(cells)
     lo, hi = hour_bounds(cells)
     by_zone = cells.repartition(zone_col)
-    keep = active_zones(by_zone, min_active_hours, zone_col, target)
+    if with_fill:
+        keep = zone_fills(by_zone, lo, hi, min_active_hours, zone_col, target, fill_until)
+    else:
+        keep = active_zones(by_zone, min_active_hours, zone_col, target)
     return fill_missing_hours(by_zone, keep, lo, hi, zone_col, target, holidays, rush_hours)
 
 

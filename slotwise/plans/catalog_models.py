@@ -8,6 +8,8 @@ gets the driver's rows-only check.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from slotwise.operators import models as M
@@ -24,10 +26,11 @@ from slotwise.operators.metrics import (
     to_long,
 )
 from slotwise.plans import common as C
+from slotwise.plans.evaluation import tune_and_retrain
 from slotwise.plans.linear_sql import fit_ctes, forecast
 from slotwise.plans.registry import register, round_doubles
 from slotwise.schemas import FEATURE_COLS, TARGET
-from slotwise.session import cut_lineage
+from slotwise.session import cut_lineage, ensure_checkpoint_dir
 
 P = C.PROFILE
 FEAT = C.PIPELINE_CTES
@@ -277,3 +280,49 @@ def q_split_method_comparison(spark, sf_dir):
     both = SP.window_split(both, P.alt_val_start, P.alt_val_end).withColumnRenamed("split", "window")
     tagged = cut_lineage(both.drop("hour"))
     return MO.split_comparison(tagged, {"temporal_holdout": "holdout", "temporal_window": "window"})
+
+
+_RANDOM = f"""ranked AS (SELECT *, row_number() OVER (ORDER BY {HASH_SQL}, PULocationID, hour) - 1 AS pos, count(*) OVER () AS n FROM features),
+labelled AS MATERIALIZED (SELECT *, CASE WHEN pos < ceil(n * 0.2) THEN 'test' WHEN pos < ceil(n * 0.2) + ceil((n - ceil(n * 0.2)) * 0.25) THEN 'val' ELSE 'train' END AS split FROM ranked),
+first_part AS (SELECT * FROM labelled WHERE split = 'train'),
+both_parts AS (SELECT * FROM labelled WHERE split <> 'test')"""
+
+
+@register(
+    "linear_honest_retrain",
+    FEAT
+    + f""", {_RANDOM},
+{fit_ctes("one", "first_part")},
+{fit_ctes("two", "both_parts")},
+preds AS (SELECT split, demand, {forecast("one")} AS prediction FROM labelled, one WHERE split = 'val'
+  UNION ALL SELECT split, demand, {forecast("two")} FROM labelled, two WHERE split = 'test')
+SELECT split, {_metric_sql('prediction')}, count(*) AS n FROM preds GROUP BY 1""",
+)
+def q_linear_honest_retrain(spark, sf_dir):
+    """J10 with OLS on the random 60/20/20 split: train -> val, train + val -> test, from one scan of moments."""
+    columns = [*dict.fromkeys([*FEATURE_COLS, "hour", TARGET])]
+    labelled = SP.random_split(C.features_cut(spark, sf_dir, columns=columns), P.seed)
+    metrics, _ = MO.honest_retrain(cut_lineage(labelled.select(*FEATURE_COLS, TARGET, "split")))
+    return round_doubles(metrics)
+
+
+#: Search space of the registered searches: small, so that the correctness run stays short.
+SEARCH = {"n_trials": 3, "max_bins": 32, "space": {"trees": (5, 15, 5), "depth": (3, 6), "leaf": (1, 20)}}
+
+
+def _search(spark, sf_dir, time_folds: bool):
+    columns = [*dict.fromkeys([*FEATURE_COLS, "hour", TARGET])]
+    log = f"{ensure_checkpoint_dir(spark)}/trials-{uuid.uuid4().hex}"
+    return tune_and_retrain(C.features_cut(spark, sf_dir, columns=columns), P, **SEARCH, time_folds=time_folds, log=log)
+
+
+@register("forest_search")
+def q_forest_search(spark, sf_dir):
+    """Three forests drawn from a small space, shuffled folds of the train rows, best first."""
+    return round_doubles(_search(spark, sf_dir, False)[0])
+
+
+@register("forest_search_retrained")
+def q_forest_search_retrained(spark, sf_dir):
+    """J9 over expanding folds, then J10: the best forest scored on val and, fitted on train + val, on test."""
+    return round_doubles(_search(spark, sf_dir, True)[1])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions.calendar import duration_minutes
 from slotwise.operators.quality import (
     describe,
+    drop_sparse_by_decision,
     duplicate_rows,
     joint_missingness,
     key_validity,
@@ -20,6 +23,7 @@ from slotwise.operators.quality import (
 from slotwise.plans import common as C
 from slotwise.plans.registry import register, round_doubles
 from slotwise.schemas import DROP_NULL_PCT, DROPOFF, PICKUP, ZONE
+from slotwise.session import ensure_checkpoint_dir
 from slotwise.sources import testdata
 
 NAMED_TRIP_COLS = [
@@ -69,6 +73,21 @@ def q_sparse_columns(spark, sf_dir):
     )
 
 
+_LATER = "TIMESTAMP '2024-01-15'"
+
+
+@register(
+    "sparse_columns_dropped",
+    NAMED_CTES + f"SELECT trip_id, {PICKUP}, {ZONE}, trip_distance, fare_amount, passenger_count, payment_type FROM named WHERE {PICKUP} >= {_LATER}",
+)
+def q_sparse_columns_dropped(spark, sf_dir):
+    """C4: the first half month decides which columns are too sparse; the second half loses the same ones."""
+    named = named_trips(spark, sf_dir)
+    decision = f"{ensure_checkpoint_dir(spark)}/sparse-{uuid.uuid4().hex}"
+    drop_sparse_by_decision(named.filter(F.expr(f"{PICKUP} < {_LATER}")), decision)
+    return drop_sparse_by_decision(named.filter(F.expr(f"{PICKUP} >= {_LATER}")), decision)
+
+
 _JOINT = ["Zone", "Borough", "passenger_count"]
 _jn = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in _JOINT)
 

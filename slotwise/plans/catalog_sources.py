@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from slotwise.operators.lookup import build_lookup
 from slotwise.operators.panel import hourly_demand
 from slotwise.plans import common as C
 from slotwise.plans.catalog_serving import BASE, LOOKUP_DIGITS
-from slotwise.plans.feature_build import write_features
+from slotwise.plans.feature_build import append_dates, build_base, write_features
 from slotwise.plans.registry import register, round_doubles
 from slotwise.schemas import HOUR, PICKUP, TARGET, TRIP_SCHEMA, ZONE
 from slotwise.session import ensure_checkpoint_dir
@@ -83,6 +84,41 @@ def q_feature_sink_slice(spark, sf_dir):
     return round_doubles(week.select(ZONE, HOUR, TARGET, "demand_lag_168h"))
 
 
+#: Activity threshold of the three weeks before the first appended date.
+GROWN_ACTIVE = 24
+_GROWN_CTES = C.with_ctes(C.CTE_TRIPS, C.CTE_CLEAN, C.CTE_CELLS) + f""", bounds AS (
+  SELECT min(hour) AS lo, date_trunc('day', max(hour)) + INTERVAL 23 HOUR AS hi FROM cells),
+chosen AS (SELECT {ZONE} FROM cells WHERE hour < TIMESTAMP '{P.val_start}' GROUP BY 1 HAVING count(*) >= {GROWN_ACTIVE}),
+panel AS (SELECT g.{ZONE}, g.hour, CAST(coalesce(c.demand, 0) AS BIGINT) AS demand, {C.calendar_sql('g.hour')}
+  FROM (SELECT z.{ZONE}, unnest(generate_series(b.lo, b.hi, INTERVAL 1 HOUR)) AS hour FROM chosen z CROSS JOIN bounds b) g
+  LEFT JOIN cells c ON g.{ZONE} = c.{ZONE} AND g.hour = c.hour),
+""" + C.CTE_FEATURES.replace(
+    f"avg(demand) OVER (PARTITION BY {ZONE}, hour_of_day)",
+    f"avg(CASE WHEN hour < TIMESTAMP '{P.val_start}' THEN demand END) OVER (PARTITION BY {ZONE}, hour_of_day)",
+)
+
+
+@register(
+    "features_appended",
+    _GROWN_CTES
+    + f"""SELECT {ZONE}, hour, demand, hour_of_day, day_of_week, is_weekend, is_rush_hour, is_holiday,
+  round(demand_lag_1h, 6) AS demand_lag_1h, round(demand_lag_24h, 6) AS demand_lag_24h,
+  round(demand_lag_168h, 6) AS demand_lag_168h, round(demand_rolling_3h, 6) AS demand_rolling_3h,
+  round(demand_rolling_168h, 6) AS demand_rolling_168h FROM features""",
+)
+def q_features_appended(spark, sf_dir):
+    """F1-F3 + A5, incremental: three weeks built at once, a week and then single dates appended; the SQL builds all at once."""
+    trips, path = C.trips(spark, sf_dir), _path(spark, "grown")
+    build_base(trips, path, P, P.val_start, GROWN_ACTIVE)
+    newest = C.clean(spark, sf_dir).agg(F.to_date(F.max(PICKUP)).alias("d")).first()["d"]
+    day = dt.date.fromisoformat(P.test_start)
+    append_dates(trips, path, P, P.val_start, str(day - dt.timedelta(days=1)))
+    while day <= newest:
+        append_dates(trips, path, P, str(day), str(day))
+        day += dt.timedelta(days=1)
+    return round_doubles(read_feature_table(spark, path).drop("date"))
+
+
 @register("lookup_sink", BASE + f"SELECT {ZONE}, hour_of_day, day_of_week, round(mean_demand, 6) AS mean_demand FROM lookup")
 def q_lookup_sink(spark, sf_dir):
     """The lookup table written and read back."""

@@ -31,17 +31,18 @@ def cells(spark: SparkSession, sf_dir: str, profile: Profile = PROFILE) -> DataF
     return hourly_demand(clean(spark, sf_dir, profile), ZONE, PICKUP)
 
 
-def panel(spark: SparkSession, sf_dir: str, profile: Profile = PROFILE) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, profile: Profile = PROFILE, with_fill: bool = False) -> DataFrame:
     return build_panel(
         clean(spark, sf_dir, profile),
         min_active_hours=profile.min_active_hours,
         holidays=profile.holidays,
         rush_hours=profile.rush_hours,
+        with_fill=with_fill,
     )
 
 
 def features(spark: SparkSession, sf_dir: str, profile: Profile = PROFILE) -> DataFrame:
-    return build_features(panel(spark, sf_dir, profile))
+    return build_features(panel(spark, sf_dir, profile, with_fill=True))
 
 
 def features_cut(
