@@ -95,9 +95,8 @@ def zone_filter_report(
 
 def hour_bounds(cells: DataFrame, hour_col: str = HOUR) -> tuple:
     """Global first and last hour as scalar-subquery columns (no action)."""
-    lo = cells.select(F.min(hour_col)).scalar()
-    hi = cells.select(F.max(hour_col)).scalar()
-    return lo, hi
+    both = cells.select(F.struct(F.min(hour_col).alias("lo"), F.max(hour_col).alias("hi"))).scalar()
+    return both["lo"], both["hi"]
 
 
 def _hour_column(value) -> F.Column:
@@ -130,29 +129,32 @@ def zone_fills(
     target: str = TARGET,
     fill_until: str | None = None,
 ) -> DataFrame:
-    """Active zones (C5) with their 24 fill means (F2) as one array, from one aggregate of the cells.
+    """Active zones (C5) with their 24 fill means (F2) as one array, from the cells.
 
     The mean demand of a zone at an hour of day over the dense calendar is the sum
     over its observed cells divided by the number of calendar hours ``[lo, hi]``
     with that hour of day, so the dense panel needs no window for it.  With
     ``fill_until`` only hours before it count; without such hours the mean is null.
     """
+    counted = F.lit(True) if fill_until is None else F.col(HOUR) < _hour_column(fill_until)
+    by_hour = cells.groupBy(zone_col, F.hour(HOUR).alias("__h")).agg(
+        F.count_if(F.col(target) > 0).alias("__active"), F.sum(F.when(counted, F.col(target))).alias("__sum")
+    )
+    per_zone = by_hour.groupBy(zone_col).agg(
+        F.sum("__active").alias("__active"), F.map_from_entries(F.collect_list(F.struct("__h", "__sum"))).alias("__sums")
+    ).filter(F.col("__active") >= min_active_hours)
     last = _hour_column(hi)
-    counted = F.lit(True)
     if fill_until is not None:
-        until = _hour_column(fill_until)
-        counted = F.col(HOUR) < until
-        last = F.least(last, until - F.expr("INTERVAL 1 HOUR"))
-    sums = [F.sum(F.when(counted & (F.hour(HOUR) == h), F.col(target))).alias(f"__sum_{h}") for h in range(24)]
-    per_zone = cells.groupBy(zone_col).agg(F.count_if(F.col(target) > 0).alias("active_hours"), *sums)
-    spanned = per_zone.filter(F.col("active_hours") >= min_active_hours).select(
-        "*", F.hour(_hour_column(lo)).alias("__start"), (F.timestamp_diff("HOUR", _hour_column(lo), last) + 1).alias("__hours")
+        last = F.least(last, _hour_column(fill_until) - F.expr("INTERVAL 1 HOUR"))
+    spanned = per_zone.select(zone_col, "__sums", _hour_column(lo).alias("__lo"), last.alias("__last")).select(
+        zone_col, "__sums", F.hour("__lo").alias("__start"), F.timestamp_diff("HOUR", F.col("__lo"), F.col("__last")).alias("__span")
     )
-    means = []
-    for h in range(24):
-        times = F.greatest(F.floor((F.col("__hours") - 1 - F.pmod(F.lit(h) - F.col("__start"), F.lit(24))) / 24.0) + 1, F.lit(0))
-        means.append(F.try_divide(F.coalesce(F.col(f"__sum_{h}"), F.lit(0)).cast("double"), times))
-    return spanned.select(zone_col, F.array(*means).alias(FILLS))
+
+    def mean(h: F.Column) -> F.Column:
+        times = F.floor((F.col("__span") - F.pmod(h - F.col("__start"), F.lit(24))) / 24.0) + 1
+        return F.try_divide(F.coalesce(F.col("__sums")[h], F.lit(0)).cast("double"), F.greatest(times, F.lit(0)))
+
+    return spanned.select(zone_col, F.transform(F.sequence(F.lit(0), F.lit(23)), mean).alias(FILLS))
 
 
 def fill_missing_hours(
