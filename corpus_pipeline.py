@@ -30,10 +30,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near duplicates."""
-    classes = ngram_join.jaccard_join(docs.select("doc_id", "text"))
-    gone = classes.filter(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row, the one with the smallest doc_id, of each group of near duplicates.
+
+    Rows are told apart by a number written with them, not by doc_id: ids that repeat or
+    are null lose no text, and repeated rows are a group like any other.
+    """
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+    classes = ngram_join.jaccard_join(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "class_id")
+    firsts = classes.join(rows.select("__row", "doc_id"), "__row").groupBy("class_id").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    return rows.join(firsts.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
