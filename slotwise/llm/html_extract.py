@@ -11,7 +11,9 @@ Pages are independent, so the Spark side is a narrow map; a page needs memory
 in proportion to its own size only.
 
 Defined cases: a null or blank page and a page without content give an empty
-text; unclosed, misnested and truncated markup is read as far as it goes.
+text; unclosed, misnested and truncated markup is read as far as it goes: a
+control that is never closed hides nothing, a "<" that opens no tag is text.
+Reading takes time in proportion to the page, however deep it is nested.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ SILENT_TAGS = frozenset("head script style noscript template svg math iframe obj
 RAW_TAGS = frozenset("script style noscript template svg math iframe textarea title".split())
 #: Start tags that can stand in a head; any other, and text, ends an open head as its end tag may be left out.
 HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Tags inside which an item or paragraph of the surrounding element stays open.
+SCOPE_TAGS = frozenset("ul ol dl table div section article aside main nav body".split())
+ITEM_TAGS = ("li", "dt", "dd", "tr", "option")
+#: Controls and embedded objects: silent only if the page closes them.
+CLOSED_TAGS = SILENT_TAGS - RAW_TAGS - {"head"}
 SPACING_TAGS = frozenset("br td th img hr".split())
 # fixed values: tags and class words that tell boilerplate or content
 BAD_TAGS = frozenset("nav footer aside form header menu dialog fieldset search".split())
@@ -51,26 +58,31 @@ BAD_WORDS = frozenset(
 GOOD_WORDS = frozenset("article articlebody content entry main post story text body".split())
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<(?!(?:svg|math)\b(?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+(?<=/)>)"  # self-closed svg and math hold nothing
     r"(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?>[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z)"
-    r"|<[!?][^>]*+(?:>|\Z)",
+    r"|<[!?][^>]*+(?:>|\Z)"
+    r"|</(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))",
     re.S | re.I,
 )
+_CLOSERS = re.compile("</(" + "|".join(sorted(CLOSED_TAGS)) + r")\b", re.I)
 _ATTR = re.compile(r"([a-zA-Z_:@-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"[.!?:;,…。！？]")
 
 
 class _Node:
-    """An open element: its tag, parent, depth and signals."""
+    """An element: tag, parent, depth, nearest block and scope (itself included), and signals."""
 
-    __slots__ = ("tag", "parent", "depth", "bad", "good", "chars", "heading", "hidden")
+    __slots__ = ("tag", "parent", "depth", "block", "scope", "bad", "good", "chars", "heading", "hidden", "signal")
 
     def __init__(self, tag: str, parent: _Node | None, attrs: str = ""):
         self.tag, self.parent, self.depth = tag, parent, 0 if parent is None else parent.depth + 1
+        self.block = self if parent is None or tag in BLOCK_TAGS else parent.block
+        self.scope = self if parent is None or tag in SCOPE_TAGS else parent.scope
         self.chars, self.heading, self.hidden = 0, False, False
+        self.signal = (False, False, False)
         self.bad, self.good = tag in BAD_TAGS, tag in GOOD_TAGS
         if attrs and ("=" in attrs or "hidden" in attrs):
             for key, value in _ATTR.findall(attrs):
@@ -97,7 +109,9 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
     root = _Node("#root", None)
-    node, owner, links, silent = root, root, 0, 0
+    nodes, node, owner, links, silent = [root], root, root, 0, 0
+    opened: dict[str, list[_Node]] = {}
+    closed_at = _last_ends(page)
     parts: list[str] = []
     linked = 0
     out: list[Block] = []
@@ -108,16 +122,18 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 out.append(Block(text, owner, linked))
-                up = owner
-                while up is not None:
-                    up.chars += len(text)
-                    up = up.parent
+                owner.chars += len(text)
         parts, linked = [], 0
 
+    def innermost(name: str) -> _Node:
+        found = opened.get(name)
+        return found[-1] if found else root
+
     def close(target: _Node) -> None:
         nonlocal node, silent, links
-        while True:
+        while target is not root:
             top, node = node, node.parent
+            opened[top.tag].pop()
             silent -= top.tag in SILENT_TAGS
             links -= top.tag == "a"
             if top is target:
@@ -132,10 +148,7 @@ def blocks_of(page: str) -> list[Block]:
         if not parts:
             if not text.strip():
                 return
-            up = node
-            while up.tag not in BLOCK_TAGS and up.parent is not None:
-                up = up.parent
-            owner = up
+            owner = node.block
         parts.append(text)
         if links:
             linked += len(text)
@@ -149,58 +162,77 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
-        if name in SPACING_TAGS:
-            said(" ") if parts else None
+        if name in SPACING_TAGS and parts:
+            said(" ")
         if m.group("end"):
+            target = innermost(name)
             if name in BLOCK_TAGS:
                 flush()
-            up = node
-            while up.parent is not None and up.tag != name:
-                if name not in BLOCK_TAGS and up.tag in BLOCK_TAGS:  # an inline end tag does not close blocks
-                    up = root
-                    break
-                up = up.parent
-            if up.parent is not None:
-                close(up)
+                close(target)
+            elif target.depth > node.block.depth:  # an inline end tag does not close blocks
+                close(target)
             continue
         if silent and name not in HEAD_TAGS:
-            up = node
-            while up.parent is not None and up.tag != "head":
-                up = up.parent
-            if up.parent is not None:
-                close(up)
+            close(innermost("head"))
+        if name == "button":
+            close(innermost("button"))
         if name in BLOCK_TAGS:
             flush()
             # a new block ends an open paragraph; an item ends the item before it
-            ends = ("p",) if name not in ("li", "dt", "dd", "tr", "option") else ("p", "li", "dt", "dd", "tr", "option")
-            up = node
-            while up.parent is not None and up.tag not in ("ul", "ol", "dl", "table", "div", "section", "article", "aside", "main", "nav", "body"):
-                if up.tag in ends:
-                    close(up)
-                    break
-                up = up.parent
+            ends = ("p", *ITEM_TAGS) if name in ITEM_TAGS else ("p",)
+            target = max((innermost(t) for t in ends), key=lambda x: x.depth)
+            if target.depth > node.scope.depth:
+                close(target)
             if name == "h1":
-                up = node
-                while up is not None:
-                    up.heading = True
-                    up = up.parent
-        if name in VOID_TAGS or m.group("attrs").rstrip().endswith("/"):
+                node.heading = True
+        if name in VOID_TAGS or m.group("attrs").rstrip().endswith("/") or (name in CLOSED_TAGS and closed_at[name] < at):
             continue
         node = _Node(name, node, m.group("attrs"))
+        nodes.append(node)
+        opened.setdefault(name, []).append(node)
         silent += name in SILENT_TAGS
         links += name == "a"
-    said(page[at:]) if not page[at:].startswith("<") else None
+    said(page[at:])
     flush()
+    _set_signals(nodes)
     return out
 
 
+def _last_ends(page: str) -> dict[str, int]:
+    """Position of the last end tag of each control or embedded object, -1 without one."""
+    found = dict.fromkeys(CLOSED_TAGS, -1)
+    for m in _CLOSERS.finditer(page):
+        found[m.group(1).lower()] = m.start()
+    return found
+
+
+def _set_signals(nodes: list[_Node]) -> None:
+    """(boilerplate container, content container, hidden) of every element, ancestors included.
+
+    Characters and headings are summed up the tree, signals handed down; parents stand
+    before their children.  A boilerplate name on a container of the page's heading or of
+    most of its text names the layout, not the text, and does not count.
+    """
+    for x in reversed(nodes[1:]):
+        x.parent.chars += x.chars
+        x.parent.heading = x.parent.heading or x.heading
+    total = nodes[0].chars
+    for x in nodes[1:]:
+        bad, good, hidden = x.parent.signal
+        if x.bad:
+            fixed = x.tag in ("nav", "footer", "aside")
+            most = x.chars > 0.6 * total
+            own_heading = x.heading and (x.tag == "header" or x.chars > 0.3 * total)
+            bad = bad or fixed or not (most or own_heading)
+        x.signal = (bad, good or (x.good and x.tag != "body"), hidden or x.hidden)
+
+
 def scores_of(blocks: list[Block]) -> list[float]:
     """Log-odds that a block is content (fixed weights)."""
-    total = sum(len(b.text) for b in blocks)
-    marked = any(_signal(b.node, total)[1] for b in blocks)
+    marked = any(b.node.signal[1] for b in blocks)
     out = []
     for b in blocks:
-        bad, good, hidden = _signal(b.node, total)
+        bad, good, hidden = b.node.signal
         n = len(b.text)
         score = -0.6 + min(n, 200) / 100 + 0.3 * min(len(_SENTENCE.findall(b.text)), 4) - 4.0 * min(1.0, b.linked / n)
         if b.node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"):
@@ -217,24 +249,6 @@ def scores_of(blocks: list[Block]) -> list[float]:
     return out
 
 
-def _signal(node: _Node, total: int) -> tuple[bool, bool, bool]:
-    """(boilerplate container, content container, hidden) among the ancestors.
-
-    A boilerplate name on a container of the page's heading or of most of its
-    text names the layout, not the text, and does not count.
-    """
-    bad = good = hidden = False
-    up = node
-    while up is not None:
-        hidden = hidden or up.hidden
-        good = good or (up.good and up.tag != "body")
-        if up.bad and not (up.chars > 0.6 * total and up.tag not in ("nav", "footer", "aside")):
-            own_heading = up.heading and (up.tag == "header" or up.chars > 0.3 * total) and up.tag not in ("nav", "footer", "aside")
-            bad = bad or not own_heading
-        up = up.parent
-    return bad, good, hidden
-
-
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours in the page, and neighbours under one DOM parent."""
     edges, last = [], {}
