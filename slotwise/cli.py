@@ -114,7 +114,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.shuffled:
             res = M.shuffled_cv(SP.shuffled_folds(trainval, profile.folds, profile.seed), factory, profile.folds, args.model)
         else:
-            res = M.time_series_cv(SP.time_series_folds(trainval, profile.folds), factory, profile.folds, args.model)
+            res = M.time_series_cv(SP.time_series_blocks(trainval, profile.folds), factory, profile.folds, args.model)
         res.show(truncate=False)
         fold_summary(res).show(truncate=False)
     elif args.cmd == "split-experiments":

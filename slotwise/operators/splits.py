@@ -9,11 +9,18 @@ an unpartitioned window over the data:
   or by the number of hash buckets, never by the data - get a running sum;
 * each row's position is its bucket offset plus its rank inside the bucket
   (a window partitioned by bucket).
+
+Labels need no position of every row.  A label changes at a few positions only
+(two for a train/val/test split, one per fold), and the key of the row at such
+a position separates the labels: :func:`labels_by_cuts` ranks only the rows of
+the buckets that hold a cut, and labels all rows by comparing their key with
+the few separating keys, without a window, join or shuffle of the table.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +70,41 @@ def _count(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
+def labels_by_cuts(df: DataFrame, bucket: Column, key: Column, cuts: Sequence[Column]) -> Column:
+    """Number of ``cuts`` (ascending 0-based positions in key order) at or before each row's position.
+
+    ``bucket`` must be a coarse, monotone function of ``key``.  The table is read once for the
+    bucket counts and once for the rows of the at most ``len(cuts)`` buckets that hold a cut;
+    only these are ranked.  The label itself is a comparison with the separating keys (one
+    row, a scalar subquery).  Rows of equal keys get one label, that of the first of them.
+    A cut at or beyond the number of rows is never reached.
+    """
+    if not cuts:
+        return F.lit(0)
+    keyed = df.select(bucket.alias("__b"), key.alias("__k"))
+    counts = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__b", "__n", F.coalesce(before, F.lit(0)).alias("__off"))
+    held = offsets.select("*", F.posexplode(F.array(*[c.cast("long") for c in cuts])).alias("__i", "__cut")).filter(
+        (F.col("__cut") >= F.col("__off")) & (F.col("__cut") < F.col("__off") + F.col("__n"))
+    )
+    # at most one row per cut
+    inside = keyed.join(F.broadcast(held.withColumnRenamed("__b", "__h")), F.col("__b").eqNullSafe(F.col("__h")))
+    rank = F.row_number().over(Window.partitionBy("__i").orderBy("__k")) - 1
+    at_cut = inside.select("__i", "__k", (rank == F.col("__cut") - F.col("__off")).alias("__at")).filter("__at")
+    keys = at_cut.agg(F.struct(*[F.max(F.when(F.col("__i") == i, F.col("__k"))).alias(f"k{i}") for i in range(len(cuts))])).scalar()
+    label = F.lit(0)
+    for i in range(len(cuts)):
+        label = label + F.coalesce(key >= keys.getField(f"k{i}"), F.lit(False)).cast("int")
+    return label
+
+
+def _hash_labels(df: DataFrame, zone_col: str, hour_col: str, seed: int, cuts: Sequence[Column], prefix_hex: int = 4) -> Column:
+    """:func:`labels_by_cuts` in seeded hash order."""
+    h = hash_key(zone_col, hour_col, seed)
+    return labels_by_cuts(df, F.substring(h, 1, prefix_hex), h, cuts)
+
+
 def time_slice(df: DataFrame, start: str | None = None, end: str | None = None, hour_col: str = HOUR) -> DataFrame:
     """Rows with ``start <= hour < end`` (either bound optional).
 
@@ -139,14 +181,30 @@ def random_split(
     """Exact-size random train/val/test (e.g. 60/20/20) in seeded hash order.
 
     ``ceil(test_fraction * n)`` rows go to test, then ``ceil(val_fraction *
-    rest)`` to val.  Membership does not depend on partitioning.
+    rest)`` to val.  Membership does not depend on partitioning; rows of equal
+    (zone, hour) stay together.
     """
-    pos = hash_positions(df, zone_col, hour_col, seed)
     n = _count(df)
     n_test = F.ceil(n * F.lit(test_fraction))
     n_val = F.ceil((n - n_test) * F.lit(val_fraction))
-    split = F.when(F.col("pos") < n_test, "test").when(F.col("pos") < n_test + n_val, "val").otherwise("train")
-    return pos.select(*[F.col(f"`{c}`") for c in df.columns], split.alias("split"))
+    label = _hash_labels(df, zone_col, hour_col, seed, [n_test, n_test + n_val])
+    return df.select("*", F.element_at(F.array(F.lit("test"), F.lit("val"), F.lit("train")), label + 1).alias("split"))
+
+
+def time_series_blocks(df: DataFrame, k: int = CV_FOLDS, hour_col: str = HOUR, zone_col: str = ZONE) -> DataFrame:
+    """I4 as labels only: ``test_fold`` of :func:`time_series_folds`, without positions.
+
+    Fold f trains on the rows before its block: ``test_fold`` null or below f.
+    """
+    return df.select("*", block_label(df, k, hour_col, zone_col).alias("test_fold"))
+
+
+def block_label(df: DataFrame, k: int = CV_FOLDS, hour_col: str = HOUR, zone_col: str = ZONE) -> Column:
+    """The label of :func:`time_series_blocks` as a column for rows of ``df``."""
+    n = _count(df)
+    size = F.floor(n / F.lit(k + 1))
+    cuts = [n - F.lit(k - f) * size for f in range(k)]
+    return F.nullif(labels_by_cuts(df, F.col(hour_col), F.struct(hour_col, zone_col), cuts), F.lit(0))
 
 
 def time_series_folds(
@@ -189,14 +247,11 @@ def shuffled_folds(
 ) -> DataFrame:
     """K shuffled folds (0-based ``fold``); the first ``n mod k`` folds hold
     one row more, as in a shuffled K-fold."""
-    pos = hash_positions(df, zone_col, hour_col, seed)
     n = _count(df)
     q = F.floor(n / F.lit(k))
     r = n - q * F.lit(k)
-    big = r * (q + 1)
-    p = F.col("pos")
-    fold = F.when(p < big, F.floor(p / (q + 1))).otherwise(r + F.floor((p - big) / q)).cast("int")
-    return pos.select(*[F.col(f"`{c}`") for c in df.columns], fold.alias("fold"))
+    cuts = [F.lit(f) * q + F.least(F.lit(f), r) for f in range(1, k)]
+    return df.select("*", _hash_labels(df, zone_col, hour_col, seed, cuts).alias("fold"))
 
 
 def recombine(df: DataFrame, *splits: str) -> DataFrame:

@@ -121,7 +121,7 @@ def q_naive_cv_summary(spark, sf_dir):
     folds of the train+val rows (fold metrics rounded half-even to 4)."""
     cols = ["PULocationID", "hour", TARGET, *_CV_NAIVE.values()]
     trainval = C.features_cut(spark, sf_dir, columns=cols).filter(F.col("hour") < F.lit(P.test_start).cast("timestamp_ntz"))
-    folded = SP.time_series_folds(trainval, P.folds).filter(F.col("test_fold").isNotNull())
+    folded = SP.time_series_blocks(trainval, P.folds).filter(F.col("test_fold").isNotNull())
     preds = naive_predictions(folded.withColumnRenamed("test_fold", "fold"), _CV_NAIVE, keep=["fold"])
     per_fold = three_metrics(preds, ["model", "fold"])
     return fold_summary(per_fold)
@@ -232,7 +232,7 @@ sh_folds AS (SELECT fold, {_metric_sql('prediction', rnd='round({}, 4)')}, count
 @register("linear_time_series_cv", FEAT + f", {_TRAINVAL},\n{_FOLDED}\nSELECT 'linear_regression' AS model, fold, mae, rmse, r2 FROM ts_folds")
 def q_linear_time_series_cv(spark, sf_dir):
     """OLS on 5 expanding time folds of train+val from one scan of moments; per-fold MAE/RMSE/R^2."""
-    folds = cut_lineage(SP.time_series_folds(_trainval(spark, sf_dir), P.folds).select(*FEATURE_COLS, TARGET, "test_fold"))
+    folds = cut_lineage(SP.time_series_blocks(_trainval(spark, sf_dir), P.folds).select(*FEATURE_COLS, TARGET, "test_fold"))
     return MO.time_series_cv(folds, 0.0, "linear_regression")
 
 
@@ -268,11 +268,10 @@ UNION ALL SELECT method, mae, NULL, rmse, r2 FROM (SELECT method, {_metric_sql('
 def q_split_method_comparison(spark, sf_dir):
     """Temporal CV, the two temporal hold-outs and shuffled CV of OLS, all from one scan of moments."""
     data = C.features_cut(spark, sf_dir, columns=[*dict.fromkeys([*FEATURE_COLS, "hour", TARGET])])
-    keys = ["PULocationID", "hour"]
     inside = data.filter(F.col("hour") < F.lit(P.test_start).cast("timestamp_ntz"))
-    time_folds = SP.time_series_folds(inside, P.folds).select(*data.columns, "test_fold")
-    mixed = SP.shuffled_folds(inside.select(*keys), P.folds, P.seed)
-    labels = time_folds.join(mixed, keys).select(*data.columns, F.lit(True).alias("in_cv"), "test_fold", "fold")
+    mixed = SP.shuffled_folds(inside, P.folds, P.seed)
+    blocks = SP.block_label(inside, P.folds)
+    labels = mixed.select(*data.columns, F.lit(True).alias("in_cv"), blocks.alias("test_fold"), "fold")
     after = data.filter(F.col("hour") >= F.lit(P.test_start).cast("timestamp_ntz")).select(
         *data.columns, F.lit(False).alias("in_cv"), F.lit(None).cast("int").alias("test_fold"), F.lit(None).cast("int").alias("fold")
     )

@@ -76,3 +76,44 @@ def test_rank_ties_go_to_smaller_zone(spark):
     assert top == [2, 1]
     inten = {r["zone_id"]: r["map_intensity"] for r in S.zone_intensity(fc).collect()}
     assert inten[2] == 1.0 and abs(inten[4] - (1 / 7) ** 0.5) < 1e-12
+
+
+def test_labels_equal_positions(feats):
+    n, k = feats.count(), 7
+    pos = SP.hash_positions(feats).join(SP.random_split(feats), feats.columns).join(SP.shuffled_folds(feats, k), feats.columns)
+    tr, va, te = SP.split_sizes(n)
+    want = F.when(F.col("pos") < te, "test").when(F.col("pos") < te + va, "val").otherwise("train")
+    assert pos.filter(want != F.col("split")).count() == 0
+    edges = [sum(SP.fold_sizes(n, k)[:f]) for f in range(1, k)]
+    assert pos.filter(sum((F.col("pos") >= e).cast("int") for e in edges) != F.col("fold")).count() == 0
+    blocks = SP.time_series_blocks(feats, 5)
+    folds = SP.time_series_folds(feats, 5).select(*feats.columns, "test_fold")
+    assert blocks.schema["test_fold"].dataType == folds.schema["test_fold"].dataType
+    assert blocks.exceptAll(folds).count() == 0 and folds.exceptAll(blocks).count() == 0
+
+
+def test_labels_without_a_window_over_the_table(feats):
+    def nodes(plan):
+        yield plan.nodeName()
+        children = plan.children()
+        for i in range(children.size()):
+            yield from nodes(children.apply(i))
+
+    for labelled in (SP.random_split(feats), SP.shuffled_folds(feats), SP.time_series_blocks(feats)):
+        names = list(nodes(labelled._jdf.queryExecution().sparkPlan()))  # subqueries are no children
+        assert not [n for n in names if "Window" in n or "Join" in n or "Sort" in n or "Exchange" in n], names
+
+
+def test_labels_of_few_repeated_and_no_rows(spark):
+    schema = "PULocationID int, hour timestamp_ntz, demand int"
+    none = spark.createDataFrame([], schema)
+    assert SP.random_split(none).count() == SP.shuffled_folds(none, 5).count() == SP.time_series_blocks(none, 5).count() == 0
+    import datetime as dt
+
+    twice = spark.createDataFrame([(z, dt.datetime(2024, 1, 1, h), 0) for h in range(12) for z in (1, 1, 2, None)], schema)
+    for labelled, name in ((SP.random_split(twice), "split"), (SP.shuffled_folds(twice, 5), "fold"), (SP.time_series_blocks(twice, 5), "test_fold")):
+        assert labelled.count() == 48
+        together = labelled.groupBy("PULocationID", "hour").agg(F.count_distinct(F.coalesce(F.col(name).cast("string"), F.lit("-"))).alias("n"))
+        assert together.filter("n > 1").count() == 0  # equal rows stay together
+    three = twice.filter("PULocationID = 2 AND hour < '2024-01-01 03:00:00'")
+    assert [r[0] for r in SP.shuffled_folds(three, 5).select("fold").orderBy("fold").collect()] == [0, 1, 2]
