@@ -19,11 +19,14 @@ Likeness of two fingerprints: share of agreeing components among those that are
 not empty in both, to the power 1 / LENGTH; 1 if all are empty in both.
 
 Defined cases: a null text is empty; a text of fewer than ``KMER`` tokens is one
-k-mer; a text without tokens has only empty components.
+k-mer; a text without tokens has only empty components.  Ids may be any long, as far
+apart as they like, repeated or null (:func:`edited_pairs`).
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +40,13 @@ _POSITION = (1 << 20) - 1
 # Thai, Hiragana, Katakana and Han as code point ranges (cheaper than script lookups)
 _SINGLE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff"
 TOKEN = rf"[^\s{_SINGLE}]{{1,16}}|[{_SINGLE}]"
-#: Documents of one key range of :func:`with_next`, and keys that one task may order.
-RANGE_ROWS = 1000
+#: Rows and text characters of one key range of :func:`with_next`, keys that one task may order,
+#: slices that ranges are cut from, and characters of one task that orders ranges.
+RANGE_ROWS = 500
+RANGE_CHARS = 2_000_000
 ONE_TASK_KEYS = 20_000
+SLICES = 256
+TASK_CHARS = 64_000_000
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -85,17 +92,45 @@ def as_text(components: Column) -> Column:
     return F.array_join(F.transform(components, lambda x: F.lower(F.hex(x))), ".")
 
 
+def key_ranges(keys: DataFrame) -> tuple[Column, int] | None:
+    """(range number of ``key``, characters in all) for a table (key, chars); None if it is empty.
+
+    Ranges follow key order.  The keys are cut at their approximate quantiles into at most
+    ``SLICES`` slices, and every slice into pieces of equal width, as many as its rows and
+    characters ask for, so outlying keys leave the rest spread.  Only the slices' bounds and
+    sums reach the driver.
+    """
+    x = F.col("key").cast("double")
+    n = keys.count()
+    if not n:
+        return None
+    slices = max(1, min(SLICES, n // RANGE_ROWS))
+    cuts: list[float] = []
+    if slices > 1:
+        found = keys.agg(F.percentile_approx(x, [i / slices for i in range(1, slices)], 10_000)).first()[0]
+        cuts = sorted(set(found))
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    in_slice = F.size(F.filter(bounds, lambda c: c <= x))
+    sums = keys.groupBy(in_slice.alias("s")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
+    low, width = [0.0] * (len(cuts) + 1), [1.0] * (len(cuts) + 1)
+    for r in sums:
+        pieces = max(1, r["n"] // RANGE_ROWS, r["chars"] // RANGE_CHARS)
+        low[r["s"]], width[r["s"]] = r["lo"], (r["hi"] - r["lo"]) / pieces or 1.0
+    at = in_slice + 1
+    piece = F.floor((x - F.element_at(F.array(*[F.lit(v) for v in low]), at)) / F.element_at(F.array(*[F.lit(v) for v in width]), at))
+    return F.shiftleft(in_slice.cast("long"), 40) + piece, sum(r["chars"] for r in sums)
+
+
 def next_keys(keys: DataFrame) -> DataFrame:
-    """(key, next): the following key of a table of distinct long keys; the last is followed by null.
+    """(key, next): the following key of a table of distinct keys; the last is followed by null.
 
     Keys are dealt into value ranges and ordered inside each; the first keys of
     the ranges are ordered the same way, until few enough for one task.
     """
-    stats = keys.agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
-    if stats["n"] <= ONE_TASK_KEYS:
+    if keys.count() <= ONE_TASK_KEYS:
         return keys.select("key", F.lead("key").over(Window.partitionBy(F.lit(0)).orderBy("key")).alias("next"))
-    width = max(1, (stats["hi"] - stats["lo"]) * RANGE_ROWS // stats["n"])
-    ranged = keys.withColumn("range", F.floor(F.col("key") / F.lit(width)))
+    number, _ = key_ranges(keys.select("key", F.lit(0).alias("chars")))
+    ranged = keys.withColumn("range", number)
     firsts = materialise(ranged.groupBy("range").agg(F.min("key").alias("key")))
     follow = next_keys(firsts.select("key")).join(firsts, "key").select("range", F.col("next").alias("after"))
     own = F.lead("key").over(Window.partitionBy("range").orderBy("key"))
@@ -105,30 +140,42 @@ def next_keys(keys: DataFrame) -> DataFrame:
 def with_next(base: DataFrame) -> DataFrame:
     """``base`` (key, text) with fp, and next_text and next_fp of the following key; the first follows the last.
 
-    One shuffle of the texts by key range; the last row of a range takes its
-    successor from the table of the ranges' first rows.
+    One shuffle of the texts by key range, in as many tasks as their characters ask for; the
+    last row of a range takes its successor from the table of the ranges' first rows.
     """
     docs = with_fingerprint(base, "text", "fp")
-    ids = base.select("key")
-    stats = ids.agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
-    if not stats["n"]:
+    keys = materialise(base.select("key", F.length("text").cast("long").alias("chars")))
+    found = key_ranges(keys)
+    if found is None:
         return docs.select("*", F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
-    width = max(1, (stats["hi"] - stats["lo"]) * RANGE_ROWS // stats["n"])
-    in_range = F.floor(F.col("key") / F.lit(width))
-    firsts = materialise(ids.groupBy(in_range.alias("range")).agg(F.min("key").alias("key")))
+    in_range, chars = found
+    firsts = materialise(keys.groupBy(in_range.alias("range")).agg(F.min("key").alias("key")))
     order = materialise(next_keys(firsts.select("key")))
-    after = order.join(firsts, "key").select("range", F.coalesce("next", F.lit(stats["lo"])).alias("after"))
+    least = order.select(F.min("key")).scalar()
+    after = order.join(firsts, "key").select("range", F.coalesce("next", least).alias("after"))
     # the few first rows are cut out before they are fingerprinted
     first_rows = materialise(base.join(firsts.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
     head = with_fingerprint(first_rows, "text", "fp")
     ends = materialise(after.join(head, F.col("after") == F.col("key")).select("range", F.col("text").alias("end_text"), F.col("fp").alias("end_fp")))
     by = Window.partitionBy("range").orderBy("key", "text")
-    led = docs.withColumn("range", in_range).withColumn("follow", F.lead(F.struct("text", "fp")).over(by))
+    tasks = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // TASK_CHARS)
+    dealt = docs.withColumn("range", in_range).repartition(tasks, "range")
+    led = dealt.withColumn("follow", F.lead(F.struct("text", "fp")).over(by))
     return led.join(ends, "range").select(
         *docs.columns, F.coalesce("follow.text", "end_text").alias("next_text"), F.coalesce("follow.fp", "end_fp").alias("next_fp")
     )
 
 
+def order_key(doc_id: Column, text: Column) -> Column:
+    """Place of a row as decimal: its id (null before all others), then the first seven bytes of its text.
+
+    The order is that of (id, text), so the rows of one id, however many, may lie in several ranges.
+    """
+    at = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)))
+    start = F.rpad(F.substring(text.cast("binary"), 1, 7), 7, F.lit(b"\0"))
+    return (at * F.lit(Decimal(2**56)) + F.conv(F.hex(start), 16, 10).cast("decimal(17,0)")).cast("decimal(38,0)")
+
+
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likenesses.
 
@@ -136,9 +183,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     all) of the next document's.  Rows of one doc_id follow each other in text
     order; a null doc_id comes before all others.
     """
-    lowest = docs.agg(F.min(F.col("doc_id").cast("long")).alias("lo")).first()["lo"]
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((lowest or 0) - 1))
-    base = docs.select("doc_id", key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select("doc_id", order_key(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
     paired = with_next(base)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")

@@ -138,6 +138,33 @@ def test_fingerprint(odd, empty):
     assert fingerprint.edited_pairs(empty).collect() == []
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_fingerprint_of_far_repeated_and_null_ids(spark, monkeypatch, few):
+    if few:  # many ranges, ordered over several levels
+        monkeypatch.setattr(fingerprint, "RANGE_ROWS", 3)
+        monkeypatch.setattr(fingerprint, "RANGE_CHARS", 200)
+        monkeypatch.setattr(fingerprint, "ONE_TASK_KEYS", 8)
+    ids = [-(2**63), -9 * 10**18, 5, 9 * 10**18, 2**63 - 1, *range(100, 140), *[7] * 25, *[None] * 30]
+    made = [(i, f"{k * 7919 % 1000:03d} words of text {k}" + " and more" * (k % 4)) for k, i in enumerate(ids)]
+    made += [(7, "twice"), (7, "twice"), (None, ""), (None, None)]
+    rows = fingerprint.edited_pairs(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    ordered = sorted(((i is not None, i or 0), t or "") for i, t in made)
+    want = []
+    for k, (at, t) in enumerate(ordered):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + ordered[(k + 1) % len(ordered)][1][:q]
+        want.append((at, hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), r.edited_sha256) for r in rows) == sorted(want)
+
+
+def test_outlying_ids_leave_the_ranges_small(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 50)
+    keys = spark.createDataFrame([(k,) for k in [*range(2000), 10**17, -(10**18)]], "key long").selectExpr("key", "1L AS chars")
+    number, chars = fingerprint.key_ranges(keys)
+    sizes = [r["count"] for r in keys.groupBy(number.alias("r")).count().collect()]
+    assert chars == 2002 and max(sizes) <= 150 and len(sizes) >= 20
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([], "conv_id long, turn long, pos int, call_id string, name string, arguments string, depends_on array<string>")
     results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
