@@ -26,8 +26,12 @@ Defined cases: equal rows count once; a call without identifier has status
 are ``duplicate_id``; of several results the first after the call is linked,
 others are ``repeated_result``; results before their call are ``early_result``
 and without a call ``orphan_result``; broken JSON arguments are an error and
-are kept as a JSON string; a dependency on an unknown identifier is an error and does not
-order.  Empty tables give an empty result.
+are kept as a JSON string, as are arguments that JSON text can hold but canonical JSON
+in UTF-8 cannot (numbers beyond a double, lone surrogates, nesting beyond the parser's
+depth); a schema that is no schema (broken text, a rule of the wrong type) is the error
+``schema`` at its path and its other rules still apply; of several schemas of one tool the
+smallest text applies, with the error ``several_schemas``; a dependency on an unknown
+identifier is an error and does not order.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -49,11 +53,11 @@ def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
-def parse_json(text: str | None) -> Any:
-    """Value of a strict JSON text; ValueError otherwise."""
-    if text is None:
-        raise ValueError("no JSON")
-    return json.loads(text, parse_constant=_no_constant)
+def _finite(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError(f"{text} is beyond a double")
+    return value
 
 
 def canonical(value: Any) -> str:
@@ -61,35 +65,108 @@ def canonical(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
-    """Where ``value`` breaks ``schema``, as ``rule:path`` in sorted order."""
-    out: list[str] = []
-    kind = schema.get("type")
-    if kind is not None:
-        kinds = kind if isinstance(kind, list) else [kind]
-        fits = any(isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds if k in _TYPES)
-        if not fits:
-            return [f"type:{at}"]
-    if "enum" in schema and value not in schema["enum"]:
+def parse_json(text: str | None) -> Any:
+    """Value of a strict JSON text that canonical JSON in UTF-8 can hold; ValueError otherwise."""
+    if text is None:
+        raise ValueError("no JSON")
+    try:
+        value = json.loads(text, parse_constant=_no_constant, parse_float=_finite)
+        canonical(value).encode()
+    except RecursionError as deep:
+        raise ValueError("nested too deep") from deep
+    return value
+
+
+def read_arguments(text: str | None) -> tuple[Any, list[str]]:
+    """(value, errors) of an arguments text; arguments may come as JSON in a string."""
+    try:
+        value = parse_json(text)
+    except ValueError:
+        return text, ["json:$"]
+    if isinstance(value, str):
+        try:
+            value = parse_json(value)
+        except ValueError:
+            pass
+    return value, []
+
+
+def read_schema(text: str) -> Any:
+    """Schema of a JSON text; None, which is no schema, if it is broken."""
+    try:
+        return parse_json(text)
+    except ValueError:
+        return None
+
+
+def _number(x: Any) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
+def _texts(x: Any) -> bool:
+    return isinstance(x, list) and all(isinstance(k, str) for k in x)
+
+
+#: What the value of each known rule must be.
+_RULES = {
+    "type": lambda x: (isinstance(x, str) and x in _TYPES) or (_texts(x) and all(k in _TYPES for k in x)),
+    "enum": lambda x: isinstance(x, list),
+    "required": _texts,
+    "properties": lambda x: isinstance(x, dict),
+    "additionalProperties": lambda x: isinstance(x, (bool, dict)),
+    "items": lambda x: isinstance(x, (bool, dict)),
+    **dict.fromkeys(("minLength", "maxLength", "minimum", "maximum"), _number),
+}
+
+
+def violations(value: Any, schema: Any, at: str = "$") -> list[str]:
+    """Where ``value`` breaks ``schema``, as ``rule:path`` in sorted order.
+
+    ``true`` allows every value and ``false`` none.  Anything else that is no object, and
+    every rule whose own value is of the wrong type, is ``schema:path``.
+    """
+    if schema is True:
+        return []
+    if schema is False:
+        return [f"false:{at}"]
+    if not isinstance(schema, dict):
+        return [f"schema:{at}"]
+    rules = {k: v for k, v in schema.items() if k in _RULES and _RULES[k](v)}
+    out = [f"schema:{at}"] * any(k in _RULES and k not in rules for k in schema)
+    if "type" in rules:
+        kinds = rules["type"] if isinstance(rules["type"], list) else [rules["type"]]
+        if not any(isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
+            return sorted([*out, f"type:{at}"])
+    if "enum" in rules and not any(value == e and isinstance(value, bool) == isinstance(e, bool) for e in rules["enum"]):
         out.append(f"enum:{at}")
     if isinstance(value, str):
-        out += [f"minLength:{at}"] * (len(value) < schema.get("minLength", 0)) + [f"maxLength:{at}"] * (len(value) > schema.get("maxLength", len(value)))
-    elif isinstance(value, (int, float)) and not isinstance(value, bool):
-        out += [f"minimum:{at}"] * (value < schema.get("minimum", value)) + [f"maximum:{at}"] * (value > schema.get("maximum", value))
+        out += [f"minLength:{at}"] * (len(value) < rules.get("minLength", 0)) + [f"maxLength:{at}"] * (len(value) > rules.get("maxLength", len(value)))
+    elif _number(value):
+        out += [f"minimum:{at}"] * (value < rules.get("minimum", value)) + [f"maximum:{at}"] * (value > rules.get("maximum", value))
     elif isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"required:{at}.{k}" for k in schema.get("required", []) if k not in value]
+        known, other = rules.get("properties", {}), rules.get("additionalProperties", True)
+        out += [f"required:{at}.{k}" for k in rules.get("required", []) if k not in value]
         for k, v in value.items():
             if k in known:
                 out += violations(v, known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
+            elif other is False:
                 out.append(f"unknown:{at}.{k}")
-    elif isinstance(value, list) and isinstance(schema.get("items"), dict):
+            else:
+                out += violations(v, other, f"{at}.{k}")
+    elif isinstance(value, list):
         for i, v in enumerate(value):
-            out += violations(v, schema["items"], f"{at}[{i}]")
+            out += violations(v, rules.get("items", True), f"{at}[{i}]")
     return sorted(out)
 
 
+def check_arguments(value: Any, schema: Any) -> list[str]:
+    """:func:`violations`, with the error ``depth`` where both are nested too deep to compare."""
+    try:
+        return violations(value, schema)
+    except RecursionError:
+        return ["depth:$"]
+
+
 def _object(text: Column) -> Column:
     """True for texts that begin like a JSON object after white space."""
     return F.coalesce(F.ltrim(text, F.lit(" \t\r\n")).startswith("{"), F.lit(False))
@@ -179,9 +256,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
 
     marked = (
         own.join(linked, ident, "left").join(unknown, ident, "left").join(levels.withColumn("levelled", F.lit(True)), ident, "left")
-        .join(schemas.select("name", F.col("schema").alias("schema")).dropDuplicates(["name"]), "name", "left")
+        .join(schemas.groupBy("name").agg(F.min("schema").alias("schema"), (F.min("schema") < F.max("schema")).alias("several")), "name", "left")
         .select(
-            "conv_id", "turn", "pos", "call_id", "name", "arguments", "schema",
+            "conv_id", "turn", "pos", "call_id", "name", "arguments", "schema", "several",
             F.when(F.col("own"), F.col("result")).alias("result"), F.when(F.col("own"), F.coalesce("unknown", F.array().cast("array<string>"))).alias("unknown"),
             F.when(F.col("levelled").isNull() | ~F.col("own"), F.lit(0)).otherwise(F.col("level")).alias("level"),
             F.when(F.col("call_id").isNull(), "no_id").when(~F.col("own"), "duplicate_id").when(F.col("result").isNull(), "no_result").otherwise("linked").alias("status"),
@@ -192,27 +269,20 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
         schemas_seen: dict[str, Any] = {}
         for batch in batches:
             errors, texts = [], []
-            for row in batch.select(["call_id", "name", "arguments", "schema", "result", "unknown", "level"]).to_pylist():
+            for row in batch.select(["call_id", "name", "arguments", "schema", "several", "result", "unknown", "level"]).to_pylist():
                 found = list(row["unknown"] or [])
                 if row["level"] is None:
                     found.append("cycle")
-                try:
-                    value = parse_json(row["arguments"])
-                except ValueError:
-                    value = row["arguments"]
-                    found.append("json:$")
-                else:
-                    if isinstance(value, str):  # arguments may come as JSON in a string
-                        try:
-                            value = parse_json(value)
-                        except ValueError:
-                            pass
+                value, broken = read_arguments(row["arguments"])
+                found += broken
+                if not broken:
                     if row["schema"] is None:
                         found.append("unknown_tool")
                     else:
                         if row["schema"] not in schemas_seen:
-                            schemas_seen[row["schema"]] = parse_json(row["schema"])
-                        found += violations(value, schemas_seen[row["schema"]])
+                            schemas_seen[row["schema"]] = read_schema(row["schema"])
+                        found += check_arguments(value, schemas_seen[row["schema"]])
+                        found += ["several_schemas"] * row["several"]
                 errors.append(sorted(found))
                 made = {"arguments": value, "id": row["call_id"], "name": row["name"]}
                 if row["result"] is not None:

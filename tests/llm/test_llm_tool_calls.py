@@ -76,3 +76,47 @@ def test_turns_that_begin_like_json(spark):
     assert sorted((r.turn, r.status) for r in rows if not r.call_id) == [(7, "no_id"), (8, "no_id")]
     made = {r.call_id: json.loads(r.canonical) for r in rows if r.canonical}
     assert made["c-1-0"]["result"] == '{"answer": "an object"}' and made["c-1-2"]["result"] == "{ code }" and made["x"]["result"] == "done"
+
+
+def test_arguments_that_no_canonical_json_holds(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    bad = ['{"q": "\\ud800"}', '{"q": 1e999}', '"{\\"q\\": 1e999}"', deep, "1" * 5000, None, "", '{"q": "ok"} tail']
+    out = link(spark, [(1, t, 0, f"c{t}", "search", a, None) for t, a in enumerate(bad)], [])
+    got = {r.turn: (list(r.errors), json.loads(r.canonical)["arguments"]) for r in out}
+    for t, a in enumerate(bad):
+        if t == 2:  # a string whose own text is not JSON stays a string
+            assert got[t] == (["type:$"], '{"q": 1e999}')
+        else:
+            assert got[t] == (["json:$"], a)
+
+
+def test_schemas_that_are_none(spark):
+    texts = {
+        "any": "true", "never": "false", "broken": "{", "number": "3", "text": None, "deep": '{"items":' * 50_000 + "{}" + "}" * 50_000,
+        "rules": '{"type": ["object", 7], "properties": {"q": {"minLength": "two", "maxLength": 1}}, "required": "q"}',
+        "nested": '{"properties": {"q": true, "r": 5}, "additionalProperties": {"type": "integer"}}',
+    }
+    calls = [(1, t, 0, f"c{t}", name, '{"q": "ok", "r": 1, "s": "x"}', None) for t, name in enumerate(texts)] + [(1, 99, 0, "two", "twice", '{"q": "ok"}', None)]
+    c = spark.createDataFrame(calls, "conv_id long, turn long, pos int, call_id string, name string, arguments string, depends_on array<string>")
+    r = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    rows = [*texts.items(), ("twice", '{"type": "object"}'), ("twice", '{"type": "array"}'), ("any", "true"), (None, "false")]
+    got = {x.name: list(x.errors) for x in tc.link_calls(c, r, spark.createDataFrame(rows, "name string, schema string")).collect()}
+    assert got["any"] == [] and got["never"] == ["false:$"] and got["broken"] == got["number"] == got["deep"] == ["schema:$"]
+    assert got["text"] == ["unknown_tool"] and got["twice"] == ["several_schemas", "type:$"]
+    assert got["rules"] == ["maxLength:$.q", "schema:$", "schema:$.q"]
+    assert got["nested"] == ["schema:$.r", "type:$.s"]
+
+
+def test_null_long_and_clashing_input(spark):
+    long = "x" * 300_000
+    calls = [(None, None, None, None, None, None, None), (1, 1, 0, "a", "search", json.dumps({"q": long}), [None, "a"]), (None, 1, 0, "a", "search", '{"q": "ok"}', [])]
+    results = [(None, None, None, None), (1, 2, "a", long), (1, None, "a", "when?"), (None, 2, "a", "r")]
+    c = spark.createDataFrame(calls, "conv_id long, turn long, pos int, call_id string, name string, arguments string, depends_on array<string>")
+    r = spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")
+    s = spark.createDataFrame([("search", SCHEMA)], "name string, schema string")
+    for extra in ("level", "errors", "status", "own", "first", "result", "several", "__row"):  # columns of the operator's own names
+        c, r, s = (x.selectExpr("*", f"1 AS `{extra}`") for x in (c, r, s))
+    out = tc.link_calls(c, r, s).collect()
+    linked = [x for x in out if x.status == "linked"]
+    assert [json.loads(x.canonical)["result"] for x in linked if x.conv_id == 1] == [long]
+    assert len(out) == 6 and sorted(x.status for x in out if x.conv_id is not None) == ["early_result", "linked"]
