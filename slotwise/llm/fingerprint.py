@@ -25,6 +25,7 @@ apart as they like, repeated or null (:func:`edited_pairs`).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,15 +111,23 @@ def key_ranges(keys: DataFrame) -> tuple[Column, int] | None:
         found = keys.agg(F.percentile_approx(x, [i / slices for i in range(1, slices)], 10_000)).first()[0]
         cuts = sorted(set(found))
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    in_slice = F.size(F.filter(bounds, lambda c: c <= x))
+    in_slice = _with(x, lambda v: F.size(F.filter(bounds, lambda c: c <= v)))
     sums = keys.groupBy(in_slice.alias("s")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
     low, width = [0.0] * (len(cuts) + 1), [1.0] * (len(cuts) + 1)
     for r in sums:
         pieces = max(1, r["n"] // RANGE_ROWS, r["chars"] // RANGE_CHARS)
         low[r["s"]], width[r["s"]] = r["lo"], (r["hi"] - r["lo"]) / pieces or 1.0
-    at = in_slice + 1
-    piece = F.floor((x - F.element_at(F.array(*[F.lit(v) for v in low]), at)) / F.element_at(F.array(*[F.lit(v) for v in width]), at))
-    return F.shiftleft(in_slice.cast("long"), 40) + piece, sum(r["chars"] for r in sums)
+    lows, widths = F.array(*[F.lit(v) for v in low]), F.array(*[F.lit(v) for v in width])
+
+    def numbered(v: Column) -> Column:
+        return _with(F.size(F.filter(bounds, lambda c: c <= v)), lambda i: F.shiftleft(i.cast("long"), 40) + F.floor((v - F.get(lows, i)) / F.get(widths, i)))
+
+    return _with(x, numbered), sum(r["chars"] for r in sums)
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once a row, not once for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
