@@ -4,7 +4,9 @@ Subcommands mirror the steps of the original pipeline:
 
   build-features   trips -> feature table (date-partitioned) [+ lookup]
   lookups          feature table -> serving lookup table
-  train            fit OLS / ridge / forest on the temporal split, score validation
+  train            fit OLS / ridge / forests on the temporal split, score validation; --model-out saves one
+  forecast         saved model + lookup -> forecast of every zone and slot, in buckets by zone
+  ask              forecast of one zone from its bucket: a week, or one day
   cv               time-series or shuffled K-fold CV of one model
   split-experiments  temporal CV, two hold-outs and shuffled CV side by side
   tune             random search + honest retrain; saves the final model
@@ -25,9 +27,12 @@ from slotwise.operators import models as M
 from slotwise.operators import splits as SP
 from slotwise.operators.lookup import build_lookup
 from slotwise.operators.metrics import fold_summary
+from slotwise.operators.serve import forecast_table, heatmap, timeline
 from slotwise.profiles import EVENTS, TRIPS_JAN_2025
 from slotwise.session import configure, get_session
-from slotwise.sources.io import read_feature_table, read_trips, save_model, write_table
+from slotwise.schemas import TUNED_VAL_MAE
+from slotwise.sources.io import load_model, read_feature_table, read_trips, read_zone_csv, save_model, write_table
+from slotwise.sources.serving_store import SERVING_BUCKETS, open_bucketed, write_bucketed
 
 PROFILES = {p.name: p for p in (TRIPS_JAN_2025, EVENTS)}
 
@@ -39,7 +44,9 @@ def _model(name: str, args) -> M.EstimatorFactory:
         return M.ridge(args.alpha)
     if name == "rf":
         return M.random_forest(num_trees=args.trees, max_depth=args.depth, max_bins=args.max_bins)
-    raise SystemExit(f"unknown model {name!r} (lr, ridge, rf)")
+    if name == "rf-tuned":
+        return M.tuned_forest(args.max_bins)
+    raise SystemExit(f"unknown model {name!r} (lr, ridge, rf, rf-tuned)")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -68,6 +75,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--max-bins", type=int, default=128)
         if name == "train":
             p.add_argument("--models", default="lr,rf,ridge")
+            p.add_argument("--model-out", help="folder of the first of --models, fitted on the training rows")
         if name in ("cv", "split-experiments"):
             p.add_argument("--model", default="rf")
         if name == "cv":
@@ -76,6 +84,19 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--trials", type=int, default=15)
             p.add_argument("--model-out", required=True)
 
+    fc = sub.add_parser("forecast")
+    fc.add_argument("--model", required=True)
+    fc.add_argument("--lookup", required=True)
+    fc.add_argument("--zones", required=True, help="zone CSV; names fall back to ids where it is missing")
+    fc.add_argument("--error-band", type=float, default=TUNED_VAL_MAE)
+    fc.add_argument("--buckets", type=int, default=SERVING_BUCKETS)
+    fc.add_argument("--out", required=True)
+
+    ak = sub.add_parser("ask")
+    ak.add_argument("--forecast", required=True)
+    ak.add_argument("--zone", type=int, required=True)
+    ak.add_argument("--dow", type=int, choices=range(7))
+
     q = sub.add_parser("query")
     q.add_argument("name")
     q.add_argument("--sf-dir", required=True)
@@ -102,12 +123,24 @@ def main(argv: list[str] | None = None) -> int:
         write_table(QUERIES[args.name](spark, args.sf_dir), args.out)
         return 0
 
+    if args.cmd == "forecast":
+        table = forecast_table(spark.read.parquet(args.lookup), load_model(args.model), read_zone_csv(spark, args.zones), args.error_band)
+        write_bucketed(table, args.out, "zone_id", args.buckets)
+        return 0
+    if args.cmd == "ask":
+        table = open_bucketed(spark, args.forecast)
+        out = heatmap(table, args.zone) if args.dow is None else timeline(table, args.zone, args.dow)
+        out.orderBy(*out.columns[:-1]).show(168, truncate=False)
+        return 0
+
     feats = read_feature_table(spark, args.features).drop("date")
     if args.cmd == "train":
         labelled = SP.temporal_split(feats, profile.val_start, profile.test_start)
         SP.check_split(labelled, profile.val_start, profile.test_start)
         models = {m: _model(m, args) for m in args.models.split(",")}
         M.compare_models(labelled, models).show(truncate=False)
+        if args.model_out:
+            save_model(M.fit(next(iter(models.values())), labelled.filter(F.col("split") == "train")), args.model_out)
     elif args.cmd == "cv":
         trainval = feats.filter(F.col("hour") < F.lit(profile.test_start).cast("timestamp_ntz"))
         factory = _model(args.model, args)

@@ -13,13 +13,15 @@ from slotwise.operators import splits as SP
 from slotwise.operators.lookup import build_lookup
 from slotwise.operators.panel import hourly_demand
 from slotwise.plans import common as C
-from slotwise.plans.catalog_serving import BASE, LOOKUP_DIGITS
+from slotwise.operators import serve as S
+from slotwise.plans.catalog_serving import BASE, LOOKUP_DIGITS, MODEL_DIGITS, PREDICTOR, _band, _busiest_id, _model_sql, _train_model
 from slotwise.plans.feature_build import append_dates, build_base, write_features
 from slotwise.plans.registry import register, round_doubles
 from slotwise.schemas import HOUR, PICKUP, TARGET, TRIP_SCHEMA, ZONE
 from slotwise.session import ensure_checkpoint_dir
 from slotwise.sources import testdata
 from slotwise.sources.io import load_model, read_feature_table, read_trips, read_zone_csv, read_zone_geojson, save_model, write_table
+from slotwise.sources.serving_store import open_bucketed, write_bucketed
 
 P = C.PROFILE
 
@@ -157,3 +159,33 @@ def q_hourly_demand_null_keys(spark, sf_dir):
     return hourly_demand(trips.withColumns({
         ZONE: F.when(F.col("trip_id") % 7 != 0, F.col(ZONE)), PICKUP: F.when(F.col("trip_id") % 11 != 0, F.col(PICKUP)),
     }))
+
+
+@register(
+    "stored_forecast_week",
+    BASE + "SELECT hour_of_day AS hour, day_of_week AS dow, round(prediction, 6) AS prediction FROM forecast WHERE zone_id = (SELECT zone FROM busiest)",
+)
+def q_stored_forecast_week(spark, sf_dir):
+    """K5 from storage: the forecast written in buckets by zone, opened again, one zone's week read from its bucket."""
+    feats = C.features_cut(spark, sf_dir)
+    path = _path(spark, "forecast")
+    write_bucketed(S.forecast_table(build_lookup(feats, digits=LOOKUP_DIGITS), PREDICTOR, C.zones(spark, sf_dir), _band(feats)), path, "zone_id")
+    return round_doubles(S.heatmap(open_bucketed(spark, path), _busiest_id(feats)))
+
+
+@register(
+    "stored_lookup_requests",
+    BASE
+    + _model_sql(f"SELECT {ZONE}, hour_of_day, day_of_week, CAST(day_of_week < 5 AS INTEGER) AS is_weekend FROM lookup WHERE hour_of_day >= 18")
+    + f"\nSELECT {ZONE}, hour_of_day, day_of_week, is_weekend, round(prediction, {MODEL_DIGITS}) AS prediction, round(mean_demand, {MODEL_DIGITS}) AS historical_mean FROM scored",
+)
+def q_stored_lookup_requests(spark, sf_dir):
+    """K2 in batch from storage: evening requests of every zone with a weekend flag of their own (here the
+    weekday's opposite), met with the lookup in its buckets and scored by the fitted model."""
+    feats = C.features_cut(spark, sf_dir)
+    path = _path(spark, "lookup")
+    write_bucketed(build_lookup(feats, digits=LOOKUP_DIGITS), path, ZONE)
+    lookup = open_bucketed(spark, path)
+    requests = S.lookup_slots(lookup).filter(F.col("hour_of_day") >= 18).withColumn("is_weekend", 1 - F.col("is_weekend"))
+    out = S.score_requests(requests, lookup, _train_model(feats))
+    return round_doubles(out, MODEL_DIGITS)
