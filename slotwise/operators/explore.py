@@ -16,9 +16,19 @@ from slotwise.functions.expressions import pct, safe_corr, unbiased_skewness
 from slotwise.schemas import HOUR, PICKUP, TARGET, ZONE
 
 
-def trips_by_hour(trips: DataFrame, ts_col: str = PICKUP) -> DataFrame:
+def _trips(weight: str | None) -> Column:
+    """Number of trips: rows, or the sum of ``weight`` where a row stands for several (the trip cube)."""
+    return (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("trips")
+
+
+def trips_by_hour(trips: DataFrame, ts_col: str = PICKUP, weight: str | None = None) -> DataFrame:
     """Trips per hour of day."""
-    return trips.filter(F.col(ts_col).isNotNull()).groupBy(hour_of_day(ts_col).alias("hour_of_day")).agg(F.count(F.lit(1)).alias("trips"))
+    return trips.filter(F.col(ts_col).isNotNull()).groupBy(hour_of_day(ts_col).alias("hour_of_day")).agg(_trips(weight))
+
+
+def trips_by_zone(trips: DataFrame, zone_col: str = ZONE, weight: str | None = None) -> DataFrame:
+    """Trips per known pickup zone."""
+    return trips.filter(F.col(zone_col).isNotNull()).groupBy(zone_col).agg(_trips(weight))
 
 
 def trips_by_day_name(trips: DataFrame, ts_col: str = PICKUP) -> DataFrame:
@@ -51,25 +61,22 @@ def top_pickup_zones(trips: DataFrame, zones: DataFrame | None = None, n: int =
 
     The limit is applied before the name join, so only n rows are joined.
     """
-    counts = trips.filter(F.col(zone_col).isNotNull()).groupBy(zone_col).agg(F.count(F.lit(1)).alias("trips"))
-    top = counts.orderBy(F.desc("trips"), F.asc(zone_col)).limit(n)
+    top = trips_by_zone(trips, zone_col).orderBy(F.desc("trips"), F.asc(zone_col)).limit(n)
     return with_zone_names(top, zones, zone_col) if zones is not None else top
 
 
-def peak_hour_and_zone(trips: DataFrame, ts_col: str = PICKUP, zone_col: str = ZONE) -> DataFrame:
-    """Busiest hour of day and busiest zone, their trips and share.
+def peak_hour_and_zone(trips: DataFrame, ts_col: str = PICKUP, zone_col: str = ZONE, weight: str | None = None) -> DataFrame:
+    """Busiest hour of day and busiest zone, their trips and share (of trips, or of the cube with ``weight``).
 
     Ties go to the smallest key (``max_by`` over ``(count, -key)``).
     """
-    by_hour = trips_by_hour(trips, ts_col).agg(
+    by_hour = trips_by_hour(trips, ts_col, weight).agg(
         F.max_by("hour_of_day", F.struct("trips", -F.col("hour_of_day"))).alias("peak_hour"),
         F.max("trips").alias("peak_hour_trips"),
         F.sum("trips").alias("total"),
     )
     by_zone = (
-        trips.filter(F.col(zone_col).isNotNull())
-        .groupBy(zone_col)
-        .agg(F.count(F.lit(1)).alias("trips"))
+        trips_by_zone(trips, zone_col, weight)
         .agg(F.max_by(F.struct(F.col(zone_col).alias("z"), F.col("trips").alias("t")), F.struct("trips", -F.col(zone_col))))
         .scalar()
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.calendar import day_of_week, hour_of_day, is_rush_hour, is_weekend, month_of
 from slotwise.operators import explore as X
+from slotwise.operators.cube import MARGINALS, TRIPS as TRIP_COUNT, cells_of, marginals
 from slotwise.plans import common as C
 from slotwise.plans.registry import register, round_doubles
 from slotwise.schemas import EDA_RUSH_HOURS, HOUR, PICKUP, ZONE
@@ -63,7 +64,7 @@ FROM (SELECT arg_max(hour_of_day, (trips, -hour_of_day)) AS peak_hour, max(trips
 )
 def q_peak_hour_zone(spark, sf_dir):
     """Busiest hour and zone with their share of trips."""
-    return X.peak_hour_and_zone(C.trips(spark, sf_dir))
+    return X.peak_hour_and_zone(C.cube(spark, sf_dir), HOUR, weight=TRIP_COUNT)
 
 
 _hcols = ", ".join(f"count(*) FILTER (WHERE h = {h}) AS h{h:02d}" for h in range(24))
@@ -123,7 +124,8 @@ FROM (SELECT count(DISTINCT date_trunc('hour', {PICKUP})) AS unique_hours, count
 )
 def q_grid_coverage(spark, sf_dir):
     """How much of the zone x hour grid has any pickup."""
-    return round_doubles(X.grid_coverage(C.clean(spark, sf_dir), C.cells(spark, sf_dir)))
+    cube = C.cube(spark, sf_dir)
+    return round_doubles(X.grid_coverage(cube.filter("clean > 0"), cells_of(cube, "clean"), HOUR))
 
 
 @register(
@@ -251,33 +253,33 @@ def _fmt2(c):
 def eda_summary(spark, sf_dir):
     """Fourteen (metric, value) report rows from the quality and EDA aggregates."""
     from slotwise.functions.expressions import unbiased_skewness
-    from slotwise.operators.panel import hourly_demand
-    from slotwise.plans.catalog_quality import named_timed_trips, named_trips
+    from slotwise.plans.catalog_quality import named_timed_trips
 
-    trips = C.trips(spark, sf_dir)
-    named = named_trips(spark, sf_dir)
+    columns = len(C.trips(spark, sf_dir).columns)
+    cube = C.cube(spark, sf_dir)
     timed = named_timed_trips(spark, sf_dir)
-    raw_cells = hourly_demand(trips)
-    ts = F.col(PICKUP)
-    t = _row(trips.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(~((ts >= F.lit(_STUDY[0]).cast("timestamp_ntz")) & (ts < F.lit(_STUDY[1]).cast("timestamp_ntz")))).alias("outside"),
-        F.count_if(F.col("trip_distance") <= 0).alias("bad_dist"),
-        F.count_if(F.col("fare_amount") < 0).alias("neg_fare"),
-        F.count_if(F.col(ZONE).isNull() | (F.col(ZONE) <= 0)).alias("bad_zone"),
-        F.count_distinct(F.date_trunc("hour", ts)).alias("hours"),
+    raw_cells = cells_of(cube)
+    n, hour = F.col(TRIP_COUNT), F.col(HOUR)
+    inside = (hour >= F.lit(_STUDY[0]).cast("timestamp_ntz")) & (hour < F.lit(_STUDY[1]).cast("timestamp_ntz"))  # whole hours
+    t = _row(cube.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(~inside, n)), F.lit(0)).alias("outside"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("bad_distance", "bad_dist"), ("negative_fare", "neg_fare"), ("bad_zone", "bad_zone"))],
+        F.count_distinct(HOUR).alias("hours"),
         F.count_distinct(ZONE).alias("zones"),
     ))
-    nm = _row(named.agg(F.count_if(F.col("Zone").isNull() & F.col("Borough").isNull()).alias("k"), F.count(F.lit(1)).alias("n")))
+    named = testdata.trips_with_zone_names(cube, C.zones(spark, sf_dir))
+    unnamed = F.col("Zone").isNull() & F.col("Borough").isNull()
+    nm = _row(named.agg(F.coalesce(F.sum(F.when(unnamed, n)), F.lit(0)).alias("k"), F.coalesce(F.sum(n), F.lit(0)).alias("n")))
     tm = _row(timed.agg(
         F.count_if(F.col("tpep_pickup_datetime") > F.col("tpep_dropoff_datetime")).alias("after"),
         F.count_if(F.col("tpep_dropoff_datetime") <= F.col("tpep_pickup_datetime")).alias("nonpos"),
         F.count_if(F.col("total_amount") < 0).alias("neg_total"),
     ))
-    hz = _row(X.trips_by_hour(trips).agg(
+    hz = _row(X.trips_by_hour(cube, HOUR, TRIP_COUNT).agg(
         F.max_by("hour_of_day", F.struct("trips", -F.col("hour_of_day"))).alias("h"), F.max("trips").alias("c")
     ))
-    zz = _row(trips.groupBy(ZONE).agg(F.count(F.lit(1)).alias("c")).agg(
+    zz = _row(cube.groupBy(ZONE).agg(F.sum(n).alias("c")).agg(
         F.max_by(ZONE, F.struct("c", -F.col(ZONE))).alias("z"), F.max("c").alias("c")
     ))
     from slotwise.operators.quantiles import bracketed_quantiles
@@ -290,7 +292,7 @@ def eda_summary(spark, sf_dir):
     ).select("*", med.alias("med"), p95.alias("p95")))
     full = t["hours"] * t["zones"]
     rows = [
-        ("Raw dataset shape", F.concat(_fmt_int(t["n"]), F.lit(f" rows x {len(trips.columns)} columns"))),
+        ("Raw dataset shape", F.concat(_fmt_int(t["n"]), F.lit(f" rows x {columns} columns"))),
         ("Rows outside January 2024", _fmt_int(t["outside"])),
         ("Repeated missingness (Zone/Borough)", F.concat(_fmt_int(nm["k"]), F.lit(" rows ("), _fmt2(nm["k"] * 100.0 / nm["n"]), F.lit("%) in each of Zone/Borough"))),
         ("Pickup after dropoff rows", _fmt_int(tm["after"])),
@@ -362,3 +364,23 @@ def _eda_summary_sql() -> str:
 
 
 register("eda_summary", _eda_summary_sql())(eda_summary)
+
+
+_AXES_SQL = {"hour_of_day": f"CAST(hour({PICKUP}) AS INTEGER)", "day_of_week": DOW.format(PICKUP), "date": f"CAST({PICKUP} AS DATE)", ZONE: ZONE}
+
+
+@register(
+    "trip_marginals",
+    TRIPS
+    + ", m AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _AXES_SQL.items())
+    + f", CAST({C.CLEAN_WHERE} AS INTEGER) AS ok FROM trips)\n"
+    + "\nUNION ALL ".join(
+        "SELECT '" + ("+".join(a for a in _AXES_SQL if a in s) or "all") + "' AS report, "
+        + ", ".join(a if a in s else f"NULL AS {a}" for a in _AXES_SQL)
+        + ", count(*) AS trips, CAST(coalesce(sum(ok), 0) AS BIGINT) AS clean FROM m" + (f" GROUP BY {', '.join(s)}" if s else "")
+        for s in MARGINALS
+    ),
+)
+def q_trip_marginals(spark, sf_dir):
+    """E10, E11, E13, E14, E19 in one aggregate: the trip cube by grouping sets (hour, weekday, date, zone, weekday x hour, all)."""
+    return marginals(C.cube(spark, sf_dir), [TRIP_COUNT, "clean"])

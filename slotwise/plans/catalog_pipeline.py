@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from slotwise.operators.cube import cells_of
 from slotwise.operators.panel import dropped_zones, panel_profile, zone_filter_report
 from slotwise.operators.quality import clean_report, period_report
 from slotwise.plans import common as C
@@ -123,4 +124,4 @@ FROM agg, hrs""",
 )
 def q_zone_filter_report(spark, sf_dir):
     """C5 report: zones and panel rows before/after the activity filter, zero share kept."""
-    return round_doubles(zone_filter_report(C.cells(spark, sf_dir), P.min_active_hours))
+    return round_doubles(zone_filter_report(cells_of(C.cube(spark, sf_dir), "clean"), P.min_active_hours))

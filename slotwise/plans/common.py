@@ -7,10 +7,12 @@ registered query reads its tables and its work grows with them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from slotwise.operators.cube import trip_cube
 from slotwise.operators.features import build_features
 from slotwise.operators.panel import build_panel, hourly_demand
-from slotwise.operators.quality import clean_trips
+from slotwise.operators.quality import clean_trips, rules_predicate
 from slotwise.profiles import EVENTS, Profile
 from slotwise.schemas import PICKUP, ZONE
 from slotwise.session import cut_lineage
@@ -31,6 +33,18 @@ def cells(spark: SparkSession, sf_dir: str, profile: Profile = PROFILE) -> DataF
     return hourly_demand(clean(spark, sf_dir, profile), ZONE, PICKUP)
 
 
+def cube(spark: SparkSession, sf_dir: str, profile: Profile = PROFILE) -> DataFrame:
+    """The trip cube of the reports, written once: one scan of the trips for any number of them."""
+    zone, distance, fare = F.col(ZONE), F.col("trip_distance"), F.col("fare_amount")
+    conditions = {
+        "clean": rules_predicate(profile.rules),
+        "bad_distance": distance <= 0,
+        "negative_fare": fare < 0,
+        "bad_zone": zone.isNull() | (zone <= 0),
+    }
+    return cut_lineage(trip_cube(trips(spark, sf_dir), conditions))
+
+
 def panel(spark: SparkSession, sf_dir: str, profile: Profile = PROFILE, with_fill: bool = False) -> DataFrame:
     return build_panel(
         clean(spark, sf_dir, profile),
