@@ -14,6 +14,9 @@
 5. Slot consistency: along a diagonal (fixed offset of positions) every value of
    the item's slots must map to one value of the document.  A match with
    equal slots is verbatim, one with a consistent other mapping re-parameterised.
+6. Items without a window of evidence (short ones, or mostly placeholders) are looked for
+   whole: their raw words in a row, by the hash of the first ``window`` of them and an exact
+   comparison of all. Documents are read for these only if the benchmark holds such items.
 
 The benchmark side of the join is broadcast only if it has at most
 ``BROADCAST_WINDOWS`` rows (counted first); beyond that both sides shuffle by
@@ -22,7 +25,9 @@ window hash.  A window shared by very many documents or texts yields only
 
 Defined cases: null and empty texts match nothing; an item shorter than
 ``window`` tokens is one window of its own length, below ``LEAST_TOKENS`` tokens
-or with more than half of its tokens in placeholders a window is no evidence; repeated
+or with more than half of its tokens in placeholders a window is no evidence, and an item
+without evidence is matched whole, case aside, from ``LEAST_WHOLE`` words on (fewer words
+occur in clean text); repeated
 rows of a doc_id count as one document; with no benchmark the result is empty.
 """
 
@@ -35,6 +40,7 @@ from slotwise.llm.common import materialise, read_table
 
 WINDOW = 8
 LEAST_TOKENS = 5
+LEAST_WHOLE = 3
 #: Share of a template's windows that a document must hold.
 COVERAGE = 0.5
 #: Share of the template's slot values that map to one value.
@@ -168,6 +174,30 @@ def matched_windows(docs: DataFrame, windows: DataFrame, lengths: list[int], bro
     return out
 
 
+def whole_items(benchmark: DataFrame, made: DataFrame, windows: DataFrame) -> DataFrame:
+    """(raw, hash, length, template, members): the word sequences of items that have no window of evidence."""
+    items = tokenised(benchmark.filter(F.col("item_id").isNotNull()), "item_id").filter(F.size("raw") >= LEAST_WHOLE).select("item_id", "raw").distinct()
+    found = made.join(windows.select("template").distinct(), "template", "left_semi").select("item_id", "raw").distinct()
+    bare = items.join(found, ["item_id", "raw"], "left_anti").groupBy("raw").agg(F.min("item_id").alias("template"), F.collect_set("item_id").alias("members"))
+    first = F.least(F.lit(WINDOW), F.size("raw"))
+    hashes = [F.when(first == n, _window_hash(F.col("raw"), F.lit(0), n)) for n in range(LEAST_WHOLE, WINDOW + 1)]
+    return bare.select("raw", F.coalesce(*hashes).alias("hash"), first.alias("length"), "template", "members")
+
+
+def whole_leaks(docs: DataFrame, whole: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, item_id, template) of documents that hold all words of an item of ``whole_items`` in a row."""
+    tokens = tokenised(docs.filter(F.col("doc_id").isNotNull()), "doc_id")
+    side = whole.withColumnRenamed("raw", "item_raw")
+    side = F.broadcast(side) if whole.count() <= BROADCAST_WINDOWS else side.hint("merge")
+    out = None
+    for length in lengths:
+        each = tokens.select("doc_id", "raw", F.posexplode_outer(_windows(F.col("raw"), length)).alias("at", "hash"))
+        met = each.join(side.filter(F.col("length") == length).drop("length"), "hash")
+        met = met.filter(F.slice("raw", F.col("at") + 1, F.size("item_raw")) == F.col("item_raw")).select("doc_id", "template", "members").distinct()
+        out = met if out is None else out.unionByName(met)
+    return out.select("doc_id", F.explode("members").alias("item_id"), "template").distinct()
+
+
 def _by_variant(rows: DataFrame, variants: DataFrame) -> DataFrame:
     """``rows`` of variants as they are, those of templates once for every variant."""
     own = rows.filter(F.col("variant").isNotNull()).drop("template")
@@ -227,7 +257,16 @@ def item_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     met = materialise(_by_variant(met.join(near, ["doc_id", "template"], "left_semi"), variants))
     canonical = materialise(_consistent(met.filter(~F.col("as_plain")).drop("as_plain"), made, sizes, coverage, consistency))
     both = _consistent(met.drop("as_plain").distinct(), made, sizes, coverage, consistency)
-    return canonical.unionByName(both.join(canonical.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti").select(*canonical.columns))
+    leaks = canonical.unionByName(both.join(canonical.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti").select(*canonical.columns))
+    whole = materialise(whole_items(benchmark, made, windows))
+    lengths = sorted(r["length"] for r in whole.select("length").distinct().collect())  # at most WINDOW values
+    if not lengths:
+        return leaks
+    more = whole_leaks(docs, whole, lengths).join(leaks.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
+    return leaks.unionByName(more.select(
+        "doc_id", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"),
+        F.lit(1.0).alias("consistency"), F.lit("verbatim").alias("kind"), "template",
+    ))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
