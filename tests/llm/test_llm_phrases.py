@@ -67,6 +67,19 @@ def test_phrases_equal_the_definition(spark, monkeypatch, top, opening):
     assert mined(spark, rows, top) == want
 
 
+def test_words_that_pass_a_filter_wrongly_are_grown_once(spark, monkeypatch):
+    """2000 words open first and 2600 next: filters of their numbers differ in size.
+
+    Some of the 300 common words, open in the third round, pass the first filter wrongly.
+    """
+    monkeypatch.setattr(C, "LEAST", 2)
+    monkeypatch.setattr(C, "OPENING", 1)
+    rare, some, often = ([f"{x}{i}" for i in range(k)] for x, k in (("r", 2000), ("s", 600), ("o", 300)))
+    pairs = [f"{w} {often[i % 300]}" for i, w in enumerate(rare)] * 2 + [f"{w}, {w}, {w}" for w in some]
+    rows = [(". ".join(pairs[i : i + 500]), "en", 1, "x") for i in range(0, len(pairs), 500)]
+    assert mined(spark, rows, 5000) == brute(rows, 2, 5000)
+
+
 def test_no_text_no_phrase(spark):
     assert mined(spark, [(None, None, 1, "x")], 10) == {}
     df = spark.createDataFrame([], "text string, lang string")
